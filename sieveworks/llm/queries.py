@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import completeness, neardup, pairs
-from sieveworks.llm.records import sft
-from sieveworks.runtime import ship
+from sieveworks.llm import completeness, leaks, neardup, packing, pairs, spam, tokens
+from sieveworks.llm.records import lang_key, sft, source_key
+from sieveworks.runtime import cut_lineage, ship, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,74 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_rates(sft(spark, d))
 
 
+TOKEN_FIELDS = ("input", "reasoning", "output")
+TOKEN_DIMS = ("source", "lang", "domain")
+TOKEN_MEASURES = (*(f"{f}_tokens" for f in TOKEN_FIELDS), "total_tokens")
+
+
+def _dims() -> dict[str, Column]:
+    domain = F.coalesce(F.nullif(F.trim("task_name"), F.lit("")), F.lit("unknown"))
+    return {"source": source_key(F.col("source"), F.col("_source_file")), "lang": lang_key(F.col("lang")), "domain": domain}
+
+
+def p4_record_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.record_tokens(sft(spark, d), TOKEN_FIELDS, "record_id", _dims(), tokens.Vocabulary.read())
+
+
+def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_cube(p4_record_tokens(spark, d), TOKEN_DIMS, TOKEN_MEASURES)
+
+
+def p4_maintained_cube(spark: SparkSession, d: str) -> DataFrame:
+    """The cube kept up over two deliveries: the records ingested in the earlier half of the time, then all of them.
+
+    The second step encodes only contents that the ledger lacks, and brings the cube up by signed deltas.
+    """
+    df, vocabulary = sft(spark, d), tokens.Vocabulary.read()
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
+    span = df.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
+    middle = (span["a"] + span["b"]) // 2 if span["a"] is not None else 0
+    early = df.filter(at <= middle)
+    contents = lambda x: tokens.long_form(x, TOKEN_FIELDS).select("content", "text")
+    ledger = cut_lineage(tokens.update_ledger(None, contents(early), vocabulary))
+    counted = lambda x, known: tokens.record_tokens(x, TOKEN_FIELDS, "record_id", _dims(), vocabulary, known)
+    before = cut_lineage(counted(early, ledger))
+    ledger = cut_lineage(tokens.update_ledger(ledger, contents(df), vocabulary))
+    after = counted(df, ledger)
+    cube = tokens.token_cube(before, TOKEN_DIMS, TOKEN_MEASURES)
+    return tokens.apply_deltas(cube, tokens.cube_deltas(before, after, "record_id", TOKEN_DIMS, TOKEN_MEASURES), TOKEN_DIMS, TOKEN_MEASURES)
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    lengths = packing.document_lengths(table(spark, d, "documents"), tokens.Vocabulary.read())
+    return packing.pack_documents(lengths, table(spark, d, "pack_capacities"))
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.container_fill(_packed(spark, d), table(spark, d, "pack_capacities"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), leaks.held_out(spark, d))
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it."""
+    return p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam_pages(table(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_records(sft(spark, d), F.col("record_id"), F.col("input"))
 
@@ -36,7 +104,10 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similarity_classes(sft(spark, d), F.col("record_id"), F.col("input"))
 
 
-_QUERIES = (p1_found, p1_rates, p2_found, p2_rates, p5_found, p5_classes)
+_QUERIES = (
+    p1_found, p1_rates, p2_found, p2_rates, p4_record_tokens, p4_token_cube, p4_maintained_cube, p5_found, p5_classes,
+    p6_packed, p6_fill, p7_found, p7_leaked_items, p8_found, p8_scores,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
