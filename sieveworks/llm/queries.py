@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.llm import completeness, leaks, neardup, packing, pairs, spam, tokens
+from sieveworks.llm import completeness, leaks, neardup, packing, pairs, spam, tokens, variety
 from sieveworks.llm.records import lang_key, sft, source_key
 from sieveworks.runtime import cut_lineage, ship, table
 
@@ -28,6 +28,16 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_rates(sft(spark, d))
 
 
+def p3_selected(spark: SparkSession, d: str) -> DataFrame:
+    return variety.varied_subsets(sft(spark, d), table(spark, d, "sample_targets"))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """The value of each subset."""
+    chosen = cut_lineage(p3_selected(spark, d))
+    return variety.coverage(variety.featured(sft(spark, d), "record_id", "task_name", ("instruction", "input")), chosen)
+
+
 TOKEN_FIELDS = ("input", "reasoning", "output")
 TOKEN_DIMS = ("source", "lang", "domain")
 TOKEN_MEASURES = (*(f"{f}_tokens" for f in TOKEN_FIELDS), "total_tokens")
@@ -105,7 +115,7 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 _QUERIES = (
-    p1_found, p1_rates, p2_found, p2_rates, p4_record_tokens, p4_token_cube, p4_maintained_cube, p5_found, p5_classes,
+    p1_found, p1_rates, p2_found, p2_rates, p3_selected, p3_coverage, p4_record_tokens, p4_token_cube, p4_maintained_cube, p5_found, p5_classes,
     p6_packed, p6_fill, p7_found, p7_leaked_items, p8_found, p8_scores,
 )
 
