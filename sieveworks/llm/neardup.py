@@ -33,19 +33,27 @@ class SketchParams:
     shingle: int = 5
     threshold: float = 0.6
     min_chars: int = 80
-    bands: int = 48
-    rows: int = 5
+    bands: int = 56
+    rows: int = 6
     base: float = 1.001
     rate: float = 20.0
     top: int = 65535
     seed: int = 7
-    #: Standard deviations by which the estimate may lie below the threshold.
+    #: Standard deviations by which an estimate may lie below the threshold.
     slack: float = 4.0
+    #: Parities of registers that a class key carries, for a first look at candidates.
+    parities: int = 64
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def most_unlike(self) -> int:
+        """Parities in which a pair at the threshold may differ: those of unequal registers differ half the time."""
+        half = (1.0 - self.threshold) / 2
+        return int(self.parities * half + self.slack * (self.parities * half * (1 - half)) ** 0.5)
+
 
 def shingle_hashes(plain: str, k: int) -> np.ndarray:
     """The distinct shingles of a plain form as sorted 64-bit hashes."""
@@ -65,9 +73,12 @@ def set_sketch(hashes: np.ndarray, p: SketchParams, multipliers: np.ndarray | No
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(p.registers, np.uint32(0xFFFFFFFF))
-    for at in range(0, len(low), 4096):  # bounded memory for texts of any length
-        with np.errstate(over="ignore"):
-            h = m[:, None] * low[None, at : at + 4096] + high[None, at : at + 4096]
+    block = np.empty((p.registers, min(len(low), 512)), np.uint32)
+    for at in range(0, len(low), 512):  # stays in the cache, and bounds the memory for texts of any length
+        part = low[at : at + 512]
+        h = block[:, : len(part)]
+        np.multiply(m[:, None], part, out=h)
+        np.add(h, high[at : at + 512], out=h)
         np.minimum(least, h.min(axis=1), out=least)
     return _to_registers(least, p)
 
@@ -85,12 +96,20 @@ def merge_sketches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_hashes(registers: np.ndarray, p: SketchParams) -> np.ndarray:
-    """One 64-bit key for each band of register values."""
-    r = registers.reshape(p.bands, p.rows).astype(np.uint64)
-    h = np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i in range(p.rows):
-        h = mix64(h ^ (r[:, i] + np.uint64(0x51ED270B)))
-    return h
+    """One 64-bit key for each band of register values; for one set or a matrix of them."""
+    r = registers.reshape(*registers.shape[:-1], p.bands, p.rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(1, p.bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), r.shape[:-1])
+    with np.errstate(over="ignore"):
+        for i in range(p.rows):
+            h = (h ^ r[..., i]) * np.uint64(0xD6E8FEB86659FD93)
+            h = h ^ (h >> np.uint64(32))
+    return mix64(h)
+
+
+def parity_bits(registers: np.ndarray, p: SketchParams) -> np.ndarray:
+    """The last bits of the first 64 registers, as one integer each: unequal registers agree in it half the time."""
+    bits = (registers[..., : p.parities] & np.uint16(1)).astype(np.uint8)
+    return np.packbits(bits, axis=-1, bitorder="little").view(np.int64)[..., 0]
 
 
 def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, p: SketchParams, steps: int = 200) -> float:
@@ -114,59 +133,67 @@ def exact_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _class_key(plain: str) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(plain.encode("utf-8", "surrogatepass"))
-    return (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63
+def _text_key(plain: str) -> int:
+    return xxhash.xxh3_64_intdigest(plain.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def _band_rows(df: DataFrame, p: SketchParams) -> DataFrame:
-    """(k1, k2, bands array) of the classes of each partition; a class is sketched once in a task."""
+def _sketched(plains: list[str], p: SketchParams, m: np.ndarray) -> np.ndarray:
+    """Registers of each text. A minimum doesn't mind repeated shingles, so they are left in."""
+    return np.stack([set_sketch(kgram_hashes(code_points(t), p.shingle), p, m) for t in plains]) if plains else np.empty((0, p.registers), np.uint16)
+
+
+def class_bands(df: DataFrame, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
+    """(k1, k2, bands) of each class of equal plain forms: a hash of the text, the parities of its registers, and its band keys.
+
+    A class is sketched once in a task, however many copies the task has; 64
+    bits of hash make it unlikely (n^2 / 2^65) that any two of n texts are mixed up.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, seen = _multipliers(p), set()
         for b in batches:
-            out = []
-            for text in b["text"]:
-                plain = plain_form(text)
-                if len(plain) < p.min_chars or (key := _class_key(plain)) in seen:
-                    continue
-                seen.add(key)
-                keys = band_hashes(set_sketch(shingle_hashes(plain, p.shingle), p, m), p)
-                out.append((*key, keys.astype(np.int64)))
-            yield pd.DataFrame(out, columns=["k1", "k2", "bands"])
+            keys, fresh = [], []
+            for t in b["text"]:
+                plain = plain_form(t)
+                if len(plain) >= p.min_chars and (key := _text_key(plain)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    fresh.append(plain)
+            registers = _sketched(fresh, p, m)
+            bands = list(band_hashes(registers, p).view(np.int64))
+            yield pd.DataFrame({"k1": keys, "k2": parity_bits(registers, p), "bands": bands})
 
-    return df.mapInPandas(run, "k1 long, k2 long, bands array<long>")
+    return df.select(text.alias("text")).mapInPandas(run, "k1 long, k2 long, bands array<long>")
 
 
 def members(df: DataFrame, rid: Column, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
-    """(record_id, k1, k2): the class of equal plain forms of each record that takes part."""
+    """(record_id, k1): the class of each record that takes part."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(r, *_class_key(plain)) for r, t in zip(b["record_id"], b["text"]) if len(plain := plain_form(t)) >= p.min_chars]
-            yield pd.DataFrame(out, columns=["record_id", "k1", "k2"])
+            out = [(r, _text_key(plain)) for r, t in zip(b["record_id"], b["text"]) if len(plain := plain_form(t)) >= p.min_chars]
+            yield pd.DataFrame(out, columns=["record_id", "k1"])
 
-    return df.select(rid.alias("record_id"), text.alias("text")).mapInPandas(run, "record_id long, k1 long, k2 long").distinct()
+    return df.select(rid.alias("record_id"), text.alias("text")).mapInPandas(run, "record_id long, k1 long").distinct()
 
 
-def candidate_pairs(df: DataFrame, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
-    """Distinct pairs of classes that agree in a band: (a1, a2) below (b1, b2)."""
-    rows = _band_rows(df.select(text.alias("text")), p).select("k1", "k2", F.explode("bands").alias("band"))
+def candidate_pairs(banded: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
+    """Distinct pairs a1 < b1 of classes that agree in a band and are not too unlike in their parities."""
+    rows = banded.select("k1", "k2", F.explode("bands").alias("band"))
     a, b = rows.alias("a"), rows.alias("b")
-    below = (F.col("a.k1") < F.col("b.k1")) | ((F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") < F.col("b.k2")))
-    return a.join(b, (F.col("a.band") == F.col("b.band")) & below).select(
-        F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2")
-    ).distinct()
+    met = (F.col("a.band") == F.col("b.band")) & (F.col("a.k1") < F.col("b.k1"))
+    alike = F.bit_count(F.col("a.k2").bitwiseXOR(F.col("b.k2"))) <= p.most_unlike
+    return a.join(b, met & alike).select(F.col("a.k1").alias("a1"), F.col("b.k1").alias("b1")).distinct()
 
 
 def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
-    """(a1, a2, b1, b2, similarity): the pairs of classes that reach the threshold.
+    """(a1, b1, similarity): the pairs of classes that reach the threshold.
 
     Only classes with a candidate have their text moved; each is sketched once
     more there and then compared with its partners, by likelihood first.
     """
-    pairs = cut_lineage(candidate_pairs(df, text, p))
-    wanted = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).union(pairs.select("b1", "b2")).distinct()
+    pairs = cut_lineage(candidate_pairs(class_bands(df, text, p), p))
+    wanted = pairs.select(F.col("a1").alias("k1")).union(pairs.select("b1")).distinct()
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = set()
@@ -174,24 +201,24 @@ def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams(
             out = []
             for t in b["text"]:
                 plain = plain_form(t)
-                if len(plain) >= p.min_chars and (key := _class_key(plain)) not in seen:
+                if len(plain) >= p.min_chars and (key := _text_key(plain)) not in seen:
                     seen.add(key)
-                    out.append((*key, plain))
-            yield pd.DataFrame(out, columns=["k1", "k2", "plain"])
+                    out.append((key, plain))
+            yield pd.DataFrame(out, columns=["k1", "plain"])
 
-    texts = df.select(text.alias("text")).mapInPandas(keyed, "k1 long, k2 long, plain string")
-    texts = texts.join(wanted, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("plain").alias("plain"))
+    texts = df.select(text.alias("text")).mapInPandas(keyed, "k1 long, plain string")
+    texts = texts.join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = _multipliers(p)
         for b in batches:
-            b["registers"] = [set_sketch(shingle_hashes(t, p.shingle), p, m).tobytes() for t in b["plain"]]
+            b["registers"] = [r.tobytes() for r in _sketched(list(b["plain"]), p, m)]
             yield b
 
-    texts = cut_lineage(texts.mapInPandas(sketched, "k1 long, k2 long, plain string, registers binary"))
-    left = texts.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("plain").alias("pa"), F.col("registers").alias("ra"))
-    right = texts.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("plain").alias("pb"), F.col("registers").alias("rb"))
-    joined = pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("a1", "a2", "b1", "b2", "pa", "pb", "ra", "rb")
+    texts = cut_lineage(texts.mapInPandas(sketched, "k1 long, plain string, registers binary"))
+    left = texts.select(F.col("k1").alias("a1"), F.col("plain").alias("pa"), F.col("registers").alias("ra"))
+    right = texts.select(F.col("k1").alias("b1"), F.col("plain").alias("pb"), F.col("registers").alias("rb"))
+    joined = pairs.join(left, "a1").join(right, "b1").select("a1", "b1", "pa", "pb", "ra", "rb")
     deviation = float(np.sqrt(p.threshold * (1 - p.threshold) / p.registers))
     floor = p.threshold - p.slack * deviation
 
@@ -205,7 +232,7 @@ def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams(
                 return g
 
             out = []
-            for a1, a2, b1, b2, pa, pb, ra, rb in b.itertuples(index=False, name=None):
+            for a1, b1, pa, pb, ra, rb in b.itertuples(index=False, name=None):
                 ga, gb = grams(pa), grams(pb)
                 if min(len(ga), len(gb)) < p.threshold * max(len(ga), len(gb)):
                     continue
@@ -213,19 +240,18 @@ def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams(
                     continue
                 similarity = exact_jaccard(ga, gb)
                 if similarity >= p.threshold:
-                    out.append((a1, a2, b1, b2, similarity))
-            yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2", "similarity"])
+                    out.append((a1, b1, similarity))
+            yield pd.DataFrame(out, columns=["a1", "b1", "similarity"])
 
-    return joined.mapInPandas(verified, "a1 long, a2 long, b1 long, b2 long, similarity double")
+    return joined.mapInPandas(verified, "a1 long, b1 long, similarity double")
 
 
 def similar_records(df: DataFrame, rid: Column, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
     """(record_id_a, record_id_b): all pairs of records at or above the threshold, copies included."""
-    mem = members(df, rid, text, p)
-    a = mem.select(F.col("record_id").alias("x"), F.col("k1").alias("a1"), F.col("k2").alias("a2"))
-    b = mem.select(F.col("record_id").alias("y"), F.col("k1").alias("b1"), F.col("k2").alias("b2"))
-    across = similar_classes(df, text, p).join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).filter("x <> y")
-    within = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("a2") == F.col("b2")) & (F.col("x") < F.col("y")))
+    mem = cut_lineage(members(df, rid, text, p))
+    a, b = mem.select(F.col("record_id").alias("x"), F.col("k1").alias("a1")), mem.select(F.col("record_id").alias("y"), F.col("k1").alias("b1"))
+    across = similar_classes(df, text, p).join(a, "a1").join(b, "b1").filter("x <> y")
+    within = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("x") < F.col("y")))
     # a reused record_id may hold two texts, so a pair can be met twice
     return (
         across.select("x", "y").union(within.select("x", "y"))
@@ -235,12 +261,8 @@ def similar_records(df: DataFrame, rid: Column, text: Column, p: SketchParams =
 
 def similarity_classes(df: DataFrame, rid: Column, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
     """One row per record that takes part: the least record_id of its class of equal texts, the class's size, and its number of links to other classes."""
-    mem = members(df, rid, text, p)
+    mem = cut_lineage(members(df, rid, text, p))
     found = similar_classes(df, text, p)
-    ends = found.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionAll(found.select("b1", "b2"))
-    links = ends.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = mem.groupBy("k1", "k2").agg(F.min("record_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return (
-        mem.join(classes, ["k1", "k2"]).join(links, ["k1", "k2"], "left")
-        .select("record_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    links = found.select(F.col("a1").alias("k1")).unionAll(found.select("b1")).groupBy("k1").agg(F.count(F.lit(1)).alias("n_links"))
+    classes = mem.groupBy("k1").agg(F.min("record_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return mem.join(classes, "k1").join(links, "k1", "left").select("record_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
