@@ -31,7 +31,7 @@ def encoded(df: DataFrame, encoder: Encoder, **columns: str) -> DataFrame:
 def char_ids(c: Column) -> Column:
     """One id per character: its code point."""
     text = F.coalesce(c, F.lit(""))
-    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-32BE")), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(text, ""), lambda x: x != ""), lambda x: F.conv(F.hex(F.encode(x, "UTF-32")), 16, 10).cast("int"))
 
 
 def masked(full: Column, prompt_len: Column, max_length: int, train_on_inputs: bool = False) -> Column:
