@@ -8,7 +8,7 @@ similarity, and an exact comparison of the shingle sets decides.
 
 Equal plain forms are one class before any pair is made, so that a hot group
 of copies costs one representative. Null and short texts (fewer than
-``min_chars`` in plain form) take no part.
+``min_chars`` in plain form) take no part, nor do rows without an id.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ class SketchParams:
     shingle: int = 5
     threshold: float = 0.6
     min_chars: int = 80
-    bands: int = 56
+    bands: int = 64
     rows: int = 6
     base: float = 1.001
     rate: float = 20.0
@@ -43,6 +43,8 @@ class SketchParams:
     slack: float = 4.0
     #: Parities of registers that a class key carries, for a first look at candidates.
     parities: int = 64
+    #: Registers by which the likelihood estimates a candidate.
+    estimating: int = 128
 
     @property
     def registers(self) -> int:
@@ -67,13 +69,13 @@ def _multipliers(p: SketchParams) -> np.ndarray:
 
 def set_sketch(hashes: np.ndarray, p: SketchParams, multipliers: np.ndarray | None = None) -> np.ndarray:
     """Registers of a set: floor(1 - log_b(min over elements of Exp(rate)))), kept within 0 and ``top``."""
-    if not len(hashes):
-        return np.zeros(p.registers, np.uint16)
     m = _multipliers(p) if multipliers is None else multipliers
+    if not len(hashes):
+        return np.zeros(len(m), np.uint16)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     high = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(p.registers, np.uint32(0xFFFFFFFF))
-    block = np.empty((p.registers, min(len(low), 512)), np.uint32)
+    least = np.full(len(m), np.uint32(0xFFFFFFFF))
+    block = np.empty((len(m), min(len(low), 512)), np.uint32)
     for at in range(0, len(low), 512):  # stays in the cache, and bounds the memory for texts of any length
         part = low[at : at + 512]
         h = block[:, : len(part)]
@@ -139,7 +141,7 @@ def _text_key(plain: str) -> int:
 
 def _sketched(plains: list[str], p: SketchParams, m: np.ndarray) -> np.ndarray:
     """Registers of each text. A minimum doesn't mind repeated shingles, so they are left in."""
-    return np.stack([set_sketch(kgram_hashes(code_points(t), p.shingle), p, m) for t in plains]) if plains else np.empty((0, p.registers), np.uint16)
+    return np.stack([set_sketch(kgram_hashes(code_points(t), p.shingle), p, m) for t in plains]) if plains else np.empty((0, len(m)), np.uint16)
 
 
 def class_bands(df: DataFrame, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
@@ -174,7 +176,8 @@ def members(df: DataFrame, rid: Column, text: Column, p: SketchParams = SketchPa
             out = [(r, _text_key(plain)) for r, t in zip(b["record_id"], b["text"]) if len(plain := plain_form(t)) >= p.min_chars]
             yield pd.DataFrame(out, columns=["record_id", "k1"])
 
-    return df.select(rid.alias("record_id"), text.alias("text")).mapInPandas(run, "record_id long, k1 long").distinct()
+    picked = df.select(rid.alias("record_id"), text.alias("text")).filter("record_id is not null")
+    return picked.mapInPandas(run, "record_id long, k1 long").distinct()
 
 
 def candidate_pairs(banded: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
@@ -210,7 +213,7 @@ def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams(
     texts = texts.join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = _multipliers(p)
+        m = _multipliers(p)[: p.estimating]
         for b in batches:
             b["registers"] = [r.tobytes() for r in _sketched(list(b["plain"]), p, m)]
             yield b
@@ -219,7 +222,7 @@ def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams(
     left = texts.select(F.col("k1").alias("a1"), F.col("plain").alias("pa"), F.col("registers").alias("ra"))
     right = texts.select(F.col("k1").alias("b1"), F.col("plain").alias("pb"), F.col("registers").alias("rb"))
     joined = pairs.join(left, "a1").join(right, "b1").select("a1", "b1", "pa", "pb", "ra", "rb")
-    deviation = float(np.sqrt(p.threshold * (1 - p.threshold) / p.registers))
+    deviation = float(np.sqrt(p.threshold * (1 - p.threshold) / p.estimating))
     floor = p.threshold - p.slack * deviation
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
