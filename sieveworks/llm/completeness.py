@@ -6,7 +6,8 @@ compared with what its source usually does: a value that ends without a
 terminator is cut where the source's prose ends with one, or where the value
 has just the length at which that source cuts.
 
-Null, empty and blank values are never cut. Repeated rows give one result.
+Null, empty and blank values are never cut. Repeated rows give one result; rows
+without a record_id are left out. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions.plain import plain_form
 from sieveworks.llm.records import source_key
+from sieveworks.runtime import cut_lineage
 
 FIELDS = ("reasoning", "output")
 
@@ -45,6 +47,7 @@ _REFERENCE = re.compile(
     r"(?:\b(?:see|cf\.?|voir)\b[^.]{0,40}\b(?:p|pp|page|pages|para|art)\.?\s*\d+|(?:详见|参见|见)[^。]{0,20}第\s*\d+\s*[页条款号])\s*$", re.IGNORECASE
 )
 _ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:nbsp|#160);")
+_INNER_STOP = re.compile(r"[。！？!?]\s*\S|\.\s+\S")
 _LETTERS = re.compile(r"[^\W\d_]")
 _CJK = re.compile(r"[㐀-鿿]")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
@@ -93,7 +96,9 @@ def is_heading(line: str) -> bool:
 
 
 def is_label(text: str) -> bool:
-    """Short enough to be a label, a choice or a finding rather than prose."""
+    """Short enough to be a label, a choice or a finding rather than prose; a second sentence is none."""
+    if _INNER_STOP.search(text):
+        return False
     if _CJK.search(text):
         return len(text) <= LABEL_CHARS
     return len(text.split()) <= LABEL_WORDS
@@ -173,7 +178,7 @@ def _last_is_comma(text: str) -> bool:
 def endings(df: DataFrame, source: Column | None = None) -> DataFrame:
     """(record_id, field, source, n_chars, n_bytes, state, prose) of each value; one pass, nothing but these leaves the task."""
     source = source_key(F.col("source"), F.col("_source_file")) if source is None else source
-    picked = df.select("record_id", source.alias("source"), "instruction", "input", *FIELDS)
+    picked = df.filter("record_id is not null").select("record_id", source.alias("source"), "instruction", "input", *FIELDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -188,32 +193,46 @@ def endings(df: DataFrame, source: Column | None = None) -> DataFrame:
     return picked.mapInPandas(run, "record_id long, source string, field string, n_chars int, n_bytes int, state string")
 
 
+#: Bytes by which a cut may miss a byte limit: what is left of a multibyte character, or stands in for it.
+BYTE_SLACK = 4
+
+
 def source_baselines(ends: DataFrame, min_cases: int = 5, min_share: float = 0.2) -> DataFrame:
-    """Per source and field: the share of prose that ends with a terminator, and the length at which the source cuts, if any.
+    """Per source and field: ``limit_chars`` and ``limit_bytes``, lengths at which the source cuts, and ``stopped_share``,
+    the share of prose away from these lengths that ends with a terminator. Null where there is none, or too few cases.
 
     A limit is the commonest length among values cut or open, if it has
-    ``min_cases`` of them and ``min_share`` of all.
+    ``min_cases`` of them and ``min_share`` of all; a byte limit with BYTE_SLACK.
     """
-    prose = ends.filter(F.col("state").isin(DONE, CUT, OPEN))
-    shares = prose.groupBy("source", "field").agg(F.avg((F.col("state") == DONE).cast("double")).alias("stopped_share"))
-    by_length = ends.filter(F.col("state").isin(CUT, OPEN)).groupBy("source", "field", "n_chars").agg(F.count(F.lit(1)).alias("n"))
-    limits = (
-        by_length.groupBy("source", "field")
-        .agg(F.max_by("n_chars", F.struct("n", "n_chars")).alias("limit_chars"), F.max("n").alias("most"), F.sum("n").alias("all"))
-        .filter((F.col("most") >= min_cases) & (F.col("most") >= min_share * F.col("all")))
-        .select("source", "field", "limit_chars")
-    )
-    return shares.join(limits, ["source", "field"], "left")
+    keys = ["source", "field"]
+    unended = ends.filter(F.col("state").isin(CUT, OPEN))
+
+    def limit(unit: str, slack: int) -> DataFrame:
+        counts = unended.groupBy(*keys, unit).agg(F.count(F.lit(1)).alias("n"))
+        modes = counts.groupBy(*keys).agg(F.max_by(unit, F.struct("n", unit)).alias(f"limit_{unit[2:]}"), F.sum("n").alias("all"))
+        near = counts.join(modes, keys).filter(F.abs(F.col(unit) - F.col(f"limit_{unit[2:]}")) <= slack)
+        sums = near.groupBy(*keys, f"limit_{unit[2:]}", "all").agg(F.sum("n").alias("most"))
+        return sums.filter((F.col("most") >= min_cases) & (F.col("most") >= min_share * F.col("all"))).select(*keys, f"limit_{unit[2:]}")
+
+    limits = limit("n_chars", 0).join(limit("n_bytes", BYTE_SLACK), keys, "full")
+    prose = ends.filter(F.col("state").isin(DONE, CUT, OPEN)).join(limits, keys, "left").filter(~_at_limit() | (F.col("state") == DONE))
+    share = F.avg((F.col("state") == DONE).cast("double"))
+    shares = prose.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_cases, share).alias("stopped_share"))
+    return limits.join(shares, keys, "full")
+
+
+def _at_limit() -> Column:
+    chars = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False))
+    return chars | F.coalesce(F.abs(F.col("n_bytes") - F.col("limit_bytes")) <= BYTE_SLACK, F.lit(False))
 
 
 def judge(ends: DataFrame, baselines: DataFrame, usual: float = 0.5) -> DataFrame:
     """``ends`` with ``is_cut``: broken structure, or an open ending where the source's prose is terminated or at the source's limit."""
-    at_limit = F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False))
     usually = F.coalesce(F.col("stopped_share") >= usual, F.lit(True))
     is_cut = (
         F.when(F.col("state") == CUT, True)
-        .when(F.col("state") == OPEN, usually | at_limit)
-        .when(F.col("state") == ENTRY, at_limit)
+        .when(F.col("state") == OPEN, usually | _at_limit())
+        .when(F.col("state") == ENTRY, F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)))
         .otherwise(False)
     )
     return ends.join(baselines, ["source", "field"], "left").withColumn("is_cut", is_cut)
@@ -221,7 +240,7 @@ def judge(ends: DataFrame, baselines: DataFrame, usual: float = 0.5) -> DataFram
 
 def judged_values(df: DataFrame) -> DataFrame:
     """One row per record and field with ``is_cut``; a record delivered twice counts once."""
-    ends = endings(df).dropDuplicates(["record_id", "field"])
+    ends = cut_lineage(endings(df).dropDuplicates(["record_id", "field"]))  # read three times below
     return judge(ends, source_baselines(ends))
 
 
@@ -231,7 +250,7 @@ def truncated_values(df: DataFrame) -> DataFrame:
 
 
 def truncation_rates(df: DataFrame) -> DataFrame:
-    """Per source and field: values, cut values, their share, and the source's limit (null without one)."""
+    """Per source and field: values, cut values, their share, and the source's limits (null without one)."""
     return (
         judged_values(df)
         .filter(F.col("state") != NONE)
@@ -241,6 +260,7 @@ def truncation_rates(df: DataFrame) -> DataFrame:
             F.count_if("is_cut").alias("n_cut"),
             (F.count_if("is_cut") / F.count(F.lit(1))).alias("cut_share"),
             F.max("limit_chars").alias("limit_chars"),
+            F.max("limit_bytes").alias("limit_bytes"),
         )
     )
 
