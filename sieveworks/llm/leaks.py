@@ -8,7 +8,7 @@ extended to the whole shared run, and runs of the required length count.
 The index of held-out passages is broadcast only where its size is checked to
 be below ``max_index_chars``; beyond that, fingerprints are joined by shuffle.
 Both ways give the same result. Null and empty texts match nothing; an item
-shorter than its required run can't leak.
+shorter than its required run can't leak. Rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -180,7 +180,8 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaked_passages(docs: DataFrame, items: DataFrame, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id) of documents (doc_id, text) and items (item_id, passage, run) that share a run of ``run`` characters of plain form."""
-    items = items.select("item_id", "passage", F.col("run").cast("int").alias("run")).filter("passage is not null")
+    items = items.select("item_id", "passage", F.col("run").cast("int").alias("run")).filter("item_id is not null and passage is not null")
+    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0)).alias("n")).first()["n"]
     if size > max_index_chars:
         return _leaks_by_join(docs, items)

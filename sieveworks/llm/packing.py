@@ -8,7 +8,8 @@ those of equal length.
 
 A text is split only if it alone exceeds the capacity: into full containers
 and a remainder that is packed like any text. Null and empty texts have no
-tokens; they go to container 0 as they need no space. Only the histogram, with
+tokens; they go to container 0 as they need no space; rows without a doc_id are
+left out. Only the histogram, with
 at most ``capacity`` lengths, reaches the driver.
 """
 
@@ -129,7 +130,7 @@ def document_lengths(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": count([t or "" for t in b["text"]])})
 
-    return df.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long").dropDuplicates(["doc_id"])
+    return df.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, "doc_id long, n_tokens long").dropDuplicates(["doc_id"])
 
 
 def _ranked(items: DataFrame, bucket_rows: int) -> DataFrame:

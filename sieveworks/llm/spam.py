@@ -5,7 +5,8 @@ commonest word or n-gram, its share of link text, the density of separators,
 its share of function words, and whether its line is repeated. A page is spam
 if more than half of its characters lie in segments that are no sentences. The
 function words that a sentence must have are calibrated per language over all
-documents. Null, empty and very short texts are no spam.
+documents. Null, empty and very short texts are no spam; rows without a doc_id
+are left out.
 """
 
 from __future__ import annotations
@@ -183,7 +184,7 @@ def page_profiles(df: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=_PROFILE)
 
     kinds = "long, string, int, array<int>, array<int>, array<int>, array<int>, int".split(", ")
-    return df.select("doc_id", "text").mapInPandas(run, ", ".join(map(" ".join, zip(_PROFILE, kinds))))
+    return df.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, ", ".join(map(" ".join, zip(_PROFILE, kinds))))
 
 
 _PROFILE = ["doc_id", "latin", "chars", "spam_zh", "spam_latin", "shares_zh", "shares_latin", "items"]
@@ -213,13 +214,13 @@ def thresholds(profiles: DataFrame) -> DataFrame:
 def spam_pages(df: DataFrame) -> DataFrame:
     """(doc_id, spam_share) of the pages that are spam."""
     profiles = cut_lineage(page_profiles(df))
-    at = thresholds(profiles)  # one row per language: zh, en, fr
-    judged = profiles.join(F.broadcast(at.select(F.col("language").alias("latin"), F.col("at").alias("at_latin"))), "latin", "left")
-    judged = judged.crossJoin(F.broadcast(at.filter("language = 'zh'").agg(F.max("at").alias("at_zh"))))  # a single row
-    usual = {"zh": 1, "latin": 4}  # where no sentence of a language was seen
+    at = {r["language"]: r["at"] for r in thresholds(profiles).collect()}  # one row per language: zh, en, fr
+    usual = {"zh": 1, "en": 4, "fr": 4}  # where no sentence of a language was seen
+    place = F.create_map(*[x for k, v in (usual | at).items() for x in (F.lit(k), F.lit(v))])
+    judged = profiles.withColumns({"at_zh": place[F.lit("zh")], "at_latin": place[F.col("latin")]})
 
     def spam(kind: str) -> Column:
-        return F.element_at(f"spam_{kind}", F.coalesce(f"at_{kind}", F.lit(usual[kind])) + 1)
+        return F.element_at(f"spam_{kind}", F.col(f"at_{kind}") + 1)
 
     return (
         judged.withColumn("spam_share", (spam("zh") + spam("latin")) / F.col("chars"))

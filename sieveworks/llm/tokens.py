@@ -4,7 +4,8 @@ A ledger holds the token count of each (content, tokenizer). Only contents the
 ledger lacks are encoded; cubes of totals follow the documents by signed
 deltas, so that changed and removed documents are taken out again.
 
-Null texts have 0 tokens. A record delivered twice counts once.
+Null texts have 0 tokens. A record delivered twice counts once; rows without an
+id are left out.
 """
 
 from __future__ import annotations
@@ -123,6 +124,7 @@ def record_tokens(
     Without a ledger nothing is known yet, so each task encodes its own rows in
     one pass and no text leaves it; with one, only unseen contents are encoded.
     """
+    df = df.filter(F.col(rid).isNotNull())
     if ledger is None:
         held = df.sparkSession.sparkContext.broadcast(vocabulary)
         picked = df.select(F.col(rid), *[c.alias(n) for n, c in dims.items()], *[F.col(f).alias(f"{f}_text") for f in fields])

@@ -12,7 +12,8 @@ Order of choice nests the sizes: the subset of size s is the first s chosen.
 What moves is bounded by the subset sizes and the number of features. Records
 without any feature (null or blank texts) come last, by a hash of their id. A
 record delivered twice counts once; where fewer records exist than asked for,
-all of them come out. Null, zero and negative sizes give no rows.
+all of them come out. Null, zero and negative sizes give no rows; rows without
+an id are left out.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def featured(df: DataFrame, rid: str, group: str, fields: Sequence[str]) -> Data
             yield pd.DataFrame({"record_id": b["record_id"], "task": b["task"], "feats": [features(t).tobytes() for t in texts]})
 
     task = F.coalesce(F.trim(F.col(group)), F.lit(""))
-    picked = df.select(F.col(rid).alias("record_id"), task.alias("task"), *fields)
+    picked = df.filter(F.col(rid).isNotNull()).select(F.col(rid).alias("record_id"), task.alias("task"), *fields)
     return picked.mapInPandas(run, "record_id long, task string, feats binary").dropDuplicates(["record_id"])
 
 
