@@ -19,15 +19,19 @@ from sieveworks.runtime import cut_lineage
 def all_ngrams(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:
     """All runs of each size, repeats included, of the lower-case text; none of null."""
     text = F.lower(F.coalesce(c, F.lit("")))
-    parts = [F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i, n=n: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.concat(*parts)
+
+    def runs(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*[runs(n) for n in sizes])
 
 
 def tfidf(df: DataFrame, text: str, features: int = 50_000, min_df: int = 2, max_df: float = 0.98, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
     """``df`` with ``features``: 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, to length 1; the commonest grams of the corpus."""
     grams = df.withColumn("__grams", all_ngrams(F.col(text), sizes))
     n = grams.count()
-    fitted = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=float(min_df), maxDF=float(max_df)).fit(grams)
+    fitted = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=float(min_df), maxDF=float(max_df) if max_df < 1 else float(n + 1)).fit(grams)
     counts = fitted.transform(grams).drop("__grams")
     seen = counts.select(F.posexplode(vector_to_array("__tf")).alias("term", "tf")) if len(fitted.vocabulary) <= 2048 else None
     if seen is None:
@@ -57,7 +61,8 @@ def _weigh(counts: DataFrame, n: int, df_of: list[int]) -> DataFrame:
 
 
 def with_clusters(df: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """``df`` with ``cluster`` and ``dist``, the distance to the cluster's centre."""
+    """``df`` with ``cluster`` and ``dist``, the distance to the cluster's centre; fewer clusters where there are fewer different rows."""
+    k = min(k, df.select(features).distinct().limit(k).count())
     fitted = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
     centers = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "cluster int, center array<double>")
     joined = fitted.transform(df).join(centers, "cluster")

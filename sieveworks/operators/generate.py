@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sieveworks.functions.text import sanitize, shorten
 from sieveworks.operators.splits import position
@@ -53,7 +54,10 @@ def json_object(text: str | None) -> dict | None:
     return None
 
 
-@F.pandas_udf("reasoning string, output_model string, ok boolean")
+_REPLY = T.StructType([T.StructField("reasoning", T.StringType()), T.StructField("output_model", T.StringType()), T.StructField("ok", T.BooleanType())])
+
+
+@F.pandas_udf(_REPLY)
 def reply_fields(s: pd.Series) -> pd.DataFrame:
     """Both fields of a JSON reply; ``ok`` if it is an object and both have something in them."""
     rows = []

@@ -31,7 +31,7 @@ def nearest_rank(df: DataFrame, value: Column, by: Sequence[str] = (), shares: S
     at = lambda q: F.floor(F.col("n").cast("double") * F.lit(float(q)))
     picks = [F.max(F.when((F.col("upto") > at(q)) & (F.col("upto") - F.col("c") <= at(q)), F.col("v"))).alias(f"p{int(q * 100)}") for q in shares]
     mean = (F.sum(F.col("v") * F.col("c")).cast("double") / F.sum("c").cast("double")).alias("mean")
-    return ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("min"), mean, F.max("v").alias("max"), *picks)
+    return ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("min"), mean, F.max("v").alias("max"), *picks).filter("n is not null")
 
 
 def counted(df: DataFrame, by: str, order: Column) -> DataFrame:

@@ -12,13 +12,15 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sieveworks.functions.text import is_blank
 
 OK, NOT_OBJECT, INVALID, BLANK = "ok", "not_object", "invalid", "blank"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def line_status(lines: pd.Series) -> pd.Series:
     """ok, not_object, invalid or blank."""
 
@@ -66,8 +68,6 @@ def lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = Fals
     read = spark.read.text(list(path) if not isinstance(path, str) else path, recursiveFileLookup=recursive)
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"))
     numbered = read.select("value", F.col("_metadata.file_path").alias("_source_file"), at.alias("__at"))
-    from pyspark.sql.window import Window
-
     counts = numbered.groupBy("_source_file", F.col("__at.block").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("__at.mono").alias("first"))
     before = Window.partitionBy("_source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_source_file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))

@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that a report or an array file may have; these are written by the driver.
 REPORT_ROWS = 100_000
@@ -22,7 +23,7 @@ def write_jsonl(df: DataFrame, path: str, ascii_only: bool = False, mode: str =
     df.select(text.alias("value")).write.mode(mode).text(path)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def escaped(s):  # type: ignore[no-untyped-def]
     return s.map(lambda t: None if t is None else json.dumps(json.loads(t), ensure_ascii=True))
 
