@@ -33,7 +33,7 @@ class SketchParams:
     shingle: int = 5
     threshold: float = 0.6
     min_chars: int = 80
-    bands: int = 64
+    bands: int = 80
     rows: int = 6
     base: float = 1.001
     rate: float = 20.0
