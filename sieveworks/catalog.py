@@ -604,36 +604,41 @@ def _scores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return scores, sizes
 
 
+def _as_double(df: DataFrame) -> DataFrame:
+    """Nullable counts as doubles, which compare alike in all clients."""
+    return df.withColumn("total_samples", F.col("total_samples").cast("double"))
+
+
 _Q_SCORES = f"""s AS (SELECT model_name AS split, task, count(*) FILTER (coalesce(matched, false))::DOUBLE / count(*)::DOUBLE AS score,
       count(*) FILTER (coalesce(prediction_extracted, '') = '')::DOUBLE / count(*)::DOUBLE AS abstention_rate FROM {_Q_PREDICTIONS} GROUP BY 1, 2),
     z AS (SELECT model_name AS split, task, count(DISTINCT item_id) AS n FROM {_Q_PREDICTIONS} GROUP BY 1, 2 HAVING count(DISTINCT item_id) >= 5),
     j AS (SELECT s.*, z.n FROM s LEFT JOIN z USING (split, task)),
-    v AS (SELECT split, count(*) AS n_tasks, CASE WHEN sum(n) > 0 THEN sum(n)::BIGINT END AS total_samples, round(avg(score) * 100, 4) AS macro_score_pct,
+    v AS (SELECT split, count(*) AS n_tasks, CASE WHEN sum(n) > 0 THEN sum(n)::DOUBLE END AS total_samples, round(avg(score) * 100, 4) AS macro_score_pct,
       round(CASE WHEN sum(n) > 0 THEN sum(score * n) / sum(n)::DOUBLE ELSE avg(score) END * 100, 4) AS weighted_score_pct, round(avg(abstention_rate) * 100, 4) AS macro_abstention_pct,
       round(CASE WHEN sum(n) > 0 THEN sum(abstention_rate * n) / sum(n)::DOUBLE ELSE avg(abstention_rate) END * 100, 4) AS weighted_abstention_pct FROM j GROUP BY 1)"""
 
 
 @query(f"WITH {_Q_SCORES} SELECT * FROM v")
 def lawbench_splits(spark: SparkSession, d: str) -> DataFrame:
-    return reports.split_scores(*_scores(spark, d))
+    return _as_double(reports.split_scores(*_scores(spark, d)))
 
 
 @query(
-    f"""WITH {_Q_SCORES} SELECT split, regexp_extract(task, '\\A([^-]*)', 1) AS grp, count(*) AS n_tasks, CASE WHEN sum(coalesce(n, 0)) > 0 THEN sum(coalesce(n, 0))::BIGINT END AS total_samples,
+    f"""WITH {_Q_SCORES} SELECT split, regexp_extract(task, '\\A([^-]*)', 1) AS grp, count(*) AS n_tasks, CASE WHEN sum(coalesce(n, 0)) > 0 THEN sum(coalesce(n, 0))::DOUBLE END AS total_samples,
     round(avg(round(score * 100, 4)), 4) AS macro_score_pct, round(avg(round(abstention_rate * 100, 4)), 4) AS macro_abstention_pct FROM j GROUP BY 1, 2"""
 )
 def lawbench_groups(spark: SparkSession, d: str) -> DataFrame:
-    return reports.group_scores(*_scores(spark, d))
+    return _as_double(reports.group_scores(*_scores(spark, d)))
 
 
 @query(
-    f"""WITH {_Q_SCORES} SELECT count(*) AS n_splits, sum(n_tasks)::BIGINT AS n_tasks, CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(total_samples)::BIGINT END AS total_samples, round(avg(macro_score_pct), 4) AS macro_score_pct,
+    f"""WITH {_Q_SCORES} SELECT count(*) AS n_splits, sum(n_tasks)::BIGINT AS n_tasks, CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(total_samples)::DOUBLE END AS total_samples, round(avg(macro_score_pct), 4) AS macro_score_pct,
     round(CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(weighted_score_pct * coalesce(total_samples, 0)) / sum(total_samples)::DOUBLE ELSE avg(macro_score_pct) END, 4) AS weighted_score_pct,
     round(avg(macro_abstention_pct), 4) AS macro_abstention_pct,
     round(CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(weighted_abstention_pct * coalesce(total_samples, 0)) / sum(total_samples)::DOUBLE ELSE avg(macro_abstention_pct) END, 4) AS weighted_abstention_pct FROM v"""
 )
 def lawbench_overall(spark: SparkSession, d: str) -> DataFrame:
-    return reports.overall_scores(reports.split_scores(*_scores(spark, d)))
+    return _as_double(reports.overall_scores(reports.split_scores(*_scores(spark, d))))
 
 
 _PROMPT_COLUMNS = ("question", "contract", "text", "policy", "claim", "citation", "issue", *(f"choice_{i}" for i in range(5)))
