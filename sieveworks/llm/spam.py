@@ -50,6 +50,8 @@ _FOOTNOTE = re.compile(r"^\s*\[\d{1,3}\]\s*\S+\s*$")
 _SEPARATOR = re.compile(r"\s*[|｜/／·•;；,，、>»→]\s*|\]\s*\[|\s{2,}|\t")
 _CJK = re.compile(r"[㐀-鿿]+")
 _LATIN_CHARS = re.compile(r"[A-Za-zÀ-ɏ]+")
+_WIDE = re.compile(r"[Ａ-Ｚａ-ｚ]")
+_NARROW = {c: c - 0xFEE0 for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1)}
 _SCRIPT = re.compile(r"[A-Za-zÀ-ɏ㐀-鿿]")
 _NO_FUNCTION_CHARS = {ord(ch): None for ch in FUNCTION_CHARS}
 _AFTER_STOP = " \t　\"'”’」』)）]"
@@ -90,9 +92,13 @@ def repeated_share(units: list[str], lang: str) -> tuple[int, float]:
         return n, 4.0 * n / max(1, len(chars))
     if len(set(units)) > 0.85 * len(units):
         return 1, 0.0
-    content = Counter(w for w in units if w not in FUNCTION_WORDS[lang] and len(w) > 2)
-    n = max(content.values(), default=0)
-    return n, n / max(1, len(units))
+    known, best = FUNCTION_WORDS[lang], (1, 0.0)
+    for size in (1, 2, 3):
+        grams = Counter(g for g in zip(*(units[i:] for i in range(size))) if any(w not in known and len(w) > 2 for w in g))
+        n = max(grams.values(), default=0)
+        if n >= 3:
+            best = max(best, (n, size * n / len(units)), key=lambda x: x[1])
+    return best
 
 
 def has_link(line: str) -> bool:
@@ -122,7 +128,7 @@ def _stuffed(units: list[str], lang: str) -> bool:
     n, share = repeated_share(units, lang)
     if lang == "zh":
         return (n >= 3 and share >= 0.25) or (n >= 2 and share >= 0.4)
-    return n >= 3 and share >= 0.18
+    return n >= 3 and share >= 0.2
 
 
 def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
@@ -139,7 +145,9 @@ def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
     units = _units(segment, lang)
     if _stuffed(units, lang):
         return 1.0, None
-    share = function_share(units, lang)[0]
+    share, words = function_share(units, lang)
+    if lang == "zh" and share > 0 and words >= 12 and is_terminated(segment):
+        return 0.0, max(share, GRID[-1])  # it ends as a sentence and has a function word; keywords would have been told above
     if share < GRID[-1] and (_DATE.search(segment) or _NUMBERED.match(segment)):
         return 0.0, None
     return 0.0, share
@@ -148,6 +156,8 @@ def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
 def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int], list[int], int]:
     """Language of the Latin part, characters, spam characters at each threshold of GRID in Chinese and in Latin segments,
     histograms of the function shares of their terminated sentences, and the number of spam items at the middle threshold."""
+    if _WIDE.search(text):
+        text = text.translate(_NARROW)
     main = language(text)
     latin = main if main != "zh" else "en"
     total, items = 0, 0
@@ -171,7 +181,7 @@ def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int],
             if size >= 12 and is_terminated(segment):
                 shares[zh][min(50, int(share))] += 1
         if certain > 0.5 or (share is not None and share < GRID[2 if zh else 4]):
-            items += max(1, len(_SEPARATOR.split(segment)), len(_LINK.findall(segment)) if certain else 0)
+            items += max(1, size // 30, len(_SEPARATOR.split(segment)), len(_LINK.findall(segment)) if certain else 0)
     return latin, total, [int(x) for x in spam[True]], [int(x) for x in spam[False]], shares[True], shares[False], items
 
 
