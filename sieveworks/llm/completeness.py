@@ -36,12 +36,12 @@ _WEAK = ";；"
 _AFTER_STOP = "\"'”’」』)）]】》»*_`"
 
 _MARKS = re.compile(r"</?[A-Za-z][A-Za-z0-9_]*(?:\s[^<>]*)?/?>|```|[\[\](){}（）【】「」『』《》“”]")
-_CLOSING_TAGS = re.compile(r"(?:\s*</[A-Za-z][^<>]*>)+\s*$")
+_CLOSING_TAG = re.compile(r"</[A-Za-z][^<>]{0,80}>$")
 _LEADING_TAGS = re.compile(r"^\s*(?:<[A-Za-z][^<>]*>\s*)+")
 _HALF_TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,80}$|</?$")
 _HALF_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$")
 _HALF_ENTITY = re.compile(r"&(?:#x?[0-9A-Fa-f]*|[A-Za-z]{2,8})$")
-_ELLIPSIS = re.compile(r"\s*[\[(（【<]?\s*(?:\.{3,}|…+|。{3,})\s*$")
+_ELLIPSIS = re.compile(r"[\[(（【<]?\s?(?:\.{3,}|…+|。{3,})$")
 _LIST_ENTRY = re.compile(r"^\s*(?:[-*•·]|\d{1,3}[.)、]|[(（]\d{1,3}[)）]|[A-Za-z][.)、．])\s*\S")
 _REFERENCE = re.compile(
     r"(?:\b(?:see|cf\.?|voir)\b[^.]{0,40}\b(?:p|pp|page|pages|para|art)\.?\s*\d+|(?:详见|参见|见)[^。]{0,20}第\s*\d+\s*[页条款号])\s*$", re.IGNORECASE
@@ -97,7 +97,7 @@ def is_heading(line: str) -> bool:
 
 def is_label(text: str) -> bool:
     """Short enough to be a label, a choice or a finding rather than prose; a second sentence is none."""
-    if _INNER_STOP.search(text):
+    if len(text) > 200 or _INNER_STOP.search(text):
         return False
     if _CJK.search(text):
         return len(text) <= LABEL_CHARS
@@ -133,19 +133,27 @@ def _quoted(tail: str, *prompts: str) -> bool | None:
     return seen
 
 
+def _without_tags(text: str) -> str:
+    """Without leading and closing tags."""
+    while m := _CLOSING_TAG.search(text[-100:]):
+        text = text[: len(text) - len(m.group())].rstrip(_SPACE)
+    return _LEADING_TAGS.sub("", text, count=1).strip(_SPACE)
+
+
 def ending(value: str | None, instruction: str | None = None, prompt: str | None = None) -> str:
     """How ``value`` ends: DONE, CUT, OPEN (prose without terminator), ENTRY (of a list), LABEL, or NONE (nothing there)."""
     text = (value or "").strip(_SPACE)
     if not text or not _LETTERS.search(text):
         return CUT if text and text[-1] == "�" else NONE
-    if text[-1] == "�" or _HALF_ESCAPE.search(text) or _HALF_TAG.search(text) or _HALF_ENTITY.search(text):
+    tail = text[-100:]  # the marks of a cut stand at the very end
+    if text[-1] == "�" or _HALF_ESCAPE.search(tail) or _HALF_TAG.search(tail) or _HALF_ENTITY.search(tail):
         return CUT
-    inner = _LEADING_TAGS.sub("", _CLOSING_TAGS.sub("", text)).strip(_SPACE)
+    inner = _without_tags(text)
     if not inner:
         return NONE
-    marked = _ELLIPSIS.search(inner)
+    marked = _ELLIPSIS.search(inner[-100:])
     if marked:
-        before = inner[: marked.start()].rstrip(_SPACE)
+        before = inner[: len(inner) - len(marked.group())].rstrip(_SPACE)
         return NONE if not before else DONE if _stopped(before) else CUT
     last = inner.rsplit("\n", 1)[-1].strip(_SPACE)
     if _stopped(inner):
@@ -156,7 +164,7 @@ def ending(value: str | None, instruction: str | None = None, prompt: str | None
         return DONE
     if "\n" in inner and _LIST_ENTRY.match(last) and not stack:
         return ENTRY
-    if _REFERENCE.search(last):
+    if _REFERENCE.search(last[-120:]):
         return DONE
     if is_heading(last) and not stack:
         return LABEL

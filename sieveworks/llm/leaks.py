@@ -28,7 +28,7 @@ from sieveworks.runtime import table
 GRAM_SHARE = 0.7
 #: Held-out characters up to which the index is sent to all executors: about 20 bytes each.
 MAX_INDEX_CHARS = 8_000_000
-#: Bits of the first, coarse look-up.
+#: Most bits of the first, coarse look-up.
 _COARSE = 22
 
 
@@ -82,8 +82,9 @@ class Index:
         owner = np.repeat(np.arange(len(kept), dtype=np.int32), sizes)
         at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]) if hs else np.empty(0, np.int32)
         order = np.argsort(hashes, kind="stable")
-        coarse = np.zeros(1 << _COARSE, bool)
-        coarse[(hashes >> np.uint64(64 - _COARSE)).astype(np.int64)] = True
+        bits = min(_COARSE, len(hashes).bit_length() + 4)
+        coarse = np.zeros(1 << bits, bool)
+        coarse[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
         return cls(run, k, w, np.array([i for i, _ in kept], np.int64), [p for _, p in kept], hashes[order], owner[order], at[order], coarse)
 
     def leaked(self, plain: str) -> set[int]:
@@ -92,15 +93,23 @@ class Index:
             return set()
         h = kgram_hashes(code_points(plain), self.k)
         where = winnow(h, self.w)
-        where = where[self.coarse[(h[where] >> np.uint64(64 - _COARSE)).astype(np.int64)]]
+        bits = len(self.coarse).bit_length() - 1
+        where = where[self.coarse[(h[where] >> np.uint64(64 - bits)).astype(np.int64)]]
         if not len(where):
             return set()
         start = np.searchsorted(self.hashes, h[where], "left")
         stop = np.searchsorted(self.hashes, h[where], "right")
         found: set[int] = set()
         tried: dict[tuple[int, int], int] = {}
+        open_: dict[int, list[int]] = {}  # occurrences of a k-gram in items that aren't found yet
         for p, a, b in zip(where.tolist(), start.tolist(), stop.tolist()):
-            for x in range(a, b):
+            if a == b:
+                continue
+            occurrences = open_.get(a)
+            if occurrences is None:
+                occurrences = list(range(a, b))
+            before = len(found)
+            for x in occurrences:
                 owner, q = int(self.owner[x]), int(self.at[x])
                 item = int(self.items[owner])
                 if item in found or tried.get((owner, p - q), -1) >= p:
@@ -109,6 +118,8 @@ class Index:
                 tried[owner, p - q] = end
                 if length >= self.run:
                     found.add(item)
+            if len(found) > before or a not in open_:
+                open_[a] = [x for x in occurrences if int(self.items[self.owner[x]]) not in found]
         return found
 
 

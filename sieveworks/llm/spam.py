@@ -42,7 +42,7 @@ FUNCTION_CHARS = frozenset("的了在于是并为与其由对被及将以和而
 
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE_END = re.compile(r"(?<=[。！!？?；;])(?!\s*$)|(?<=[.!?])\s+(?=[\"'“(\[]?[A-ZÀ-Ý0-9#])|(?<=[a-zà-ÿ]{2}[.?!])(?=[A-ZÀ-Ý])")
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\[\]\n]{0,60}\]\([^()\s]*\)|https?://\S+|www\.\S+|\btag:[^\s,;，；|]+|[#＃][^\s#＃,;，；|·/]+(?: (?![#＃])[a-z]+){0,3}", re.IGNORECASE)
+_LINK = re.compile(r"<a\b[^>]{0,300}>.{0,200}?</a>|\[[^\[\]\n]{0,60}\]\([^()\s]*\)|https?://\S+|www\.\S+|\btag:[^\s,;，；|]+|[#＃][^\s#＃,;，；|·/]+(?: (?![#＃])[a-z]+){0,3}", re.IGNORECASE)
 _MAYBE_LINK = re.compile(r"[<#＃\[]|[Tt][Tt][Pp]|[Ww]{3}|[Tt][Aa][Gg]:")
 _DATE = re.compile(r"\d{4}\s*年\s*\d{1,2}\s*月|\b\d{1,2}(?:er)? [A-Za-zéûôè]{3,9} \d{4}\b|\b\d{4}-\d{2}-\d{2}\b")
 _NUMBERED = re.compile(r"^\s*(?:\d{1,4}|[ivxIVX]{1,5}|[A-Za-z])[.)、．]\s*\S|^\s*[（(]\d{1,3}[)）]|^\s*第\s*[\d一二三四五六七八九十百]+\s*[条章节页]")
@@ -50,6 +50,7 @@ _FOOTNOTE = re.compile(r"^\s*\[\d{1,3}\]\s*\S+\s*$")
 _SEPARATOR = re.compile(r"\s*[|｜/／·•;；,，、>»→]\s*|\]\s*\[|\s{2,}|\t")
 _CJK = re.compile(r"[㐀-鿿]+")
 _LATIN_CHARS = re.compile(r"[A-Za-zÀ-ɏ]+")
+_WIDE_SPACE = re.compile(r"[ \t　 ]{5,}")
 _WIDE = re.compile(r"[Ａ-Ｚａ-ｚ]")
 _NARROW = {c: c - 0xFEE0 for a, b in ((0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A)) for c in range(a, b + 1)}
 _SCRIPT = re.compile(r"[A-Za-zÀ-ɏ㐀-鿿]")
@@ -156,6 +157,8 @@ def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
 def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int], list[int], int]:
     """Language of the Latin part, characters, spam characters at each threshold of GRID in Chinese and in Latin segments,
     histograms of the function shares of their terminated sentences, and the number of spam items at the middle threshold."""
+    if "    " in text:
+        text = _WIDE_SPACE.sub("    ", text)
     if _WIDE.search(text):
         text = text.translate(_NARROW)
     main = language(text)

@@ -29,6 +29,11 @@ def test_winnow_keeps_the_least_of_each_window(values, w):
         assert any(j in kept and h[j] == h[i : i + w].min() for j in range(i, i + w))
 
 
+def test_repetitive_texts_take_no_squared_time():
+    assert leaks.Index.of([(1, "a" * 20_000), (2, "ab" * 10_000)], 80).leaked("a" * 300_000 + "ab" * 50_000) == {1, 2}
+    assert leaks.Index.of([(1, "a" * 79)], 80).leaked("a" * 1000) == set()
+
+
 def test_both_ways_agree_with_brute_force(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
@@ -89,3 +94,8 @@ def test_spam_and_ordinary_pages(spark):
 
 def test_spam_of_nothing(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_pages_take_no_squared_time():
+    for v in ("word" + " " * 400_000 + "word", "<a>" * 100_000, "# " * 100_000, "| " * 100_000, "a. " * 100_000, "word " * 200_000):
+        spam.page_profile(v)
