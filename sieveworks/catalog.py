@@ -5,6 +5,7 @@ A query is the operator with production parameters over its whole table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -457,7 +458,7 @@ def human_gpt_pairs(spark: SparkSession, d: str) -> DataFrame:
 _VICUNA = dialog.TEMPLATES["vicuna"]
 _Q_PREFERENCE = """array_to_string(list_transform(list_concat(coalesce(history, []), [[question, '']]), lambda p, i:
     CASE WHEN i = 1 THEN CASE WHEN coalesce(system, '') = '' THEN '{default}' ELSE system END || '</s>' ELSE '</s>' END || 'USER: ' || coalesce(p[1], '') || ' ASSISTANT:' || coalesce(p[2], '')), '')""".replace(
-    "{default}", _VICUNA.default_system.replace("'", "''")
+    "{default}", _VICUNA.system.replace("'", "''")
 )
 
 
@@ -646,10 +647,8 @@ _PROMPT_COLUMNS = ("question", "contract", "text", "policy", "claim", "citation"
 
 def _q_items() -> str:
     has = ", ".join(f"bool_or({c} IS NOT NULL) AS has_{c}" for c in _PROMPT_COLUMNS)
-    options = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN has_choice_{i} THEN '({chr(97 + i)}) ' || coalesce(choice_{i}, '') END" for i in range(5)) + ")"
+    options = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN has_choice_{i} THEN '({chr(97 + i)}) ' || choice_{i} END" for i in range(5)) + ")"
     cases = []
-    import re
-
     for needed, template in scoring.ITEM_PROMPTS:
         parts = []
         for piece in re.split(r"(\{[a-z]+!?\})", template):
@@ -674,6 +673,20 @@ def item_prompts(spark: SparkSession, d: str) -> DataFrame:
     return items.join(has, "task").select("item_id", scoring.item_prompt(F.col("present"), ask).alias("prompt"))
 
 
+@query(
+    """WITH h AS (SELECT task, bool_or(choice_0 IS NOT NULL) AS c, bool_or(question IS NOT NULL) AS q, bool_or(contract IS NOT NULL) AS k FROM legalbench_item GROUP BY 1)
+    SELECT item_id, CASE WHEN c THEN coalesce(question, '') || chr(10) || chr(10) || concat_ws(chr(10), '  (a) ' || choice_0, '  (b) ' || choice_1, '  (c) ' || choice_2, '  (d) ' || choice_3, '  (e) ' || choice_4)
+        || chr(10) || chr(10) || 'Select the best answer by letter (a-e):'
+      WHEN q AND k THEN 'Contract:' || chr(10) || substr(coalesce(contract, ''), 1, 3000) || chr(10) || chr(10) || 'Question: ' || coalesce(question, '') || chr(10) || chr(10) || 'Answer:'
+      WHEN q THEN coalesce(question, '') || chr(10) || chr(10) || 'Answer:' ELSE coalesce(text, '') || chr(10) || chr(10) || 'Answer:' END AS prompt FROM legalbench_item JOIN h USING (task)"""
+)
+def old_item_prompts(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "legalbench_item")
+    has = items.groupBy("task").agg(F.array_compact(F.array(*[F.when(F.bool_or(F.col(c).isNotNull()), F.lit(c)) for c in _PROMPT_COLUMNS])).alias("present"))
+    prompt = scoring.item_prompt(F.col("present"), F.lit("Answer:"), templates=scoring.OLD_ITEM_PROMPTS, indent="  ")
+    return items.join(has, "task").select("item_id", prompt.alias("prompt"))
+
+
 @query(f"SELECT item_id, concat_ws(chr(10), {q_some('instruction')}, {q_some('question')}) AS prompt FROM lawbench_item")
 def bench_prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lawbench_item").select("item_id", scoring.bench_prompt(F.col("instruction"), F.col("question")).alias("prompt"))
@@ -728,6 +741,23 @@ def vocabulary_difference(spark: SparkSession, d: str) -> DataFrame:
     return curate.absent_from(asked, one(_sft(spark, d), "input"), ["ch"])
 
 
+_Q_WORDS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z]{{3,}}')"
+
+
+@query(
+    f"""WITH b AS (SELECT DISTINCT unnest({_Q_WORDS.format('text')}) AS piece FROM documents), d AS (SELECT DISTINCT unnest({_Q_WORDS.format('input')}) AS piece FROM sft_records),
+    f AS (SELECT piece, count(*) AS n FROM (SELECT unnest({_Q_WORDS.format('contract')}) AS piece FROM legalbench_item) GROUP BY 1),
+    t AS (SELECT piece FROM f ORDER BY n DESC, piece LIMIT 500)
+    SELECT piece, 'domain' AS origin FROM d WHERE piece NOT IN (SELECT piece FROM b) UNION ALL
+    SELECT piece, 'frequent' AS origin FROM t WHERE piece NOT IN (SELECT piece FROM b) AND piece NOT IN (SELECT piece FROM d)"""
+)
+def merged_vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the inputs that the documents lack, and of the commonest 500 of the contracts those that both lack."""
+    words = lambda t, c: table(spark, d, t).select(F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit("([a-z]{3,})"), 1)).alias("piece"))
+    frequent = words("legalbench_item", "contract").groupBy("piece").agg(F.count(F.lit(1)).alias("freq"))
+    return curate.new_vocabulary(words("documents", "text"), {"domain": words("sft_records", "input")}, frequent, 500)
+
+
 @query(f"SELECT completion_id, {q_strip(chr(34) + 'cut' + chr(34))} AS cut FROM (SELECT completion_id, string_split(coalesce(content, ''), '</think>')[1] AS cut FROM completion)")
 def stop_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "completion").select("completion_id", text.cut_at_stop(F.coalesce("content", F.lit("")), "</think>").alias("cut"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -138,16 +139,23 @@ ITEM_PROMPTS: Sequence[tuple[tuple[str, ...], str]] = (
 )
 
 
-def item_prompt(present: Column, ask: Column, limit: int = 3000) -> Column:
-    """The prompt of an item by the columns that its task has: ``present`` is the array of their names. Nulls are ''."""
-    import re
+#: The older prompts.
+OLD_ITEM_PROMPTS: Sequence[tuple[tuple[str, ...], str]] = (
+    (("choice_0",), "{question}\n\n{options}\n\nSelect the best answer by letter (a-e):"),
+    (("question", "contract"), "Contract:\n{contract!}\n\nQuestion: {question}\n\n{ask}"),
+    (("question",), "{question}\n\n{ask}"),
+    (("text",), "{text}\n\n{ask}"),
+)
+
 
+def item_prompt(present: Column, ask: Column, limit: int = 3000, templates: Sequence[tuple[tuple[str, ...], str]] = ITEM_PROMPTS, indent: str = "") -> Column:
+    """The prompt of an item by the columns that its task has: ``present`` is the array of their names. Nulls are ''; null choices are left out."""
     out: Column | None = None
     options = F.array_join(
-        F.filter(F.array(*[F.when(F.array_contains(present, f"choice_{i}"), F.concat(F.lit(f"({chr(97 + i)}) "), F.coalesce(F.col(f"choice_{i}"), F.lit("")))) for i in range(5)]), lambda x: x.isNotNull()),
+        F.filter(F.array(*[F.when(F.array_contains(present, f"choice_{i}"), F.concat(F.lit(f"{indent}({chr(97 + i)}) "), F.col(f"choice_{i}"))) for i in range(5)]), lambda x: x.isNotNull()),
         "\n",
     )
-    for needed, template in ITEM_PROMPTS:
+    for needed, template in templates:
         parts: list[Column] = []
         for piece in re.split(r"(\{[a-z]+!?\})", template):
             if piece == "{ask}":

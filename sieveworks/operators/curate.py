@@ -86,6 +86,82 @@ def absent_from(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame
     return df.join(other.select(*on).distinct(), list(on), "left_anti")
 
 
+def new_vocabulary(base: DataFrame, domains: Mapping[str, DataFrame], frequent: DataFrame | None = None, top: int = 0) -> DataFrame:
+    """(piece, origin) of what is added to a base vocabulary: each domain's pieces that neither the base nor an earlier domain has, then of the ``top`` most frequent words (piece, freq) those still new."""
+    known = base.select("piece").filter("piece is not null").distinct()
+    parts = []
+    for name, pieces in domains.items():
+        fresh = absent_from(pieces.select("piece").filter("piece is not null").distinct(), known, ["piece"])
+        parts.append(fresh.withColumn("origin", F.lit(name)))
+        known = known.union(fresh)
+    if frequent is not None:
+        head = frequent.filter("piece is not null").orderBy(F.desc("freq"), "piece").limit(top).select("piece").distinct()
+        parts.append(absent_from(head, known, ["piece"]).withColumn("origin", F.lit("frequent")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def selected_tasks(tasks: Sequence[str], names: str = "", suite: Sequence[str] = (), first: int = 0) -> list[str]:
+    """Tasks to run, in their own order: those named, else those of a suite, else the first few (0: all)."""
+    wanted = [n.strip() for n in names.split(",") if n.strip()] or list(suite)
+    if wanted:
+        return [t for t in tasks if t in wanted]
+    return list(tasks[:first] if first > 0 else tasks)
+
+
+def without_files(df: DataFrame, words: Sequence[str], file: str = "_source_file") -> DataFrame:
+    """Rows whose file's name has none of the words; a null name has none."""
+    name = F.lower(F.coalesce(F.col(file), F.lit("")))
+    for w in words:
+        df = df.filter(~basename(name).contains(w.lower()))
+    return df
+
+
+def require_references(df: DataFrame, reference: str) -> DataFrame:
+    """``df``, if a reference has something in it; raises where a judge would have nothing to go by."""
+    if df.filter(~is_blank(F.col(reference))).isEmpty():
+        raise ValueError(f"no {reference} to judge by")
+    return df
+
+
+def record_key(own: Column, line: Column) -> Column:
+    """A record's own id, else its line number as text."""
+    return F.coalesce(F.nullif(sanitize(own), F.lit("")), line.cast("string"))
+
+
+def split_of_file(file: Column) -> Column:
+    """What a file's name says: validation, test, else train."""
+    name = F.lower(basename(file))
+    return F.when(name.rlike("validation|valid|eval"), "validation").when(name.contains("test"), "test").otherwise("train")
+
+
+def all_files(*parts: DataFrame) -> DataFrame:
+    """The union by name; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """A prompt from a template with {name} places; values are stripped, null is ''."""
+    parts: list[Column] = []
+    rest = template
+    while rest:
+        head, place, tail = rest.partition("{")
+        if head:
+            parts.append(F.lit(head))
+        if not place:
+            break
+        name, end, rest = tail.partition("}")
+        if not end or name not in columns:
+            raise ValueError(f"no column for {{{name}")
+        parts.append(sanitize(columns[name]))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 # --- classification ----------------------------------------------------------------------------------
 
 # Tasks with display name, sampling weight and system prompt.

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -104,12 +105,10 @@ def judged(df: DataFrame, fields: list[str], reference: str, judge: Callable[[li
 
 
 def chat_url(address: str) -> str:
-    """The completions address of a service: https by default, the usual path where it is missing."""
-    address = (address or "").strip().rstrip("/")
+    """The completions address of a service: http where no scheme is given, the usual path where there is none."""
+    address = (address or "").strip()
     if not address:
         raise ValueError("no address")
-    if "://" not in address:
-        address = "https://" + address
-    if address.endswith("/chat/completions"):
-        return address
-    return address + ("/chat/completions" if address.endswith("/v1") else "/v1/chat/completions")
+    if not address.startswith(("http://", "https://")):
+        address = "http://" + address
+    return address if urlparse(address).path.rstrip("/") else address.rstrip("/") + "/v1/chat/completions"

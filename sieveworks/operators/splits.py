@@ -123,3 +123,8 @@ def tail_holdout(df: DataFrame, order: str, k: int = 100) -> DataFrame:
 def pick_split(available: Mapping[str, bool]) -> str:
     """Which evaluation set to use: validation before test before a ratio split."""
     return next((s for s in ("validation", "test") if available.get(s)), "ratio")
+
+
+def shuffled(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """All rows in the order of the hash: a distributed sort."""
+    return df.orderBy(order_key(seed, *[F.col(k) for k in key]), *key)

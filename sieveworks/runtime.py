@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
-import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, local runs) a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and the session runs on this machine alone (tests) a temporary folder is used.
     """
     sc = spark.sparkContext
     have = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not have:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         have = "file://" + tempfile.mkdtemp(prefix="sieveworks-ckpt-")
         spark.conf.set("spark.checkpoint.dir", have)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -36,17 +38,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Give executors on other machines this package; a local master already has it."""
     sc = spark.sparkContext
-    if sc.master.startswith("local") or getattr(sc, "_sieveworks_shipped", False):
-        return
-    root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="sieveworks-code-"), "sieveworks_code.zip")
+    if not sc.master.startswith("local") and not getattr(sc, "_sieveworks_shipped", False):
+        ship_code(spark)
+        sc._sieveworks_shipped = True
+
+
+def ship_code(spark: SparkSession) -> str:
+    """The package as an archive in the shared folder, added to the session; its address."""
+    sc, root = spark.sparkContext, Path(__file__).resolve().parent
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, str(p.relative_to(root.parent)))
-    Path(target).write_bytes(buffer.getvalue())
-    sc.addPyFile(target)
-    sc._sieveworks_shipped = True
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/sieveworks_code_{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    sc.addPyFile(path.toString())
+    return path.toString()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

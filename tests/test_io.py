@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sieveworks.runtime import checkpoint_dir, cut_lineage
+from sieveworks.runtime import checkpoint_dir, cut_lineage, ship_code
 from sieveworks.sources import jsonl, paths, sinks, tables
 from sieveworks.streaming import curation
 
@@ -120,3 +120,9 @@ def test_streams(spark, tmp_path):
 def test_checkpoints_go_where_the_session_says(spark):
     assert cut_lineage(spark.range(3)).count() == 3
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_code_is_shipped_through_the_shared_folder(spark):
+    where = ship_code(spark)
+    assert where.startswith(checkpoint_dir(spark))
+    assert spark.range(2).count() == 2

@@ -250,7 +250,11 @@ def test_dialog_rules(spark):
 def test_templates_and_pairs(spark):
     df = spark.createDataFrame([([["q1", "a1"], ["q2", ""]], "sys"), ([], None)], "h array<array<string>>, s string")
     got = [r["x"] for r in df.select(dialog.rendered(F.col("h"), F.col("s"), dialog.TEMPLATES["llama2"]).alias("x")).collect()]
-    assert got == ["<<SYS>>\nsys\n<</SYS>>\n\n</s>[INST] q1 [/INST]a1</s>[INST] q2 [/INST]", ""]
+    assert got == ["sys</s>[INST] q1 [/INST]a1</s>[INST] q2 [/INST]", ""]
+    assert len(dialog.TEMPLATES) == 29
+    got = [r["x"] for r in df.select(dialog.rendered(F.col("h"), F.lit(""), dialog.TEMPLATES["chatml"]).alias("x")).collect()]
+    assert got[0].startswith("You are a helpful assistant.<|im_end|>\n<|im_start|>user\nq1<|im_end|>\n<|im_start|>assistant\na1<|im_end|>\n<|im_start|>user\nq2")
+    assert "q1" not in df.select(dialog.rendered(F.col("h"), F.col("s"), dialog.TEMPLATES["deepseekcoder"]).alias("x")).first()["x"]
     turns = spark.createDataFrame([(1, 1, "gpt", "lost"), (1, 2, "human", "h"), (1, 3, "gpt", "a"), (1, 4, "gpt", "b"), (2, 5, "gpt", "other file")], "part long, ord long, `from` string, value string")
     assert [(r["human"], r["gpt"]) for r in dialog.human_gpt_pairs(turns, "ord").orderBy("ord").collect()] == [("h", "a"), ("h", "b")]
 
@@ -262,6 +266,35 @@ def test_tool_replies(spark):
     assert "search: find" in dialog.tool_prompt([{"name": "search", "description": "find"}], "why?")
 
 
+def test_chat_history():
+    say = lambda role, content, **k: {"role": role, "content": content, **k}
+    got = dialog.chat_history([say("system", "\ns "), say("user", "q1"), say("assistant", "a1"), say("user", "q2")])
+    assert got == {"system": "s", "history": [["q1", "a1"]], "query": "q2"}
+    tools = [{"name": "find", "description": "finds", "parameters": {}}]
+    got = dialog.chat_history([say("user", "q"), say("assistant", "", tool_calls={"name": "find", "arguments": "{}"}), say("function", "seen")], tools)
+    assert got["query"] is None and got["history"][0][1] == "Thought: \nAction: find\nAction Input: {}\nObservation: seen\nThought:" and "Question: q" in got["history"][0][0]
+    assert "Question: q" in dialog.chat_history([say("user", "q")], tools)["query"]
+    for bad in ([say("assistant", "a")], [say("user", "a"), say("user", "b")], [say("user", "a"), say("tool", "b")], [say("user", "q"), say("function", "r")], [say("assistant", "a"), say("user", "b")]):
+        with pytest.raises(ValueError):
+            dialog.chat_history(bad)
+
+
+def test_small_helpers(spark):
+    assert curate.selected_tasks(["a", "b", "c"], "c, a") == ["a", "c"] and curate.selected_tasks(["a", "b"], suite=["b"]) == ["b"] and curate.selected_tasks(["a", "b"], first=1) == ["a"]
+    df = spark.createDataFrame([("x/cail2018.jsonl", "r"), ("y/eval_1.jsonl", " "), (None, None)], "_source_file string, ref string")
+    assert curate.without_files(df, ["CAIL2018"]).count() == 2
+    assert [r["x"] for r in df.select(curate.split_of_file(F.col("_source_file")).alias("x")).collect()] == ["train", "validation", "train"]
+    assert curate.require_references(df, "ref").count() == 3
+    with pytest.raises(ValueError):
+        curate.require_references(df.filter("ref = ' '"), "ref")
+    assert one(spark, curate.filled("a {x} b {y}", x=F.col("x"), y=F.col("y")), x=" 1 ", y=None) == "a 1 b "
+    with pytest.raises(ValueError):
+        curate.filled("{z}", x=F.lit(1))
+    assert one(spark, curate.record_key(F.col("x"), F.lit(7)), x=" ") == "7"
+    assert curate.all_files(df, spark.createDataFrame([("z",)], "other string")).columns == ["_source_file", "ref", "other"]
+    assert sorted(r["ref"] or "" for r in splits.shuffled(df, ["ref"]).collect()) == ["", " ", "r"]
+
+
 def test_sharegpt_validity(spark):
     cases = [([], True), ([("human", "q")], True), ([("bot", "q")], False), ([("human", None)], False), (None, False), ([("human", "q"), (None, "x")], False)]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i long, d array<struct<from:string,value:string>>")
@@ -315,7 +348,8 @@ def test_json_object(s, want):
 
 
 def test_chat_url():
-    assert generate.chat_url("host/v1/") == "https://host/v1/chat/completions" == generate.chat_url("https://host/v1/chat/completions") == generate.chat_url("host")
+    assert generate.chat_url("host") == "http://host/v1/chat/completions" == generate.chat_url("http://host/") == generate.chat_url("http://host/v1/chat/completions")
+    assert generate.chat_url("https://host/v1") == "https://host/v1"
     with pytest.raises(ValueError):
         generate.chat_url(" ")
 
