@@ -712,8 +712,7 @@ def mse_mae(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT round(exp(avg(length(output)::DOUBLE / 500)), 9) AS perplexity, (SELECT round(exp(sum(length(output)::DOUBLE / 500 * 512) / (count(*) * sum(length(output)))::DOUBLE), 9) FROM sft_records WHERE output IS NOT NULL) AS per_character FROM sft_records")
 def perplexities(spark: SparkSession, d: str) -> DataFrame:
     df = _sft(spark, d).filter("output is not null").select("output", (F.length("output") / 500.0).alias("loss"))
-    both = reports.perplexity(df, "loss").select(F.round("perplexity", 9).alias("perplexity"), F.lit(1).alias("k"))
-    return both.join(reports.perplexity_per_character(df, "loss", "output").select(F.round("perplexity", 9).alias("per_character"), F.lit(1).alias("k")), "k").drop("k")
+    return df.agg(F.round(reports.perplexity_of(F.col("loss")), 9).alias("perplexity"), F.round(reports.padded_perplexity_of(F.col("loss"), F.col("output")), 9).alias("per_character"))
 
 
 @query(

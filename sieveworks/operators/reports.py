@@ -128,12 +128,11 @@ def pairwise_log_loss(df: DataFrame, chosen: str, rejected: str) -> DataFrame:
     return df.agg(F.avg(F.log1p(F.exp(-F.abs(d))) + F.greatest(-d, F.lit(0.0))).alias("log_loss"))
 
 
-def perplexity(df: DataFrame, loss: str) -> DataFrame:
+def perplexity_of(loss: Column) -> Column:
     """exp of the mean loss; infinite where that overflows."""
-    return df.agg(F.exp(F.avg(loss)).alias("perplexity"))
+    return F.exp(F.avg(loss))
 
 
-def perplexity_per_character(df: DataFrame, loss: str, text: str, padded: int = 512) -> DataFrame:
+def padded_perplexity_of(loss: Column, text: Column, padded: int = 512) -> Column:
     """exp(sum of loss * padded length / (n * characters)): the older, non-standard form, padding included."""
-    n, chars = F.count(F.lit(1)), F.sum(F.length(text))
-    return df.agg(F.exp(F.sum(F.col(loss) * padded) / (n * chars)).alias("perplexity"))
+    return F.exp(F.sum(loss * padded) / (F.count(F.lit(1)) * F.sum(F.length(text))))

@@ -58,3 +58,9 @@ def test_filters_and_columns_reach_the_scan(spark, capsys):
     schema = next(x for x in plan.splitlines() if "ReadSchema" in x)
     assert "instruction" not in schema and "input" not in schema
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
+def test_plans_have_no_cross_join(spark, name):
+    plan = catalog.queries()[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
