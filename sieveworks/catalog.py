@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.functions import scoring, text
 from sieveworks.operators import curate, dedup, dialog, diverse, generate, reports, splits, tokenized
+from sieveworks.plans import curation, evaluation
 from sieveworks.runtime import ship, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -359,6 +360,18 @@ def reservoir_pool(spark: SparkSession, d: str) -> DataFrame:
     return diverse.reservoir(_records(spark, d).select("record_id"), ["record_id"], 1000)
 
 
+_Q_PREPARED = f"""WITH o AS (SELECT DISTINCT record_id, {_q_task()} AS task_name FROM sft_records WHERE NOT {q_blank('instruction')} AND NOT {q_blank('input')} AND NOT {q_blank('output')}),
+    c AS (SELECT task_name, count(*) AS n FROM o GROUP BY 1), v AS (SELECT task_name, n, ({_Q_HELD})::BIGINT AS n_validation FROM c),
+    b AS (SELECT task_name, n_validation, n - n_validation AS n_before, max(n - n_validation) OVER () AS m FROM v)
+    SELECT task_name, n_before, n_validation, least(greatest(round_even(m * {_Q_WEIGHT}, 0)::BIGINT, 1), greatest(1, ceil(n_before * 3.0::DOUBLE)::BIGINT)) AS n_train FROM b"""
+
+
+@query(_Q_PREPARED)
+def prepared_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from records to training and validation rows; a record delivered twice is one."""
+    return curation.prepared_counts(*curation.prepared(_sft(spark, d).dropDuplicates(["record_id"])))
+
+
 # --- near-duplicates and diversity ------------------------------------------------------------------------
 
 _SHAPE = dedup.MinHash()
@@ -563,13 +576,13 @@ def match_answers(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def score_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Raw predictions: answer extracted by the task's labels and choices, and judged."""
-    items = table(spark, d, "legalbench_item")
-    labels = reports.inferred_labels(items, ["item_id"]).select(F.col("task").alias("label_task"), "labels")
-    keyed = items.select("item_id", F.col("task").alias("label_task"), F.col("choice_0").isNotNull().alias("choice")).join(labels, "label_task")
-    df = _predictions(spark, d).join(keyed, "item_id")
-    got = scoring.final_answer(F.col("prediction_raw"), F.col("truth"), F.col("choice"), F.col("labels"))
-    df = df.select("prediction_id", "truth", "choice", got.alias("extracted"))
-    return df.select("prediction_id", "extracted", scoring.is_correct(F.col("extracted"), F.col("truth"), F.col("choice")).alias("correct"))
+    return evaluation.scored(_predictions(spark, d), table(spark, d, "legalbench_item")).select("prediction_id", "extracted", "correct")
+
+
+@query()
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Micro and macro accuracy of each model by the answers extracted here."""
+    return evaluation.summary(evaluation.scored(_predictions(spark, d), table(spark, d, "legalbench_item")))[1]
 
 
 _Q_ACCURACY = f"""SELECT model_name, task, n, correct, {q_share('correct', 'n', 2)} AS accuracy_pct FROM (

@@ -126,3 +126,24 @@ def test_code_is_shipped_through_the_shared_folder(spark):
     where = ship_code(spark)
     assert where.startswith(checkpoint_dir(spark))
     assert spark.range(2).count() == 2
+
+
+def test_pipelines(spark, tmp_path):
+    from sieveworks.plans import curation as plan
+    from sieveworks.plans import evaluation
+
+    rows = [(i, "请写一份案情摘要" if i % 3 else "选择题：选出正确的一项", f"案情{i}" * 40, "答" if i != 5 else " ", "s", "f.jsonl") for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id long, instruction string, input string, output string, source string, _source_file string")
+    parts = plan.prepared(df)
+    counts = {r["task_name"]: (r["n_before"], r["n_train"], r["n_validation"]) for r in plan.prepared_counts(*parts).collect()}
+    assert counts == {"case_summary": (37, 26, 2), "mcq": (19, 37, 1)}
+    plan.write_prepared(str(tmp_path / "out"), *parts)
+    assert spark.read.json(str(tmp_path / "out" / "train")).count() == 63 and json.loads((tmp_path / "out" / "metadata.json").read_text())["mcq"]["n_train"] == 37
+    thin = plan.thinned(df.withColumn("input", F.concat("input", F.sha2(F.col("record_id").cast("string"), 512))), "record_id", 4)
+    assert thin.filter("_sampled = 'selected'").count() == min(4, thin.count()) > 0
+    items = spark.createDataFrame([(1, "t", "Yes", None), (2, "t", "No", None), (3, "c", "b", "x")], "item_id long, task string, answer string, choice_0 string")
+    predictions = spark.createDataFrame([(1, "m", "t", "Yes", "<think>no</think> yes"), (2, "m", "t", "No", None), (3, "m", "c", "b", "1")], "item_id long, model_name string, task string, truth string, prediction_raw string")
+    scores = evaluation.scored(predictions, items)
+    assert {r["item_id"]: r["correct"] for r in scores.collect()} == {1: True, 2: False, 3: True}
+    evaluation.write_report(scores, str(tmp_path / "report"))
+    assert "| m | t | 2 | 1 | 50.0 |" in (tmp_path / "report.md").read_text() and (tmp_path / "report_responses" / "task=t").is_dir()
