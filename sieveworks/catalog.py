@@ -595,7 +595,7 @@ def task_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT model_name, n_tasks, n, correct, {q_share('correct', 'n', 4)} AS micro_pct, round(h::DOUBLE / n_tasks / 100, 4) AS macro_pct FROM (
+    f"""SELECT model_name, n_tasks, n, correct, {q_share('correct', 'n', 4)} AS micro_pct, round((h * 100)::DOUBLE / n_tasks::DOUBLE) / 10000.0::DOUBLE AS macro_pct FROM (
     SELECT model_name, count(*) AS n_tasks, sum(n)::BIGINT AS n, sum(correct)::BIGINT AS correct, sum(round(accuracy_pct * 100)::BIGINT)::BIGINT AS h FROM ({_Q_ACCURACY}) GROUP BY 1)"""
 )
 def micro_macro(spark: SparkSession, d: str) -> DataFrame:
@@ -639,17 +639,19 @@ def lawbench_splits(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {_Q_SCORES} SELECT split, regexp_extract(task, '\\A([^-]*)', 1) AS grp, count(*) AS n_tasks, CASE WHEN sum(coalesce(n, 0)) > 0 THEN sum(coalesce(n, 0))::DOUBLE END AS total_samples,
-    round(avg(round(score * 100, 4)), 4) AS macro_score_pct, round(avg(round(abstention_rate * 100, 4)), 4) AS macro_abstention_pct FROM j GROUP BY 1, 2"""
+    round(sum(round(score * 100 * 10000))::DOUBLE / count(*)::DOUBLE) / 10000.0::DOUBLE AS macro_score_pct, round(sum(round(abstention_rate * 100 * 10000))::DOUBLE / count(*)::DOUBLE) / 10000.0::DOUBLE AS macro_abstention_pct FROM j GROUP BY 1, 2"""
 )
 def lawbench_groups(spark: SparkSession, d: str) -> DataFrame:
     return _as_double(reports.group_scores(*_scores(spark, d)))
 
 
 @query(
-    f"""WITH {_Q_SCORES} SELECT count(*) AS n_splits, sum(n_tasks)::BIGINT AS n_tasks, CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(total_samples)::DOUBLE END AS total_samples, round(avg(macro_score_pct), 4) AS macro_score_pct,
-    round(CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(weighted_score_pct * coalesce(total_samples, 0)) / sum(total_samples)::DOUBLE ELSE avg(macro_score_pct) END, 4) AS weighted_score_pct,
-    round(avg(macro_abstention_pct), 4) AS macro_abstention_pct,
-    round(CASE WHEN sum(coalesce(total_samples, 0)) > 0 THEN sum(weighted_abstention_pct * coalesce(total_samples, 0)) / sum(total_samples)::DOUBLE ELSE avg(macro_abstention_pct) END, 4) AS weighted_abstention_pct FROM v"""
+    f"""WITH {_Q_SCORES}, i AS (SELECT n_tasks, coalesce(total_samples, 0)::BIGINT AS n, round(macro_score_pct * 10000)::BIGINT AS ms, round(weighted_score_pct * 10000)::BIGINT AS ws,
+      round(macro_abstention_pct * 10000)::BIGINT AS ma, round(weighted_abstention_pct * 10000)::BIGINT AS wa FROM v)
+    SELECT count(*) AS n_splits, sum(n_tasks)::BIGINT AS n_tasks, CASE WHEN sum(n) > 0 THEN sum(n)::DOUBLE END AS total_samples, round(sum(ms)::DOUBLE / count(*)::DOUBLE) / 10000.0::DOUBLE AS macro_score_pct,
+    round(CASE WHEN sum(n) > 0 THEN sum(ws * n)::DOUBLE / sum(n)::DOUBLE ELSE sum(ms)::DOUBLE / count(*)::DOUBLE END) / 10000.0::DOUBLE AS weighted_score_pct,
+    round(sum(ma)::DOUBLE / count(*)::DOUBLE) / 10000.0::DOUBLE AS macro_abstention_pct,
+    round(CASE WHEN sum(n) > 0 THEN sum(wa * n)::DOUBLE / sum(n)::DOUBLE ELSE sum(ma)::DOUBLE / count(*)::DOUBLE END) / 10000.0::DOUBLE AS weighted_abstention_pct FROM i"""
 )
 def lawbench_overall(spark: SparkSession, d: str) -> DataFrame:
     return _as_double(reports.overall_scores(reports.split_scores(*_scores(spark, d))))

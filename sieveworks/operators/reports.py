@@ -48,11 +48,20 @@ def task_accuracy(df: DataFrame, by: Sequence[str] = ("task",), matched: str = "
     return per.withColumn("accuracy_pct", rounded_share(F.col("correct"), F.col("n"), 2))
 
 
+def _ten_thousandths(c: Column) -> Column:
+    return F.round(c * 10_000).cast("long")
+
+
+def _mean_4(total: Column, n: Column) -> Column:
+    """Mean to 4 digits of values whose ten-thousandths add up to the whole number ``total``: a tie is one in every order of the rows."""
+    return F.round(total.cast("double") / n.cast("double")) / 10_000.0
+
+
 def micro_macro(per_task: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Micro accuracy over all rows, and macro accuracy as the mean of the rounded percentages of the tasks."""
     hundredths = F.sum(F.round(F.col("accuracy_pct") * 100).cast("long"))
     agg = per_task.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tasks"), F.sum("n").alias("n"), F.sum("correct").alias("correct"), hundredths.alias("h"))
-    macro = F.round(F.col("h").cast("double") / F.col("n_tasks") / 100, 4).alias("macro_pct")
+    macro = _mean_4(F.col("h") * 100, F.col("n_tasks")).alias("macro_pct")
     return agg.select(*by, "n_tasks", "n", "correct", rounded_share(F.col("correct"), F.col("n"), 4).alias("micro_pct"), macro)
 
 
@@ -92,7 +101,7 @@ def split_scores(scores: DataFrame, sizes: DataFrame) -> DataFrame:
 def group_scores(scores: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per split and group (the task's name before its first '-'): tasks, samples (null for none), and the mean of the tasks' rounded percentages."""
     df = scores.join(sizes, ["split", "task"], "left").withColumn("grp", F.substring_index("task", "-", 1))
-    mean = lambda c: F.round(F.avg(F.round(F.col(c) * 100, 4)), 4)
+    mean = lambda c: _mean_4(F.sum(_ten_thousandths(F.col(c) * 100)), F.count(F.lit(1)))
     agg = df.groupBy("split", "grp").agg(
         F.count(F.lit(1)).alias("n_tasks"), F.sum(F.coalesce("n", F.lit(0))).alias("total"), mean("score").alias("macro_score_pct"), mean("abstention_rate").alias("macro_abstention_pct")
     )
@@ -101,16 +110,15 @@ def group_scores(scores: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def overall_scores(per_split: DataFrame) -> DataFrame:
     """All splits: macro as the mean of the splits' rounded macros, weighted by samples over the splits that have any (else the macro)."""
-    s = F.coalesce("total_samples", F.lit(0))
-    agg = per_split.agg(
-        F.count(F.lit(1)).alias("n_splits"), F.sum("n_tasks").alias("n_tasks"), F.sum(s).alias("total"), F.avg("macro_score_pct").alias("ms"), F.avg("macro_abstention_pct").alias("ma"),
-        F.sum(F.col("weighted_score_pct") * s).alias("ws"), F.sum(F.col("weighted_abstention_pct") * s).alias("wa"),
-    )
-    w = lambda a, b: F.round(F.when(F.col("total") > 0, F.col(a) / F.col("total")).otherwise(F.col(b)), 4)
-    return agg.select(
-        "n_splits", "n_tasks", F.when(F.col("total") > 0, F.col("total")).alias("total_samples"),
-        F.round("ms", 4).alias("macro_score_pct"), w("ws", "ms").alias("weighted_score_pct"), F.round("ma", 4).alias("macro_abstention_pct"), w("wa", "ma").alias("weighted_abstention_pct"),
-    )
+    s = F.coalesce("total_samples", F.lit(0)).cast("long")
+    kinds = ("score", "abstention")
+    sums = [F.sum(_ten_thousandths(F.col(f"macro_{k}_pct"))).alias(f"m_{k}") for k in kinds] + [F.sum(_ten_thousandths(F.col(f"weighted_{k}_pct")) * s).alias(f"w_{k}") for k in kinds]
+    agg = per_split.agg(F.count(F.lit(1)).alias("n_splits"), F.sum("n_tasks").alias("n_tasks"), F.sum(s).alias("total"), *sums)
+    out = [F.col("n_splits"), F.col("n_tasks"), F.when(F.col("total") > 0, F.col("total")).alias("total_samples")]
+    for k in kinds:
+        macro = _mean_4(F.col(f"m_{k}"), F.col("n_splits"))
+        out += [macro.alias(f"macro_{k}_pct"), F.when(F.col("total") > 0, _mean_4(F.col(f"w_{k}"), F.col("total"))).otherwise(macro).alias(f"weighted_{k}_pct")]
+    return agg.filter("n_splits > 0").select(*out)
 
 
 # --- losses ------------------------------------------------------------------------------------------
