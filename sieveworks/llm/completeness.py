@@ -47,6 +47,8 @@ _REFERENCE = re.compile(
     r"(?:\b(?:see|cf\.?|voir)\b[^.]{0,40}\b(?:p|pp|page|pages|para|art)\.?\s*\d+|(?:详见|参见|见)[^。]{0,20}第\s*\d+\s*[页条款号])\s*$", re.IGNORECASE
 )
 _ANY_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:nbsp|#160);")
+#: A clause rather than a label: a speaker or a party, a second part that is no measure, or a word that needs another.
+_CLAUSE = re.compile(r"[我某]|[，,](?![^，,]*\d+(?:\.\d+)?[^\d，,]{0,2}$)|[的是于对与予把被将及和或在从向由为之]$")
 _INNER_STOP = re.compile(r"[。！？!?]\s*\S|\.\s+\S")
 _LETTERS = re.compile(r"[^\W\d_]")
 _CJK = re.compile(r"[㐀-鿿]")
@@ -100,7 +102,7 @@ def is_label(text: str) -> bool:
     if len(text) > 200 or _INNER_STOP.search(text):
         return False
     if _CJK.search(text):
-        return len(text) <= LABEL_CHARS
+        return len(text) <= LABEL_CHARS and not (len(text) >= 6 and _CLAUSE.search(text))
     return len(text.split()) <= LABEL_WORDS
 
 
