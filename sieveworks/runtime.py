@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import tempfile
 import uuid
 import zipfile
@@ -36,8 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors on other machines this package; a local master already has it."""
-    sc = spark.sparkContext
+    """Let Python workers find this package: on this machine by its path, wherever the session was started; on others as an archive."""
+    sc, root = spark.sparkContext, str(Path(__file__).resolve().parent.parent)
+    known = sc.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     if not sc.master.startswith("local") and not getattr(sc, "_sieveworks_shipped", False):
         ship_code(spark)
         sc._sieveworks_shipped = True
