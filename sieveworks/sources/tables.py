@@ -32,3 +32,9 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(word, freq) of lines of a word and, maybe, its frequency."""
     parts = F.split(strip(F.col("value")), r"\s+")
     return spark.read.text(path).filter(strip(F.col("value")) != "").select(parts[0].alias("word"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("freq"))
+
+
+def task_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Items of a folder with one sub-folder of JSON lines for each task, with ``task`` from its name; columns that a task lacks are null."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(path)
+    return read.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+\z", 1))

@@ -79,6 +79,10 @@ def test_tables(spark, tmp_path):
     assert [tuple(r) for r in tables.item_counts(spark, str(tmp_path / "1-1.json")).collect()] == [("1-1", 2)]
     (tmp_path / "v.txt").write_text("法律 12\n\n word\n")
     assert [tuple(r) for r in tables.vocabulary(spark, str(tmp_path / "v.txt")).collect()] == [("法律", 12), ("word", None)]
+    for t, line in (("hearsay", '{"text": "a"}'), ("scalr", '{"question": "q"}')):
+        (tmp_path / "tasks" / t).mkdir(parents=True)
+        (tmp_path / "tasks" / t / "test.jsonl").write_text(line)
+    assert sorted((r["task"], r["text"], r["question"]) for r in tables.task_folders(spark, str(tmp_path / "tasks")).collect()) == [("hearsay", "a", None), ("scalr", None, "q")]
     assert [r["text"] for r in tables.text_lines(spark, str(tmp_path / "v.txt")).collect()] == ["法律 12", "", "word"]
 
 
