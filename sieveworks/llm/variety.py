@@ -24,6 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,9 +32,9 @@ from pyspark.sql.window import Window
 from sieveworks.runtime import cut_lineage
 
 #: Hashed features.
-FEATURES = 1 << 16
+FEATURES = 1 << 18
 #: A round's threshold is 1 - STEP of the largest gain left.
-STEP = 0.2
+STEP = 0.25
 #: Groups in the first of the two merging steps.
 MERGERS = 32
 #: The name under which all records are one group; no task is called so, as task names are trimmed.
@@ -43,23 +44,59 @@ _UNIT = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+")
 
 
 def features(text: str) -> np.ndarray:
-    """Distinct hashed features: pairs of neighbouring CJK characters, words of other scripts; no numbers."""
-    seen = set()
+    """Distinct hashed features, sorted: runs of three CJK characters, words of other scripts and pairs of neighbouring words; no numbers.
+
+    Runs this long are shared by records about the same thing rather than by all
+    of a task, so that look-alikes saturate each other's features.
+    """
+    seen: set[str] = set()
+    before = ""
     for run in _UNIT.findall(text.lower()):
         if run[0] >= "㐀" and "㐀" <= run[-1] <= "鿿":
-            seen.update(run[i : i + 2] for i in range(max(1, len(run) - 1)))
+            seen.update(run[i : i + 3] for i in range(max(1, len(run) - 2)))
+            before = ""
         else:
             seen.add(run)
-    return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) & 0xFFFF for x in seen), np.uint16, len(seen)))
+            if before:
+                seen.add(before + run)
+            before = run + " "
+    return np.unique(np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for x in seen), np.int64, len(seen)))
+
+
+_FAR = 0xFFFF
+
+
+def packed(feats: np.ndarray) -> bytes:
+    """Sorted features as 16-bit gaps; _FAR stands for a gap of that size without a feature at its end."""
+    gaps = np.diff(feats, prepend=0)
+    if (gaps >= _FAR).any():
+        gaps = np.concatenate([np.concatenate([np.full(g // _FAR, _FAR), [g % _FAR]]) for g in gaps])
+    return gaps.astype(np.uint16).tobytes()
+
+
+def unpacked(rows: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all rows after one another, number of each row's)."""
+    sizes = np.array([len(r) // 2 for r in rows], np.int64)
+    gaps = np.frombuffer(b"".join(rows), np.uint16).astype(np.int64)
+    if not len(gaps):
+        return gaps, sizes
+    ends = np.cumsum(gaps)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    base = np.where(first > 0, ends[np.maximum(first, 1) - 1], 0)
+    ids, real = ends - np.repeat(base, sizes), gaps != _FAR
+    if real.all():
+        return ids, sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return ids[real], np.bincount(row[real], minlength=len(sizes))
 
 
 def featured(df: DataFrame, rid: str, group: str, fields: Sequence[str]) -> DataFrame:
-    """(record_id, task, feats): one row per record; feats are 16-bit numbers."""
+    """(record_id, task, feats): one row per record; feats are packed features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts = ["\n".join(t for t in row if t) for row in b[list(fields)].itertuples(index=False, name=None)]
-            yield pd.DataFrame({"record_id": b["record_id"], "task": b["task"], "feats": [features(t).tobytes() for t in texts]})
+            yield pd.DataFrame({"record_id": b["record_id"], "task": b["task"], "feats": [packed(features(t)) for t in texts]})
 
     task = F.coalesce(F.trim(F.col(group)), F.lit(""))
     picked = df.filter(F.col(rid).isNotNull()).select(F.col(rid).alias("record_id"), task.alias("task"), *fields)
@@ -70,14 +107,12 @@ class _Rows:
     """Feature rows as one array, for gains of many records at once."""
 
     def __init__(self, feats: Sequence[bytes]) -> None:
-        parts = [np.frombuffer(f, np.uint16) for f in feats]
-        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.index, self.sizes = unpacked(feats)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.index = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
         self.mass = 1.0 / np.maximum(self.sizes, 1)
 
     def gains(self, mass: np.ndarray, which: np.ndarray) -> np.ndarray:
-        root, out = np.sqrt(mass), np.zeros(len(which))
+        out = np.zeros(len(which))
         full = which[self.sizes[which] > 0]
         if not len(full):
             return out
@@ -85,12 +120,12 @@ class _Rows:
             index, sizes = self.index, self.sizes[self.sizes > 0]
             x = np.repeat(self.mass[self.sizes > 0], sizes)
             each = np.zeros(len(self.sizes))
-            each[self.sizes > 0] = np.add.reduceat(np.sqrt(mass[index] + x) - root[index], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            each[self.sizes > 0] = np.add.reduceat(np.sqrt((now := mass[index]) + x) - np.sqrt(now), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
             return each[which]
         index = np.concatenate([self.index[self.starts[i] : self.starts[i + 1]] for i in full])
         sizes = self.sizes[full]
         x = np.repeat(self.mass[full], sizes)
-        got = np.add.reduceat(np.sqrt(mass[index] + x) - root[index], np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+        got = np.add.reduceat(np.sqrt((now := mass[index]) + x) - np.sqrt(now), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
         out[self.sizes[which] > 0] = got
         return out
 
@@ -108,13 +143,13 @@ class _Rows:
 _TAKEN = "grp string, record_id long, feats binary, gain double, top double"
 
 
-def _local_round(table: DataFrame, state: dict[str, tuple[np.ndarray, float, int, np.ndarray]]) -> DataFrame:
+def _local_round(table: DataFrame, held: Broadcast) -> DataFrame:
     """What each task takes, and with record_id null the largest gain that it leaves, per group."""
-    held = table.sparkSession.sparkContext.broadcast(state)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         groups = held.value
-        mass = {g: s[0].astype(np.float64) for g, s in groups.items()}
+        start = {g: s[0].astype(np.float64) for g, s in groups.items()}
+        mass = {g: m.copy() for g, m in start.items()}
         took, top = dict.fromkeys(groups, 0), dict.fromkeys(groups, 0.0)
         for b in batches:
             rows, ids, task = _Rows(b["feats"].tolist()), b["record_id"].to_numpy(), b["task"].to_numpy()
@@ -126,7 +161,7 @@ def _local_round(table: DataFrame, state: dict[str, tuple[np.ndarray, float, int
                     which = which[chosen[at] != ids[which]]
                 if not len(which):
                     continue
-                gains = rows.gains(groups[g][0].astype(np.float64), which)
+                gains = rows.gains(start[g], which)
                 fit = gains >= least
                 if (~fit).any():
                     top[g] = max(top[g], float(gains[~fit].max()))
@@ -144,9 +179,8 @@ def _local_round(table: DataFrame, state: dict[str, tuple[np.ndarray, float, int
     return table.mapInPandas(run, _TAKEN)
 
 
-def _merge(taken: DataFrame, keys: list[str], state: dict[str, tuple[np.ndarray, float, int, np.ndarray]], last: bool) -> DataFrame:
+def _merge(taken: DataFrame, keys: list[str], held: Broadcast, last: bool) -> DataFrame:
     """The same rule over the takings of several tasks; the last merge also gives the new mass, in a row without record_id."""
-    held = taken.sparkSession.sparkContext.broadcast(state)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         g = pdf["grp"].iat[0]
@@ -182,9 +216,11 @@ def choose_order(table: DataFrame, sizes: dict[str, int], max_rounds: int = 200)
         if not open_groups:
             break
         now = {g: (state[g][0], (1 - STEP) * top[g], state[g][2] - len(chosen[g]), np.array(sorted(chosen[g]), np.int64)) for g in open_groups}
-        taken = _local_round(table, now).withColumn("merger", F.pmod(F.xxhash64("record_id"), F.lit(MERGERS)))
-        merged = _merge(_merge(taken, ["grp", "merger"], now, False), ["grp"], now, True)
+        held = spark.sparkContext.broadcast(now)  # per group FEATURES numbers and the ids chosen so far
+        taken = _local_round(table, held).withColumn("merger", F.pmod(F.xxhash64("record_id"), F.lit(MERGERS)))
+        merged = _merge(_merge(taken, ["grp", "merger"], held, False), ["grp"], held, True)
         rows = merged.collect()  # at most the sizes still wanted, and one row of FEATURES numbers for each group
+        held.destroy()
         by: dict[str, list] = {g: [] for g in open_groups}
         for r in rows:
             if r["record_id"] is not None:
@@ -239,10 +275,8 @@ def coverage(feats: DataFrame, chosen: DataFrame) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            arrays = [np.frombuffer(f, np.uint16) for f in b["feats"]]
-            n = np.array([len(a) for a in arrays], np.int64)
-            index = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
-            yield pd.DataFrame({"target_id": np.repeat(b["target_id"].to_numpy(), n), "feature": index, "mass": np.repeat(1.0 / np.maximum(n, 1), n)})
+            index, n = unpacked(b["feats"].tolist())
+            yield pd.DataFrame({"target_id": np.repeat(b["target_id"].to_numpy(), n), "feature": index.astype(np.int32), "mass": np.repeat(1.0 / np.maximum(n, 1), n)})
 
     joined = feats.join(chosen.select("target_id", "record_id"), "record_id").select("target_id", "feats")
     mass = joined.mapInPandas(explode, "target_id long, feature int, mass double").groupBy("target_id", "feature").agg(F.sum("mass").alias("mass"))

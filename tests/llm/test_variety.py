@@ -60,3 +60,11 @@ def test_ties_blanks_and_empty_tables(spark):
     assert 102 in by[2]
     assert v.varied_subsets(_df(spark, []), spark.createDataFrame([(1, None, 3)], TARGETS)).count() == 0
     assert v.varied_subsets(_df(spark, rows), spark.createDataFrame([], TARGETS)).count() == 0
+
+
+def test_packing_of_features():
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, v.FEATURES, n)) for n in (0, 1, 3, 200, 5, 0)] + [np.array([0, 65535, 65536, 200_000, 262_143])]
+    ids, sizes = v.unpacked([v.packed(r) for r in rows])
+    assert sizes.tolist() == [len(r) for r in rows] and (ids == np.concatenate(rows)).all()
+    assert v.unpacked([])[0].tolist() == [] and v.packed(np.empty(0, np.int64)) == b""
