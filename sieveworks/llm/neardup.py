@@ -187,36 +187,25 @@ def candidate_pairs(banded: DataFrame, p: SketchParams = SketchParams()) -> Data
     return a.join(b, met & alike).select(F.col("a.k1").alias("a1"), F.col("b.k1").alias("b1")).distinct()
 
 
-def similar_classes(df: DataFrame, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
-    """(a1, b1, similarity): the pairs of classes that reach the threshold.
+def similar_classes(df: DataFrame, rid: Column, text: Column, mem: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
+    """(a1, b1, similarity): the pairs of classes that reach the threshold; ``mem`` are the members of all classes.
 
-    Only classes with a candidate have their text moved; each is sketched once
-    more there and then compared with its partners, by likelihood first.
+    Only classes with a candidate have a text moved, that of one member; each is
+    sketched once more there and then compared with its partners, by likelihood first.
     """
     pairs = cut_lineage(candidate_pairs(class_bands(df, text, p), p))
     wanted = pairs.select(F.col("a1").alias("k1")).union(pairs.select("b1")).distinct()
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = set()
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                plain = plain_form(t)
-                if len(plain) >= p.min_chars and (key := _text_key(plain)) not in seen:
-                    seen.add(key)
-                    out.append((key, plain))
-            yield pd.DataFrame(out, columns=["k1", "plain"])
-
-    texts = df.select(text.alias("text")).mapInPandas(keyed, "k1 long, plain string")
-    texts = texts.join(wanted, "k1", "left_semi").dropDuplicates(["k1"])
+    chosen = mem.join(wanted, "k1", "left_semi").groupBy("k1").agg(F.min("record_id").alias("record_id"))
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = _multipliers(p)[: p.estimating]
         for b in batches:
-            b["registers"] = [r.tobytes() for r in _sketched(list(b["plain"]), p, m)]
-            yield b
+            rows = [(k, plain) for k, t in zip(b["k1"], b["text"]) if _text_key(plain := plain_form(t)) == k]  # a reused id may hold another text
+            plains = [t for _, t in rows]
+            yield pd.DataFrame({"k1": [k for k, _ in rows], "plain": plains, "registers": [r.tobytes() for r in _sketched(plains, p, m)]})
 
-    texts = cut_lineage(texts.mapInPandas(sketched, "k1 long, plain string, registers binary"))
+    texts = df.select(rid.alias("record_id"), text.alias("text")).join(chosen, "record_id").select("k1", "text")
+    texts = cut_lineage(texts.mapInPandas(sketched, "k1 long, plain string, registers binary").dropDuplicates(["k1"]))
     left = texts.select(F.col("k1").alias("a1"), F.col("plain").alias("pa"), F.col("registers").alias("ra"))
     right = texts.select(F.col("k1").alias("b1"), F.col("plain").alias("pb"), F.col("registers").alias("rb"))
     joined = pairs.join(left, "a1").join(right, "b1").select("a1", "b1", "pa", "pb", "ra", "rb")
@@ -251,7 +240,7 @@ def similar_records(df: DataFrame, rid: Column, text: Column, p: SketchParams =
     """(record_id_a, record_id_b): all pairs of records at or above the threshold, copies included."""
     mem = cut_lineage(members(df, rid, text, p))
     a, b = mem.select(F.col("record_id").alias("x"), F.col("k1").alias("a1")), mem.select(F.col("record_id").alias("y"), F.col("k1").alias("b1"))
-    across = similar_classes(df, text, p).join(a, "a1").join(b, "b1").filter("x <> y")
+    across = similar_classes(df, rid, text, mem, p).join(a, "a1").join(b, "b1").filter("x <> y")
     within = a.join(b, (F.col("a1") == F.col("b1")) & (F.col("x") < F.col("y")))
     # a reused record_id may hold two texts, so a pair can be met twice
     return (
@@ -263,7 +252,7 @@ def similar_records(df: DataFrame, rid: Column, text: Column, p: SketchParams =
 def similarity_classes(df: DataFrame, rid: Column, text: Column, p: SketchParams = SketchParams()) -> DataFrame:
     """One row per record that takes part: the least record_id of its class of equal texts, the class's size, and its number of links to other classes."""
     mem = cut_lineage(members(df, rid, text, p))
-    found = similar_classes(df, text, p)
+    found = cut_lineage(similar_classes(df, rid, text, mem, p))
     links = found.select(F.col("a1").alias("k1")).unionAll(found.select("b1")).groupBy("k1").agg(F.count(F.lit(1)).alias("n_links"))
     classes = mem.groupBy("k1").agg(F.min("record_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return mem.join(classes, "k1").join(links, "k1", "left").select("record_id", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
