@@ -74,12 +74,12 @@ def set_sketch(hashes: np.ndarray, p: SketchParams, multipliers: np.ndarray | No
         return np.zeros(len(m), np.uint16)
     low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)  # mixed already, so that an odd multiplier permutes it well enough
     least = np.full(len(m), np.uint32(0xFFFFFFFF))
-    block = np.empty((len(m), min(len(low), 512)), np.uint32)
-    for at in range(0, len(low), 512):  # stays in the cache, and bounds the memory for texts of any length
-        part = low[at : at + 512]
-        h = block[:, : len(part)]
-        np.multiply(m[:, None], part, out=h)
-        np.minimum(least, h.min(axis=1), out=least)
+    block = np.empty((min(len(low), 256), len(m)), np.uint32)
+    for at in range(0, len(low), 256):  # stays in the cache, and bounds the memory for texts of any length
+        part = low[at : at + 256]
+        h = block[: len(part)]
+        np.multiply(part[:, None], m, out=h)
+        np.minimum(least, h.min(axis=0), out=least)
     return _to_registers(least, p)
 
 
