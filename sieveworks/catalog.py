@@ -784,3 +784,9 @@ def stop_words(spark: SparkSession, d: str) -> DataFrame:
 def selected_for_generation(spark: SparkSession, d: str) -> DataFrame:
     one = _sft(spark, d).filter(F.col("_source_file") == "cail2018-main_sft_00000.jsonl")
     return generate.selected_for_generation(one, "_source_line", curate.needs_generation(), 10, 50).filter("selected").select("record_id", *ROW)
+
+
+@query(f"SELECT record_id, _source_file, _source_line FROM sft_records WHERE {q_blank('reasoning')} OR {q_blank('output_model')}")
+def selected_for_generation_all(spark: SparkSession, d: str) -> DataFrame:
+    """In every file, with the reference's start and limit of 0: all rows that need generation."""
+    return generate.selected_per_file(_sft(spark, d), "_source_file", "_source_line", curate.needs_generation(), tie=["record_id"]).filter("selected").select("record_id", *ROW)

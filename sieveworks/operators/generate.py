@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sieveworks.functions.text import sanitize, shorten
 from sieveworks.operators.splits import position
@@ -90,6 +91,31 @@ def selected_for_generation(df: DataFrame, order: str, needed: Column, start: in
     return placed.withColumn("selected", F.col("__need") & inside).drop("__need", "position", "total")
 
 
+#: Line numbers that are ranked together: what one task of a file sorts.
+_LINES = 4096
+
+
+def _running(df: DataFrame, file: str, order: str, tie: Sequence[str], flag: Column, out: str) -> DataFrame:
+    """``df`` with ``out``: how many rows of its file have ``flag``, up to and with this one; a long file is counted in ranges of lines."""
+    df = df.withColumns({"__bucket": F.coalesce(F.floor(F.col(order) / F.lit(_LINES)), F.lit(-1)), "__flag": F.coalesce(flag, F.lit(False)).cast("long")})
+    counts = df.groupBy(file, "__bucket").agg(F.sum("__flag").alias("__n"))
+    before = Window.partitionBy(file).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col(file).alias("__file"), F.col("__bucket").alias("__at"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(file, "__bucket").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
+    joined = df.withColumn("__local", F.sum("__flag").over(inside)).join(starts, F.col(file).eqNullSafe(F.col("__file")) & (F.col("__bucket") == F.col("__at")))
+    return joined.withColumn(out, F.col("__local") + F.col("__start")).drop("__bucket", "__flag", "__file", "__at", "__start", "__local")
+
+
+def selected_per_file(df: DataFrame, file: str, order: str, needed: Column, start: int = 0, limit: int = 0, tie: Sequence[str] = ()) -> DataFrame:
+    """All rows of all files, with ``selected``: in each file, in its ``order``, those after the first ``start`` that need generation, at most ``limit`` (0: all) of them."""
+    df = df.withColumn("selected", F.coalesce(needed, F.lit(False)))
+    if start > 0:
+        df = _running(df, file, order, tie, F.lit(True), "__position").withColumn("selected", F.col("selected") & (F.col("__position") > start)).drop("__position")
+    if limit > 0:
+        df = _running(df, file, order, tie, F.col("selected"), "__taken").withColumn("selected", F.col("selected") & (F.col("__taken") <= limit)).drop("__taken")
+    return df
+
+
 def judged(df: DataFrame, fields: list[str], reference: str, judge: Callable[[list[str]], list[float]], default: float = 0.0) -> DataFrame:
     """``df`` with ``judge``: each distinct question to the judge is asked once and kept within 0 and 1; an empty reference gives the default."""
     key = F.sha1(F.to_json(F.struct(*[sanitize(F.col(f)).alias(f) for f in [*fields, reference]])))

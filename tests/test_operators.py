@@ -342,6 +342,21 @@ def test_generation(spark):
         generate.generated(df, "p", "reply", broken, 1).collect()
 
 
+def test_generation_per_file(spark):
+    r = random.Random(3)
+    rows = [(f, n, None if r.random() < 0.5 else "x") for f, size in (("a", 9000), ("b", 30), ("c", 3), (None, 40)) for n in range(1, size + 1)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "f string, n long, output_model string").withColumn("reasoning", F.lit("r"))
+    for start, limit in ((0, 0), (10, 0), (0, 12), (10, 5), (4500, 1000)):
+        want = set()
+        for file in ("a", "b", "c", None):
+            lines = sorted((n, o) for f, n, o in ((f, n, o or "") for f, n, o in rows) if f == file)
+            needed = [n for place, (n, o) in enumerate(lines, 1) if place > start and not o]
+            want |= {(file, n) for n in (needed[:limit] if limit else needed)}
+        got = generate.selected_per_file(df, "f", "n", curate.needs_generation(), start, limit)
+        assert got.count() == len(rows) and {(x["f"], x["n"]) for x in got.filter("selected").collect()} == want
+
+
 @pytest.mark.parametrize("s, want", [('{"a": 1}', {"a": 1}), ('say {"a": 1} so', {"a": 1}), ("[1]", None), ("{'a': 1}", None), ("", None), (None, None), ("} {", None)])
 def test_json_object(s, want):
     assert generate.json_object(s) == want
