@@ -2,10 +2,11 @@
 
 A text is cut into lines and sentences; each is judged by the share of its
 commonest word or n-gram, its share of link text, the density of separators,
-its share of function words, and whether its line is repeated. A page is spam
-if more than half of its characters lie in segments that are no sentences. The
-function words that a sentence must have are calibrated per language over all
-documents. Null, empty and very short texts are no spam; rows without a doc_id
+its share of function words, and whether an earlier line of the page has it. A
+page is spam if more than half of its characters lie in segments that are no
+sentences, or are repeats where it has more repeats than is usual. The function
+words that a sentence must have and the usual repeats are calibrated per
+language over all documents. Null, empty and very short texts are no spam; rows without a doc_id
 are left out.
 """
 
@@ -29,6 +30,8 @@ LEAST_CHARS, LEAST_ITEMS = 40, 4
 GRID = (2, 4, 6, 8, 10, 12, 15)
 #: A language's threshold: this part of the median share of its sentences.
 CALIBRATED = 0.3
+#: A language's usual share of repeats: this quantile of its pages, kept within these bounds.
+REPEATS_QUANTILE, REPEATS_LEAST, REPEATS_MOST = 0.95, 0.2, SPAM_SHARE
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -111,17 +114,18 @@ def is_terminated(segment: str) -> bool:
 
 
 def segments(text: str) -> Iterator[tuple[str, bool]]:
-    """(segment, whether its line holds only this one)."""
+    """(segment, whether an earlier line has it too)."""
+    first: dict[str, int] = {}
     for m in _LINE.finditer(text):
         line = m.group().strip()
         if not line:
             continue
         if has_link(line):
-            yield line, True
+            yield line, first.setdefault(line, m.start()) < m.start()
             continue
         parts = [p for p in _SENTENCE_END.split(line) if p and p.strip()]
-        for p in parts:
-            yield p.strip(), len(parts) == 1
+        for p in map(str.strip, parts):
+            yield p, first.setdefault(p, m.start()) < m.start()
 
 
 def _stuffed(units: list[str], lang: str) -> bool:
@@ -154,19 +158,20 @@ def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
     return 0.0, share
 
 
-def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int], list[int], int]:
-    """Language of the Latin part, characters, spam characters at each threshold of GRID in Chinese and in Latin segments,
-    histograms of the function shares of their terminated sentences, and the number of spam items at the middle threshold."""
+def page_profile(text: str) -> tuple[str, str, int, list[int], list[int], list[int], list[int], int, int, list[int], list[int], int]:
+    """Language, language of the Latin part, characters, spam characters at each threshold of GRID in Chinese and in Latin segments,
+    histograms of the function shares of their terminated sentences, and the number of spam items at the middle threshold; then of
+    repeated segments: their characters, those of them that are not spam yet (Chinese, Latin), and their number."""
     if "    " in text:
         text = _WIDE_SPACE.sub("    ", text)
     if _WIDE.search(text):
         text = text.translate(_NARROW)
     main = language(text)
     latin = main if main != "zh" else "en"
-    total, items = 0, 0
-    spam = {True: [0.0] * len(GRID), False: [0.0] * len(GRID)}
+    total, items, repeated, repeats = 0, 0, 0, 0
+    spam, more = ({True: [0.0] * len(GRID), False: [0.0] * len(GRID)} for _ in range(2))
     shares = {True: [0] * 51, False: [0] * 51}
-    for segment, _alone in segments(text):
+    for segment, again in segments(text):
         size = len(segment)
         total += size
         zh = main == "zh" if (m := _SCRIPT.search(segment)) is None else ord(m.group()) >= 0x3400
@@ -174,6 +179,10 @@ def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int],
             zh = 3 * sum(map(len, _CJK.findall(segment))) >= sum(map(len, _LATIN_CHARS.findall(_LINK.sub(" ", segment))))
         certain, share = judge_segment(segment, "zh" if zh else latin)
         row = spam[zh]
+        if again:
+            repeated, repeats = repeated + size, repeats + 1
+            for i, g in enumerate(GRID):
+                more[zh][i] += 0 if share is not None and share < g else (1.0 - certain) * size
         if share is None:
             if certain:
                 for i in range(len(GRID)):
@@ -185,7 +194,8 @@ def page_profile(text: str) -> tuple[str, int, list[int], list[int], list[int],
                 shares[zh][min(50, int(share))] += 1
         if certain > 0.5 or (share is not None and share < GRID[2 if zh else 4]):
             items += max(1, size // 30, len(_SEPARATOR.split(segment)), len(_LINK.findall(segment)) if certain else 0)
-    return latin, total, [int(x) for x in spam[True]], [int(x) for x in spam[False]], shares[True], shares[False], items
+    whole = lambda row: [int(x) for x in row]
+    return main, latin, total, whole(spam[True]), whole(spam[False]), shares[True], shares[False], items, repeated, whole(more[True]), whole(more[False]), repeats
 
 
 def page_profiles(df: DataFrame) -> DataFrame:
@@ -196,11 +206,11 @@ def page_profiles(df: DataFrame) -> DataFrame:
             out = [(doc, *page_profile(text)) for doc, text in zip(b["doc_id"], b["text"]) if text]
             yield pd.DataFrame(out, columns=_PROFILE)
 
-    kinds = "long, string, int, array<int>, array<int>, array<int>, array<int>, int".split(", ")
+    kinds = "long, string, string, int, array<int>, array<int>, array<int>, array<int>, int, int, array<int>, array<int>, int".split(", ")
     return df.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, ", ".join(map(" ".join, zip(_PROFILE, kinds))))
 
 
-_PROFILE = ["doc_id", "latin", "chars", "spam_zh", "spam_latin", "shares_zh", "shares_latin", "items"]
+_PROFILE = ["doc_id", "language", "latin", "chars", "spam_zh", "spam_latin", "shares_zh", "shares_latin", "items", "repeated", "more_zh", "more_latin", "repeats"]
 
 
 def thresholds(profiles: DataFrame) -> DataFrame:
@@ -224,16 +234,27 @@ def thresholds(profiles: DataFrame) -> DataFrame:
     return per.select("language", F.greatest(at, F.lit(0)).alias("at"))
 
 
+def usual_repeats(profiles: DataFrame) -> DataFrame:
+    """Per language: the share of a page's characters that repeats may have."""
+    share = F.percentile_approx(F.col("repeated") / F.col("chars"), REPEATS_QUANTILE)
+    usual = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(REPEATS_LEAST)), F.lit(REPEATS_MOST))
+    return profiles.filter(F.col("chars") >= LEAST_CHARS).groupBy("language").agg(usual.alias("usual"))
+
+
 def spam_pages(df: DataFrame) -> DataFrame:
     """(doc_id, spam_share) of the pages that are spam."""
     profiles = cut_lineage(page_profiles(df))
     at = {r["language"]: r["at"] for r in thresholds(profiles).collect()}  # one row per language: zh, en, fr
     usual = {"zh": 1, "en": 4, "fr": 4}  # where no sentence of a language was seen
     place = F.create_map(*[x for k, v in (usual | at).items() for x in (F.lit(k), F.lit(v))])
-    judged = profiles.withColumns({"at_zh": place[F.lit("zh")], "at_latin": place[F.col("latin")]})
+    repeats = {r["language"]: r["usual"] for r in usual_repeats(profiles).collect()}
+    most = F.create_map(*[x for k in usual for x in (F.lit(k), F.lit(repeats.get(k, REPEATS_LEAST)))])
+    judged = profiles.withColumns({"at_zh": place[F.lit("zh")], "at_latin": place[F.col("latin")], "many": F.col("repeated") / F.col("chars") > most[F.col("language")]})
+    judged = judged.withColumn("items", F.col("items") + F.when(F.col("many"), F.col("repeats")).otherwise(0))
 
     def spam(kind: str) -> Column:
-        return F.element_at(f"spam_{kind}", F.col(f"at_{kind}") + 1)
+        at = F.col(f"at_{kind}") + 1
+        return F.element_at(f"spam_{kind}", at) + F.when(F.col("many"), F.element_at(f"more_{kind}", at)).otherwise(0)
 
     return (
         judged.withColumn("spam_share", (spam("zh") + spam("latin")) / F.col("chars"))

@@ -92,6 +92,20 @@ def test_spam_and_ordinary_pages(spark):
     assert found == set(range(len(bad)))
 
 
+def test_repeated_sentences(spark):
+    en, zh = "The best of the lawyers in Aldford will call you back on the same day.", "本所的律师已经为翎原县的客户办理了各类案件，欢迎来电咨询。"
+    prose = [f"On day {i} of the hearing the witness said that he had seen {i + 3} of the boxes in the yard." for i in range(12)]
+    bad = ["\n".join([en] * 20), "\n".join([zh] * 20), "\n".join(f"{en} {p}" for p in prose[:3]) + f"\n{en}" * 9]
+    good = ["\n".join(prose), "\n".join(p + "\nPage of the file" for p in prose), "\n".join([en, *prose, en])]
+    assert _spam(spark, bad + good) == set(range(len(bad)))
+
+
+def test_usual_repeats_are_calibrated(spark):
+    rows = [(i, lang, 100, n) for lang, n in (("en", 35), ("fr", 90), ("zh", 0)) for i in range(40)]
+    got = spam.usual_repeats(spark.createDataFrame(rows, "doc_id long, language string, chars int, repeated int"))
+    assert {r["language"]: r["usual"] for r in got.collect()} == {"en": 0.35, "fr": 0.5, "zh": 0.2}
+
+
 def test_spam_of_nothing(spark):
     assert spam.spam_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
