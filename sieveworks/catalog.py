@@ -418,8 +418,10 @@ def nearest_to_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def diverse_kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """50 of the benchmark questions."""
-    return diverse.diverse_sample(table(spark, d, "lawbench_item"), "item_id", "question", 50)
+    """5,000 of a pool of 100,000 records, by instruction, input and output as in the reference."""
+    whole = text.build_text(F.col("instruction"), F.col("input"), F.col("output"))
+    first = _sft(spark, d).select("record_id", whole.alias("text")).groupBy("record_id").agg(F.min("text").alias("text"))
+    return diverse.diverse_sample(first, "record_id", "text")
 
 
 # --- dialogs ------------------------------------------------------------------------------------------------

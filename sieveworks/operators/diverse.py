@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -60,16 +59,6 @@ def _weigh(counts: DataFrame, n: int, df_of: list[int]) -> DataFrame:
     return counts.withColumn("features", weigh("__tf")).drop("__tf")
 
 
-def with_clusters(df: DataFrame, k: int, features: str = "features", seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """``df`` with ``cluster`` and ``dist``, the distance to the cluster's centre; fewer clusters where there are fewer different rows."""
-    k = min(k, df.select(features).distinct().limit(k).count())
-    fitted = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(df)
-    centers = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(fitted.clusterCenters())], "cluster int, center array<double>")
-    joined = fitted.transform(df).join(centers, "cluster")
-    d = F.aggregate(F.zip_with(vector_to_array(features), "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-    return joined.withColumn("dist", F.sqrt(d)).drop("center")
-
-
 def to_vector(c: Column) -> Column:
     return array_to_vector(c.cast("array<double>"))
 
@@ -96,12 +85,164 @@ def exact_size(picked: DataFrame, pool: DataFrame, key: str, size: int, seed: in
     return head.unionByName(rest.orderBy(order_key(seed, F.col(key)), key).limit(missing))
 
 
-def diverse_sample(df: DataFrame, key: str, text: str, k: int, features: int = 4096, seed: int = 42, dims: int | None = None) -> DataFrame:
-    """``df``'s keys with ``_sampled``: 'selected' for the row nearest to each of k centres, brought to k rows, 'remaining' for the others."""
-    pool = df.filter(F.coalesce(strip(F.col(text)), F.lit("")) != "")
-    vectors = cut_lineage(tfidf(pool.select(key, text), text, features).select(key, "features"))
-    near = nearest_to_center(with_clusters(vectors, k, seed=seed), "cluster", key, F.col("dist"))
-    chosen = exact_size(near, vectors, key, k, seed).withColumn("_sampled", F.lit("selected"))
+class Rows:
+    """Sparse rows of length 1 side by side: ``at[i] : at[i + 1]`` are row i's terms and weights."""
+
+    def __init__(self, rows: Sequence) -> None:
+        import numpy as np
+
+        self.at = np.cumsum([0, *(len(r.indices) for r in rows)])
+        self.terms = np.concatenate([r.indices for r in rows]) if rows else np.zeros(0, "int32")
+        self.weights = np.concatenate([r.values for r in rows]).astype("float32") if rows else np.zeros(0, "float32")
+        self.norms = np.array([float((r.values**2).sum()) for r in rows])  # 1, or 0 for a row without known terms
+
+    def __len__(self) -> int:
+        return len(self.norms)
+
+    def row(self, i: int):
+        return self.terms[self.at[i] : self.at[i + 1]], self.weights[self.at[i] : self.at[i + 1]]
+
+
+def plus_plus(rows: Rows, k: int, features: int, rng) -> list[int]:
+    """k-means++: at most k rows, each drawn by its squared distance to those before; fewer where there are fewer different rows."""
+    import numpy as np
+
+    order = np.argsort(rows.terms, kind="stable")
+    owner, weight = np.repeat(np.arange(len(rows)), np.diff(rows.at))[order], rows.weights[order]
+    ends = np.searchsorted(rows.terms[order], np.arange(features + 1))
+    chosen, left = [int(rng.integers(len(rows)))], np.full(len(rows), np.inf)
+    while True:
+        terms, w = rows.row(chosen[-1])
+        parts = [slice(ends[t], ends[t + 1]) for t in terms]
+        dots = np.bincount(np.concatenate([owner[p] for p in parts]), np.concatenate([weight[p] * x for p, x in zip(parts, w)]), len(rows)) if parts else 0.0
+        left = np.minimum(left, np.maximum(rows.norms + rows.norms[chosen[-1]] - 2 * dots, 0.0))
+        left[left < 1e-5] = 0.0  # equal to a centre, but for rounding
+        left[chosen[-1]] = 0.0
+        if len(chosen) == k or left.sum() == 0.0:
+            return chosen
+        chosen.append(int(rng.choice(len(rows), p=left / left.sum())))
+
+
+class Centres:
+    """k dense centres in single precision, and how many rows each has taken."""
+
+    def __init__(self, rows: Rows, chosen: Sequence[int], features: int) -> None:
+        import numpy as np
+
+        self.c, self.taken = np.zeros((len(chosen), features), "float32"), np.zeros(len(chosen))
+        for i, j in enumerate(chosen):
+            terms, w = rows.row(j)
+            self.c[i, terms] = w
+        self.norms = np.einsum("ij,ij->i", self.c, self.c)
+
+    def nearest(self, rows: Rows, block: int = 4096):
+        """(centre, squared distance) of each row."""
+        import numpy as np
+
+        dots, owner = np.zeros((len(rows), len(self.c)), "float32"), np.repeat(np.arange(len(rows)), np.diff(rows.at))
+        for low in range(0, self.c.shape[1], block):
+            part = self.c[:, low : low + block]
+            dense, has = np.zeros((len(rows), part.shape[1]), "float32"), (rows.terms >= low) & (rows.terms < low + block)
+            dense[owner[has], rows.terms[has] - low] = rows.weights[has]
+            dots += dense @ part.T
+        d = self.norms - 2 * dots
+        label = d.argmin(1)
+        return label, np.maximum(d[np.arange(len(rows)), label] + rows.norms, 0.0)
+
+    def learn(self, rows: Rows, label) -> None:
+        """Each centre becomes the mean of all rows it has taken so far."""
+        import numpy as np
+
+        touched, n = np.unique(label, return_counts=True)
+        before, self.taken[touched] = self.taken[touched], self.taken[touched] + n
+        self.c[touched] *= (before / self.taken[touched]).astype("float32")[:, None]
+        for i, c in enumerate(label):
+            terms, w = rows.row(i)
+            self.c[c, terms] += w / np.float32(self.taken[c])
+        self.norms[touched] = np.einsum("ij,ij->i", self.c[touched], self.c[touched])
+
+    def reassign(self, rows: Rows, rng, ratio: float = 0.01) -> None:
+        """Centres that have taken less than ``ratio`` of what the largest has start anew from rows of the batch, half of it at most."""
+        poor = (self.taken < ratio * self.taken.max()).nonzero()[0]
+        poor = poor[self.taken[poor].argsort(kind="stable")][: len(rows) // 2]
+        if not len(poor):
+            return
+        others = self.taken.copy()
+        others[poor] = float("inf")
+        for c, i in zip(poor, rng.choice(len(rows), len(poor), replace=False)):
+            terms, w = rows.row(i)
+            self.c[c] = 0.0
+            self.c[c, terms], self.norms[c] = w, rows.norms[i]
+        self.taken[poor] = others.min()
+
+
+def mini_batch_picks(vectors: DataFrame, key: str, k: int, features: int, seed: int, epochs: int, inits: int, batch: int = 2048, patience: int = 10) -> list:
+    """Keys of the rows nearest to the centres of a mini-batch k-means, one per non-empty cluster.
+
+    ``vectors`` is a bounded pool in random order, streamed through the driver a
+    batch at a time; held there are the centres and the rows of the start: the
+    best of ``inits`` k-means++ starts over 3 k rows. It ends after ``epochs``
+    passes, or ``patience`` batches without a better smoothed cost.
+    """
+    import numpy as np
+
+    def batches() -> Iterator[tuple[list, Rows]]:
+        held = []
+        for r in vectors.select(key, "features").toLocalIterator():
+            held.append(r)
+            if len(held) == batch:
+                yield [x[0] for x in held], Rows([x[1] for x in held])
+                held = []
+        if held:
+            yield [x[0] for x in held], Rows([x[1] for x in held])
+
+    rng, n = np.random.default_rng(seed), vectors.count()
+    head = Rows([r["features"] for r in vectors.select("features").limit(3 * max(k, batch)).toLocalIterator()])
+    judges = Rows([r["features"] for r in vectors.select("features").limit(3 * batch).toLocalIterator()])
+    starts = [plus_plus(head, k, features, rng) for _ in range(inits)]
+    costs = [float(Centres(head, s, features).nearest(judges)[1].sum()) for s in starts]
+    centres = Centres(head, starts[int(np.argmin(costs))], features)
+    del head, judges
+    smooth = least = None
+    idle = steps = since = 0
+    for _ in range(epochs):
+        for _keys, rows in batches():
+            label, cost = centres.nearest(rows)
+            centres.learn(rows, label)
+            since += len(rows)
+            if since >= 10 * len(centres.c) and centres.taken.min() < 0.01 * centres.taken.max():
+                centres.reassign(rows, rng)
+                since = 0
+            steps += 1
+            if steps == 1:
+                continue  # the first cost is that of the start
+            weight = min(1.0, 2.0 * len(rows) / (n + 1))
+            smooth = cost.mean() if smooth is None else smooth * (1 - weight) + cost.mean() * weight
+            least, idle = (smooth, 0) if least is None or smooth < least else (least, idle + 1)
+            if idle >= patience:
+                break
+        if idle >= patience:
+            break
+    best: dict = {}
+    for keys, rows in batches():
+        for at in zip(*centres.nearest(rows), keys):
+            c, found = int(at[0]), (float(at[1]), at[2])
+            best[c] = min(best.get(c, found), found)
+    return [x[1] for x in best.values()]
+
+
+def diverse_sample(
+    df: DataFrame, key: str, text: str, k: int = 5000, features: int = 50_000, seed: int = 42, pool: int = 100_000, epochs: int = 100, inits: int = 10
+) -> DataFrame:
+    """Keys of a pool of ``df`` (0: all) with ``_sampled``: 'selected' for the row nearest to each of k centres, brought to k rows, 'remaining' for the others."""
+    some = df.filter(F.coalesce(strip(F.col(text)), F.lit("")) != "").select(key, text)
+    rows = cut_lineage(reservoir(some, [key], pool).repartition(64, key))  # a limit leaves one partition
+    if rows.count() <= k:  # each is a centre
+        return rows.select(key, F.lit("selected").alias("_sampled"))
+    vectors = cut_lineage(tfidf(rows, text, features).select(key, "features").orderBy(order_key(seed, F.col(key)), key))
+    size = vectors.first()["features"].size
+    picks = vectors.sparkSession.createDataFrame([(x,) for x in mini_batch_picks(vectors, key, k, size, seed, epochs, inits)], vectors.select(key).schema)  # at most k rows
+    chosen = exact_size(picks, vectors, key, k, seed).withColumn("_sampled", F.lit("selected"))
     return vectors.select(key).join(chosen, key, "left").withColumn("_sampled", F.coalesce("_sampled", F.lit("remaining")))
 
 

@@ -215,6 +215,47 @@ def test_diverse_sample(spark):
     assert diverse.exact_size(df.limit(3), df, "k", 5).count() == 5 and diverse.exact_size(df, df, "k", 5).count() == 5 and diverse.exact_size(df, df, "k", 500).count() == 71
 
 
+def _topics(n, per):
+    """Texts of n unlike topics, ``per`` alike ones of each."""
+    words = [["".join(random.Random(t * 97 + w).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for w in range(12)] for t in range(n)]
+    return [(t * per + j, " ".join(random.Random(t * per + j).sample(words[t], 10))) for t in range(n) for j in range(per)]
+
+
+def test_diverse_sample_takes_every_topic(spark):
+    df = spark.createDataFrame(_topics(12, 25), "k long, t string")
+    got = diverse.diverse_sample(df, "k", "t", 24)  # twice the topics: k-means with as many may share one
+    picked = {r["k"] // 25 for r in got.filter("_sampled = 'selected'").collect()}
+    assert got.count() == 300 and len(picked) == 12
+    assert diverse.diverse_sample(df, "k", "t", 12, pool=40).count() == 40
+    assert {r["_sampled"] for r in diverse.diverse_sample(df, "k", "t", 400).collect()} == {"selected"}
+
+
+def test_nearest_centres_by_brute_force():
+    from pyspark.ml.linalg import SparseVector
+
+    rng = np.random.default_rng(1)
+    dense = rng.random((50, 30)) * (rng.random((50, 30)) < 0.3)
+    dense[7] = 0
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
+    rows = diverse.Rows([SparseVector(30, np.nonzero(x)[0], x[np.nonzero(x)]) for x in dense])
+    chosen = diverse.plus_plus(rows, 9, 30, rng)
+    assert len(set(chosen)) == 9 and len(diverse.plus_plus(rows, 80, 30, rng)) == 50
+    centres = diverse.Centres(rows, chosen, 30)
+    label, cost = centres.nearest(rows, 7)
+    want = ((dense[:, None] - dense[chosen][None]) ** 2).sum(2)
+    assert np.allclose(cost, want.min(1), atol=1e-5) and np.allclose(want[np.arange(50), label], want.min(1), atol=1e-5)
+    centres.learn(rows, label)
+    assert all(np.allclose(centres.c[c], dense[label == c].mean(0), atol=1e-5) for c in range(9))
+
+
+def test_diverse_kmeans_is_over_the_records(spark, tmp_path):
+    from sieveworks import catalog
+
+    rows = [(i, "s", "f", i, "i", t, "o") for i, t in _topics(4, 20)]
+    spark.createDataFrame(rows, "record_id long, source string, _source_file string, _source_line long, instruction string, input string, output string").write.parquet(str(tmp_path / "sft_records.parquet"))
+    assert catalog.queries()["diverse_kmeans"](spark, str(tmp_path)).filter("_sampled = 'selected'").count() == 80
+
+
 # --- dialogs ---------------------------------------------------------------------------------------------------------
 
 
