@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveworks.functions.plain import plain_form
+from sieveworks.llm.plain import plain_form
 from sieveworks.llm.records import source_key
 from sieveworks.runtime import cut_lineage
 

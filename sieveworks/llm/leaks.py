@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveworks.functions.plain import code_points, kgram_hashes, plain_form
+from sieveworks.llm.plain import code_points, kgram_hashes, plain_form
 from sieveworks.runtime import table
 
 #: Share of the required run that a k-gram takes; the window takes the rest.

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveworks.functions.plain import plain_form
+from sieveworks.llm.plain import plain_form
 from sieveworks.llm import leaks, spam
 
 DOCS = "doc_id long, text string, item_id string, run string"

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from sieveworks.functions.plain import code_points, kgram_hashes, plain_form
+from sieveworks.llm.plain import code_points, kgram_hashes, plain_form
 from sieveworks.llm import neardup as n
 
 P = n.SketchParams()
@@ -35,7 +35,8 @@ def test_sketch_merges_and_estimates():
     b = np.unique(np.concatenate([a[: len(a) * 3 // 4], n.shingle_hashes(plain_form(_text(rng, 50)), 5)]))
     sa, sb = n.set_sketch(a, P), n.set_sketch(b, P)
     assert (n.merge_sketches(sa, sb) == n.set_sketch(np.union1d(a, b), P)).all()
-    assert abs(n.joint_estimate(sa, sb, len(a), len(b), P) - n.exact_jaccard(a, b)) < 0.12
+    estimate = n.joint_estimates(sa[None], sb[None], np.array([float(len(a))]), np.array([float(len(b))]), P)[0]
+    assert abs(estimate - n.exact_jaccard(a, b)) < 0.12
     assert (n.set_sketch(np.empty(0, np.uint64), P) == 0).all()
 
 
@@ -62,17 +63,68 @@ def test_pairs_are_those_of_brute_force(spark):
     assert classes[0]["class_id"] == 0 and classes[0]["class_size"] == 4 and set(classes) == {i for i, _ in shingled}
 
 
+def test_registers_meet_as_often_as_sets_are_alike():
+    """The cheap hash family against independence, on random text of other letters than the planted cases."""
+    rng = random.Random(23)
+    equal, met, want = [], [], []
+    for _ in range(150):
+        words = ["".join(rng.choice("bcdfgklmnrstvaeiou") for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(20, 150))]
+        other = [w if rng.random() > 0.06 else w[::-1] for w in words]
+        a, b = (n.shingle_hashes(plain_form(" ".join(x)), 5) for x in (words, other))
+        ra, rb = n.set_sketch(a, P), n.set_sketch(b, P)
+        j = n.exact_jaccard(a, b)
+        want.append((j, 1 - (1 - j**P.rows) ** P.bands))
+        equal.append((ra == rb).mean())
+        met.append((n.band_hashes(ra, P) == n.band_hashes(rb, P)).any())
+    js, chance = map(np.array, zip(*want))
+    assert abs(np.mean(equal) - js.mean()) < 0.03
+    assert abs(np.corrcoef(equal, js)[0, 1]) > 0.95
+    assert abs(np.mean(met) - chance.mean()) < 0.06
+
+
+def test_many_sets_give_what_each_gives():
+    rng = random.Random(2)
+    sets = [n.shingle_hashes(plain_form(_text(rng, k)), 5) for k in (1, 30, 60, 2000)] + [np.empty(0, np.uint64)]
+    together = n.set_sketches(sets, P)
+    assert all((n.set_sketch(x, P) == row).all() for x, row in zip(sets, together))
+    h = sets[1]
+    m = n._multipliers(P)
+    least = ((h & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] * m).min(axis=0)
+    assert (n._to_registers(least, P) == together[1]).all()
+
+
 def test_hot_group_of_copies_is_one_class(spark):
     rng = random.Random(3)
     same = _text(rng)
     df = spark.createDataFrame([(i, same if i < 600 else _text(rng)) for i in range(900)], "record_id long, input string").repartition(8)
-    bands = n.class_bands(df, F.col("input"))
-    assert bands.count() <= 300 + 8  # a copy is sketched once in a task
-    assert n.candidate_pairs(bands).count() == 0
+    sketches = n.sketched(df, F.col("record_id"), F.col("input"))
+    assert sketches.count() == 900
+    assert sketches.filter("bands is not null").count() <= 300 + 8  # a copy is sketched once in a task
+    assert n.candidate_pairs(sketches).count() == 0
     sizes = n.similarity_classes(df, F.col("record_id"), F.col("input")).groupBy("class_size").count().collect()
     assert {r["class_size"]: r["count"] for r in sizes} == {600: 600, 1: 300}
 
 
+def test_blocks_lose_and_repeat_nothing(spark, monkeypatch):
+    """Groups larger than a block: shared bands, partners of one class, copies of one text."""
+    monkeypatch.setattr(n, "BLOCK", 4)
+    rng = random.Random(8)
+    base, other = _text(rng, 80).split(), _text(rng, 80)
+    texts = []
+    for i in range(18):
+        words = list(base)
+        words[i] = _text(rng, 1)
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 11 + [other] * 9
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id long, input string").repartition(4)
+    sets = [_shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    rows = [tuple(r) for r in n.similar_records(df, F.col("record_id"), F.col("input")).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    links = {r["record_id"]: r["n_links"] for r in n.similarity_classes(df, F.col("record_id"), F.col("input")).collect()}
+    assert links[0] == 17 and links[18] == 17 and links[30] == 0
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "record_id long, input string")
     assert n.similar_records(df, F.col("record_id"), F.col("input")).count() == 0

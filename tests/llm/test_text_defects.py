@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sieveworks.functions.plain import plain_form
+from sieveworks.llm.plain import plain_form
 from sieveworks.llm import completeness as c
 from sieveworks.llm import pairs as p
 
