@@ -175,6 +175,9 @@ REMEMBERED = 1_000_000
 #: Rows of a group that meet in one block.
 BLOCK = 256
 
+#: Band rows (about 15 bytes in a shuffle) of a task.
+TASK_ROWS = 500_000
+
 _SKETCHED = "record_id long, c1 long, c2 long, grams int, even long, odd long, registers binary, bands array<int>"
 
 
@@ -221,22 +224,27 @@ def candidate_pairs(sketches: DataFrame, p: SketchParams = SketchParams()) -> Da
     keys that only one class has are dropped there, and the rest meets in blocks
     of BLOCK, whatever the size of a key's group.
     """
-    rows = sketches.filter("bands is not null").select("c1", "even", "odd", F.posexplode("bands").alias("band", "hash"))
+    rows = sketches.filter("bands is not null").select("c1", F.posexplode("bands").alias("band", "hash"))
     key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("hash").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-    rows = rows.select(key.alias("key"), "c1", "even", "odd").repartition("key")
+    tasks = max(int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions")), sketches.filter("bands is not null").count() * p.bands // TASK_ROWS)
+    rows = rows.select(key.alias("key"), "c1").repartition(tasks, "key")
     shared = rows.groupBy("key").agg(F.min("c1").alias("low"), F.max("c1").alias("high")).filter("low <> high").select("key")
     rows = rows.join(shared.hint("shuffle_hash"), "key", "left_semi")
     ordered = Window.partitionBy("key").orderBy("c1")
     rows = rows.withColumn("fresh", F.coalesce(F.lag("c1").over(ordered) != F.col("c1"), F.lit(True)).cast("int"))
     rows = rows.withColumn("rank", F.sum("fresh").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.withColumn("n", F.max("rank").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    met = rows.filter("fresh = 1").select(
-        "key", "c1", "even", "odd", F.floor((F.col("rank") - 1) / BLOCK).cast("int").alias("block"), F.floor((F.col("n") - 1) / BLOCK).cast("int").alias("last")
-    )
-    left = met.select("key", F.col("c1").alias("a1"), F.col("even").alias("ea"), F.col("odd").alias("oa"), F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"))
-    right = met.select("key", F.col("c1").alias("b1"), F.col("even").alias("eb"), F.col("odd").alias("ob"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
-    unlike = F.bit_count(F.col("ea").bitwiseXOR(F.col("eb"))) + F.bit_count(F.col("oa").bitwiseXOR(F.col("ob")))
-    return left.join(right, ["key", "i", "j"]).filter((F.col("a1") < F.col("b1")) & (unlike <= p.most_unlike)).select("a1", "b1").distinct()
+    at = lambda c: F.floor((F.col(c) - 1) / BLOCK).cast("int")
+    placed = rows.filter("fresh = 1").select("key", "c1", at("rank").alias("block"), at("n").alias("last"))
+    looks = sketches.filter("bands is not null").select("c1", "even", "odd").dropDuplicates(["c1"])
+    other = F.explode(F.sequence(F.lit(0), "last"))  # one meeting with each block of the group
+    met = placed.join(looks, "c1").select("key", "c1", "even", "odd", "block", other.alias("other"))
+    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c1", "even", "odd").repartition("key", "i", "j")
+    a, b = met.alias("a"), met.alias("b")
+    together = (F.col("a.key") == F.col("b.key")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))
+    apart = (F.col("a.c1") < F.col("b.c1")) & (F.col("a.block") == F.col("a.i")) & (F.col("b.block") == F.col("b.j"))
+    unlike = F.bit_count(F.col("a.even").bitwiseXOR(F.col("b.even"))) + F.bit_count(F.col("a.odd").bitwiseXOR(F.col("b.odd")))
+    return a.join(b, together & apart & (unlike <= p.most_unlike)).select(F.col("a.c1").alias("a1"), F.col("b.c1").alias("b1")).distinct()
 
 
 def likely_pairs(sketches: DataFrame, pairs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
@@ -260,6 +268,10 @@ def likely_pairs(sketches: DataFrame, pairs: DataFrame, p: SketchParams = Sketch
     return joined.mapInPandas(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+#: Texts to be fetched (24 bytes each) that are named to all tasks at once; more are joined by shuffle.
+MAX_NAMED = 1_000_000
+
+
 def similar_classes(df: DataFrame, rid: Column, text: Column, sketches: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
     """(a1, a2, b1, b2, similarity): the pairs of classes that reach the threshold, from the sketches of ``df``.
 
@@ -268,24 +280,27 @@ def similar_classes(df: DataFrame, rid: Column, text: Column, sketches: DataFram
     text once to each pair.
     """
     pairs = cut_lineage(likely_pairs(sketches, candidate_pairs(sketches, p), p))
+    partners = pairs.groupBy("a1", "a2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    none = F.lit(0).cast("long")
+    own = partners.select("a1", "a2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), none.alias("b1"), none.alias("b2"))
+    others = pairs.join(partners, ["a1", "a2"]).select("a1", "a2", F.pmod(F.xxhash64("b1"), F.col("blocks")).alias("block"), F.lit(False).alias("own"), "b1", "b2")
+    pick = lambda x: F.when(F.col("own"), F.col(f"a{x}")).otherwise(F.col(f"b{x}")).alias(f"c{x}")
+    roles = own.unionAll(others).select("a1", "a2", "block", "own", "b1", "b2", pick(1), pick(2))
     wanted = pairs.select(F.col("a1").alias("c1"), F.col("a2").alias("c2")).unionAll(pairs.select("b1", "b2")).distinct()
     chosen = sketches.select("record_id", "c1", "c2").join(wanted, ["c1", "c2"], "left_semi").groupBy("c1", "c2").agg(F.min("record_id").alias("record_id"))
+    roles = cut_lineage(roles.join(chosen, ["c1", "c2"]))
+    texts = df.select(rid.alias("record_id"), text.alias("text")).filter("text is not null")
+    met = texts.join(F.broadcast(roles) if roles.count() <= MAX_NAMED else roles, "record_id").select("a1", "a2", "block", "own", "b1", "b2", "c1", "c2", "text")
 
     def plains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            # a reused id may hold another text
-            rows = [(c1, c2, plain) for c1, c2, t in zip(b["c1"], b["c2"], b["text"]) if _text_key(plain := plain_form(t)) == (c1, c2)]
-            yield pd.DataFrame(rows, columns=["c1", "c2", "plain"])
+            plain = {t: plain_form(t) for t in b["text"].unique()}
+            keys = {t: _text_key(x) for t, x in plain.items()}
+            same = [keys[t] == k for t, k in zip(b["text"], zip(b["c1"], b["c2"]))]  # a reused id may hold another text
+            yield b.assign(plain=b["text"].map(plain)).loc[same, ["a1", "a2", "block", "own", "b1", "b2", "plain"]]
 
-    texts = df.select(rid.alias("record_id"), text.alias("text")).filter("text is not null").join(chosen, "record_id").select("c1", "c2", "text")
-    texts = cut_lineage(texts.mapInPandas(plains, "c1 long, c2 long, plain string").dropDuplicates(["c1", "c2"]))
-    partners = pairs.groupBy("a1", "a2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    blocked = pairs.join(partners, ["a1", "a2"]).withColumn("block", F.pmod(F.xxhash64("b1"), F.col("blocks")))
-    lefts = partners.select("a1", "a2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    none = F.lit(0).cast("long")
-    left = lefts.join(texts.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), "plain"), ["a1", "a2"]).select("a1", "a2", "block", F.lit(True).alias("own"), none.alias("b1"), none.alias("b2"), "plain")
-    right = blocked.join(texts.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "plain"), ["b1", "b2"]).select("a1", "a2", "block", F.lit(False).alias("own"), "b1", "b2", "plain")
-    met = left.unionAll(right).repartition("a1", "a2", "block").sortWithinPartitions("a1", "a2", "block", F.desc("own"))
+    met = met.mapInPandas(plains, "a1 long, a2 long, block long, own boolean, b1 long, b2 long, plain string")
+    met = met.repartition("a1", "a2", "block").sortWithinPartitions("a1", "a2", "block", F.desc("own"))
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.empty(0, np.uint64)
@@ -299,7 +314,8 @@ def similar_classes(df: DataFrame, rid: Column, text: Column, sketches: DataFram
                     out.append((a1, a2, b1, b2, similarity))
             yield pd.DataFrame(out, columns=["a1", "a2", "b1", "b2", "similarity"])
 
-    return met.mapInPandas(verified, "a1 long, a2 long, b1 long, b2 long, similarity double")
+    # a record delivered twice brings its text twice
+    return met.mapInPandas(verified, "a1 long, a2 long, b1 long, b2 long, similarity double").dropDuplicates(["a1", "a2", "b1", "b2"])
 
 
 #: Hash buckets of a class's members; a class is met in at most so many blocks.
