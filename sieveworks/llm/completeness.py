@@ -1,10 +1,12 @@
 """Problem 1: values that were cut off by field limits or in transfer.
 
-Each value is read by a stack automaton over its structural marks (quotes,
-brackets, markup, escapes, broken multibyte sequences), and its ending is
-compared with what its source usually does: a value that ends without a
-terminator is cut where the source's prose ends with one, or where the value
-has just the length at which that source cuts.
+Each value is first read by a stack automaton over its structural marks (quotes,
+brackets, markup, fences), with half escapes, tags, entities and multibyte
+sequences at its end. What is still open at the end without a terminator is cut;
+what ends with a terminator but leaves a mark open is cut unless its source
+leaves marks open as a habit. A closed value's ending is compared with what its
+source usually does: one without a terminator is cut where the source's prose
+ends with one, or where the value has just the length at which that source cuts.
 
 Null, empty and blank values are never cut. Repeated rows give one result; rows
 without a record_id are left out. Empty tables give empty results.
@@ -26,7 +28,7 @@ from sieveworks.runtime import cut_lineage
 FIELDS = ("reasoning", "output")
 
 #: States of a value's ending.
-DONE, CUT, OPEN, ENTRY, LABEL, NONE = "done", "cut", "open", "entry", "label", "none"
+DONE, CUT, OPENED, OPEN, ENTRY, LABEL, NONE = "done", "cut", "opened", "open", "entry", "label", "none"
 
 # Marks of structure.
 _OPENERS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "{": "}"}
@@ -35,13 +37,17 @@ _STOPS = ".。!！?？"
 _WEAK = ";；"
 _AFTER_STOP = "\"'”’」』)）]】》»*_`"
 
-_MARKS = re.compile(r"</?[A-Za-z][A-Za-z0-9_]*(?:\s[^<>]*)?/?>|```|[\[\](){}（）【】「」『』《》“”]")
-_CLOSING_TAG = re.compile(r"</[A-Za-z][^<>]{0,80}>$")
+_MARKS = re.compile(r"</?[A-Za-z][A-Za-z0-9_]*(?:\s[^<>]*)?/?>|```|\"|[\[\](){}（）【】「」『』《》“”]")
+#: Tags that markup needn't close.
+_NEVER_CLOSED = frozenset("<p <li <dt <dd <td <th <tr <thead <tbody <tfoot <option <br <hr <img <input <meta <link <col <wbr".split())
+_CLOSING_TAG = re.compile(r"</[A-Za-z][^<>]*>")
 _LEADING_TAGS = re.compile(r"^\s*(?:<[A-Za-z][^<>]*>\s*)+")
-_HALF_TAG = re.compile(r"<[/!]?[A-Za-z][^<>\n]{0,80}$|</?$")
-_HALF_ESCAPE = re.compile(r"(?<!\\)(?:\\\\)*\\(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)?$")
+#: A tag up to somewhere in its name or its attributes; of attributes without a value the last only.
+_HALF_TAG = re.compile(
+    r"</?|<[/!]?[A-Za-z][\w:.-]*(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>=]+))*(?:\s+(?:[\w:.-]+(?:\s*=\s*(?:\"[^\"]*|'[^']*)?)?)?)?"
+)
+_HALF_CODE = re.compile(r"(?:u[0-9A-Fa-f]{0,3}|x[0-9A-Fa-f]?)$")
 _HALF_ENTITY = re.compile(r"&(?:#x?[0-9A-Fa-f]*|[A-Za-z]{2,8})$")
-_ELLIPSIS = re.compile(r"[\[(（【<]?\s?(?:\.{3,}|…+|。{3,})$")
 _LIST_ENTRY = re.compile(r"^\s*(?:[-*•·]|\d{1,3}[.)、]|[(（]\d{1,3}[)）]|[A-Za-z][.)、．])\s*\S")
 _REFERENCE = re.compile(
     r"(?:\b(?:see|cf\.?|voir)\b[^.]{0,40}\b(?:p|pp|page|pages|para|art)\.?\s*\d+|(?:详见|参见|见)[^。]{0,20}第\s*\d+\s*[页条款号])\s*$", re.IGNORECASE
@@ -68,29 +74,75 @@ PLACEHOLDERS = frozenset(
 
 
 def open_marks(text: str) -> list[str]:
-    """The stack of marks that are still open at the end of ``text``."""
+    """The stack of marks that are still open at the end of ``text``. A straight quote opens after a space or a mark only, and no quote is open that began in an earlier line."""
     stack: list[str] = []
+    place: dict[str, list[int]] = {}  # where the open quotes, fences and tags stand in the stack
+
+    def close(kind: str) -> bool:
+        """Closes the last open mark of a kind and all that was opened after it; False if none is open."""
+        while at := place.get(kind):
+            i = at.pop()
+            if i < len(stack) and stack[i] == kind:  # else it went with one that stood before it
+                del stack[i:]
+                return True
+        return False
+
+    def open_(kind: str) -> None:
+        place.setdefault(kind, []).append(len(stack))
+        stack.append(kind)
+
+    quote = 0  # where the last straight quote was opened
     for m in _MARKS.finditer(text):
         mark = m.group()
-        if mark == "```":
-            if mark in stack:
-                del stack[stack.index(mark) :]
-            else:
-                stack.append(mark)
+        if mark == '"':
+            before = text[m.start() - 1 : m.start()]
+            if not close(mark) and (not before or before.isspace() or before in "([{（【「『《“:：,，=>"):
+                open_(mark)
+                quote = m.start()
+        elif mark == "```":
+            if not close(mark):
+                open_(mark)
         elif mark[0] == "<":
             name = "<" + mark.strip("</> ").split()[0].lower()
             if mark[1] == "/":
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            elif not mark.endswith("/>"):
-                stack.append(name)
+                close(name)
+            elif not mark.endswith("/>") and name not in _NEVER_CLOSED:
+                open_(name)
         elif mark in _OPENERS:
             stack.append(mark)
-        elif stack and stack[-1] == _CLOSERS[mark]:
-            stack.pop()
+        elif _CLOSERS[mark] in stack[-2:]:  # over one mark that was never closed
+            del stack[len(stack) - 1 - stack[: -3 : -1].index(_CLOSERS[mark]) :]
+    if "\n" in text[quote:]:
+        stack = [x for x in stack if x != '"']
     return stack
 
 
+def is_half(text: str) -> bool:
+    """Whether ``text`` ends within a character, an escape, a tag or an entity."""
+    if text[-1] == "�":
+        return True
+    code = _HALF_CODE.search(text[-4:])
+    head = text[: len(text) - len(code.group())] if code else text
+    if (len(head) - len(head.rstrip("\\"))) % 2:
+        return True
+    at = text.rfind("<")
+    if at >= 0 and ">" not in text[at:] and _HALF_TAG.fullmatch(text, at):
+        return True
+    return _HALF_ENTITY.search(text[-10:]) is not None
+
+
+def _before_ellipsis(text: str) -> str | None:
+    """What stands before an ellipsis at the end, with a bracket that encloses it; None without one."""
+    if (last := text[-1]) not in ".…。":
+        return None
+    before = text.rstrip(last)
+    if last != "…" and len(text) - len(before) < 3:
+        return None
+    if before[-1:].isspace():
+        before = before[:-1]
+    return (before[:-1] if before[-1:] and before[-1] in "[(（【<" else before).rstrip(_SPACE)
+
+
 def is_heading(line: str) -> bool:
     """A title: nearly all words begin with a capital, and no clause follows."""
     words = _WORD.findall(line)
@@ -123,7 +175,7 @@ def _quoted(tail: str, *prompts: str) -> bool | None:
     seen = None
     bare = plain_form(tail)
     for prompt in prompts:
-        if len(bare) >= LEAST_TAIL and plain_form(prompt[-2 * TAIL :]).endswith(bare):
+        if len(bare) >= LEAST_TAIL and plain_form(prompt).endswith(bare):
             return True  # with other spaces, width or case than the prompt has
         at = prompt.find(tail) if tail else -1
         while at >= 0:
@@ -137,31 +189,28 @@ def _quoted(tail: str, *prompts: str) -> bool | None:
 
 def _without_tags(text: str) -> str:
     """Without leading and closing tags."""
-    while m := _CLOSING_TAG.search(text[-100:]):
-        text = text[: len(text) - len(m.group())].rstrip(_SPACE)
+    while text.endswith(">") and (at := text.rfind("<")) >= 0 and _CLOSING_TAG.fullmatch(text, at):
+        text = text[:at].rstrip(_SPACE)
     return _LEADING_TAGS.sub("", text, count=1).strip(_SPACE)
 
 
 def ending(value: str | None, instruction: str | None = None, prompt: str | None = None) -> str:
-    """How ``value`` ends: DONE, CUT, OPEN (prose without terminator), ENTRY (of a list), LABEL, or NONE (nothing there)."""
+    """How ``value`` ends: DONE, CUT, OPENED (terminated, but with a mark still open), OPEN (prose without terminator), ENTRY (of a list), LABEL, or NONE (nothing there)."""
     text = (value or "").strip(_SPACE)
     if not text or not _LETTERS.search(text):
         return CUT if text and text[-1] == "�" else NONE
-    tail = text[-100:]  # the marks of a cut stand at the very end
-    if text[-1] == "�" or _HALF_ESCAPE.search(tail) or _HALF_TAG.search(tail) or _HALF_ENTITY.search(tail):
+    stack = open_marks(text)
+    if is_half(text):
         return CUT
     inner = _without_tags(text)
     if not inner:
         return NONE
-    marked = _ELLIPSIS.search(inner[-100:])
-    if marked:
-        before = inner[: len(inner) - len(marked.group())].rstrip(_SPACE)
+    before = _before_ellipsis(inner)
+    if before is not None:
         return NONE if not before else DONE if _stopped(before) else CUT
     last = inner.rsplit("\n", 1)[-1].strip(_SPACE)
     if _stopped(inner):
-        # a terminator inside a bracket or quote that is still open in the last sentence is no ending
-        return DONE
-    stack = [m for m in open_marks(inner) if m[0] != "<"]
+        return OPENED if stack else DONE
     if inner[-1] in ")）]】」』》”\"'’" and not stack:
         return DONE
     if "\n" in inner and _LIST_ENTRY.match(last) and not stack:
@@ -176,7 +225,9 @@ def ending(value: str | None, instruction: str | None = None, prompt: str | None
     found = _quoted(tail, instruction or "", prompt or "") if len(tail) >= LEAST_TAIL else None
     if found:
         return DONE
-    if found is None and not stack and is_label(inner) and not _last_is_comma(inner):
+    if stack:
+        return CUT
+    if found is None and is_label(inner) and not _last_is_comma(inner):
         return LABEL
     return OPEN
 
@@ -208,8 +259,9 @@ BYTE_SLACK = 4
 
 
 def source_baselines(ends: DataFrame, min_cases: int = 5, min_share: float = 0.2) -> DataFrame:
-    """Per source and field: ``limit_chars`` and ``limit_bytes``, lengths at which the source cuts, and ``stopped_share``,
-    the share of prose away from these lengths that ends with a terminator. Null where there is none, or too few cases.
+    """Per source and field: ``limit_chars`` and ``limit_bytes``, lengths at which the source cuts; ``stopped_share``, the
+    share of prose away from these lengths that ends with a terminator; and ``opened_share``, the share of terminated
+    values that leave a mark open. Null where there is none, or too few cases.
 
     A limit is the commonest length among values cut or open, if it has
     ``min_cases`` of them and ``min_share`` of all; a byte limit with BYTE_SLACK.
@@ -225,9 +277,12 @@ def source_baselines(ends: DataFrame, min_cases: int = 5, min_share: float = 0.2
         return sums.filter((F.col("most") >= min_cases) & (F.col("most") >= min_share * F.col("all"))).select(*keys, f"limit_{unit[2:]}")
 
     limits = limit("n_chars", 0).join(limit("n_bytes", BYTE_SLACK), keys, "full")
-    prose = ends.filter(F.col("state").isin(DONE, CUT, OPEN)).join(limits, keys, "left").filter(~_at_limit() | (F.col("state") == DONE))
-    share = F.avg((F.col("state") == DONE).cast("double"))
-    shares = prose.groupBy(*keys).agg(F.when(F.count(F.lit(1)) >= min_cases, share).alias("stopped_share"))
+    ended = F.col("state").isin(DONE, OPENED)
+    prose = ends.filter(F.col("state").isin(DONE, CUT, OPENED, OPEN)).join(limits, keys, "left").filter(~_at_limit() | ended)
+    share = lambda n, of: F.when(of >= min_cases, n / of)
+    shares = prose.groupBy(*keys).agg(
+        share(F.count_if(ended), F.count(F.lit(1))).alias("stopped_share"), share(F.count_if(F.col("state") == OPENED), F.count_if(ended)).alias("opened_share")
+    )
     return limits.join(shares, keys, "full")
 
 
@@ -236,11 +291,13 @@ def _at_limit() -> Column:
     return chars | F.coalesce(F.abs(F.col("n_bytes") - F.col("limit_bytes")) <= BYTE_SLACK, F.lit(False))
 
 
-def judge(ends: DataFrame, baselines: DataFrame, usual: float = 0.5) -> DataFrame:
-    """``ends`` with ``is_cut``: broken structure, or an open ending where the source's prose is terminated or at the source's limit."""
+def judge(ends: DataFrame, baselines: DataFrame, usual: float = 0.5, careless: float = 0.1) -> DataFrame:
+    """``ends`` with ``is_cut``: broken structure, a mark left open where the source leaves at most a share ``careless`` so,
+    or an open ending where the source's prose is terminated or at the source's limit."""
     usually = F.coalesce(F.col("stopped_share") >= usual, F.lit(True))
     is_cut = (
         F.when(F.col("state") == CUT, True)
+        .when(F.col("state") == OPENED, F.coalesce(F.col("opened_share") <= careless, F.lit(True)) | _at_limit())
         .when(F.col("state") == OPEN, usually | _at_limit())
         .when(F.col("state") == ENTRY, F.coalesce(F.col("n_chars") == F.col("limit_chars"), F.lit(False)))
         .otherwise(False)
