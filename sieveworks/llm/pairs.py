@@ -3,16 +3,16 @@
 Each field gets at most one defect, tested in this order: ``empty`` (output
 only), ``copy``, ``refusal``, ``other_lang``, ``truncated``. Copies are found by
 shingle containment of the prompt in the answer and, where that is near the
-line, by the longest common subsequence; refusals by aligning sentences with
-templates; truncation is problem 1's decision. Null reasoning is no defect; a
-null instruction or input can't be copied and asks for no language. Rows without
-a record_id are left out.
+line, by the longest common subsequence, whatever the lengths; refusals by
+aligning every sentence with templates; truncation is problem 1's decision. Null
+reasoning is no defect; a null instruction or input can't be copied and asks for
+no language. Rows without a record_id are left out.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -28,65 +28,47 @@ from sieveworks.runtime import cut_lineage
 SHINGLE, COPIED, OWN = 5, 0.5, 0.7
 #: Width around COPIED in which the subsequence decides.
 NEAR = 0.1
-#: Table size up to which it does; of longer texts the shingles alone tell.
-LCS_CELLS = 400_000_000
 #: Shortest prompt in plain form of which a copy can be told.
 LEAST_PROMPT = 8
 
-# Templates of refusals, one stem each; words between may differ.
+# Templates by language. Slots are divided by spaces, the words of a slot by bars; a slot with a star must be met.
+# A refusal is the speaker's own; a referral sends the asker elsewhere.
 REFUSALS = {
     "en": (
-        "i can not help with this matter", "i am not able to give a view on these facts", "i will not be drafting a response to this",
-        "this is something i have to decline", "i would rather not offer legal conclusions here", "i am unable to assist with this request",
-        "i can not provide an answer to this question", "i must decline to answer", "i am sorry but i can not comply with that",
-        "i do not feel comfortable answering this", "i prefer not to comment on this case", "as an ai language model i can not provide legal advice",
-        "it is not possible for me to assess the case", "providing an answer would go beyond what i may do", "i must pass on this question", "i can not answer that", "i am not in a position to advise on this", "it would not be appropriate for me to answer this", "i choose not to respond to this",
+        "i* can|will|could|may|shall not* help|assist|answer|respond|provide|give|offer|comment|discuss|advise|complete|fulfil|comply|share|draft|drafting|write|writing|process|assess|analyse|analyze|handle|take|say|engage|do*",
+        "i* am not* able|allowed|permitted|comfortable|authorised|authorized|going* to", "i* am not* in a position* to", "i* am unable* to", "i* do not* feel comfortable*",
+        "i* would rather|prefer* not*", "i* prefer|choose|opt* not* to", "i* decline|refuse* to",
+        "i* must|have|need|will|would to pass|decline|refuse|abstain|refrain|withhold*", "something* i* must|have|need to decline|refuse*",
+        "it is|would be not* possible|appropriate* for* me*", "it is|would be impossible|inappropriate* for* me*",
+        "beyond* what* i* may|can|could|am", "beyond|outside* my* scope|remit|abilities|role|competence*", "not* something* i* can|may|am",
+    ),
+    "fr": (
+        "je* ne* peux|puis|saurais|souhaite|suis pas répondre|aider|donner|traiter|analyser|prononcer|mesure|fournir|autorisé*",
+        "il m* est impossible* de|d", "je* dois|préfère* décliner|refuser|abstenir|ne*",
     ),
     "zh": (
-        "我没有办法回答这类涉案问题", "无法协助您处理这份文书", "我不能为您完成这项分析", "恕难提供具体结论", "这一问题我不便作答", "我无法就该材料作出判断",
-        "我选择不对此发表看法", "我无法回答这个问题", "很抱歉我不能提供帮助", "恕我无法答复", "我拒绝回答该问题", "作为人工智能我不能提供法律意见", "我暂不提供此类意见", "这个请求超出了我能处理的范围", "我不方便对此作出评论",
+        "我|本人* 无法|不能|不便|没有办法|难以|拒绝|选择不|不方便|无权|暂不|不予|不宜|不打算* 回答|作答|协助|帮助|提供|完成|判断|处理|看法|评论|分析|讨论|意见|答复*",
+        "无法|不能|难以|不便* 协助|帮助|为|向|给* 您*", "恕* 难以|难|不便|不能|不|无法*", "超出* 我* 范围*", "不便* 作答|回答|评论*",
     ),
-    "fr": (
-        "je ne peux pas répondre à cette demande", "je ne suis pas en mesure de vous aider", "je préfère ne pas donner d avis", "je dois refuser de répondre",
-        "il m est impossible de traiter cette demande", "il m est impossible d analyser ce dossier", "je ne saurais me prononcer sur ces faits",
+}
+REFERRALS = {
+    "en": (
+        "speak|talk|turn to a qualified|licensed* lawyer|attorney|professional|adviser*", "consult* a|your qualified|local lawyer|attorney|professional|adviser*", "feel* free* to ask|reach*", "ask* me* something|anything* else",
+        "another* topic|question* i* could|can",
     ),
+    "fr": ("consulter|consultez* un avocat|juriste*", "autre* sujet|question*"),
+    "zh": ("咨询|联系* 律师|专业人士*", "欢迎* 提问|咨询*", "更换* 话题*"),
 }
-#: Share of a template that must be found, in order, in a sentence.
-ALIGNED = 0.7
-#: Sentences besides the refusal that a refusal may have.
-ROUND_REFUSAL = 3
-
-# Contractions, words that a refusal has, and words that tell a language.
-_CONTRACTIONS = (("can't", "can not"), ("cannot", "can not"), ("won't", "will not"), ("n't", " not"), ("'m", " am"), ("'d", " would"), ("'ll", " will"), ("’", "'"))
-# The speaker's own inability or unwillingness, whatever the words around it.
-_DECLINES = re.compile(
-    r"\b(?:it is|it's|it would be) (?:not possible|impossible|not appropriate|inappropriate) for me\b|\bI (?:must|have to|need to|will have to|would have to) (?:pass|decline|refuse|abstain|refrain|withhold)\b"
-    r"|\bbeyond (?:what I (?:may|can|could|am)|my (?:scope|remit|abilities|role|competence))|\boutside my (?:scope|remit|role)\b"
-    r"|\bI(?:['’]m| am) (?:not able|unable|not in a position|not allowed|not permitted|not comfortable|not authori[sz]ed|not going) to\b"
-    r"|\bI (?:can(?:no|['’])t|can not|won['’]t|will not|could not|couldn['’]t|may not) (?:help|assist|answer|respond|provide|give|offer|comment|discuss|advise|complete|fulfil|comply|share|draft|write|be|do|process|assess|analy|handle|take|say|engage)"
-    r"|\bI(?:['’]d| would) (?:rather|prefer) not\b|\bI (?:prefer|choose|opt) not to\b|\bI (?:decline|refuse) to\b|\bsomething I (?:have to|must|need to) decline|\bnot something I (?:can|may|am able)\b"
-    r"|\bm['’]est impossible\b|\bje ne (?:peux|puis|saurais|souhaite|suis)\b.{0,24}\b(?:répondre|aider|donner|traiter|analyser|prononcer|mesure|fournir|autorisé)|\bje (?:dois|préfère) (?:décliner|refuser|m['’]abstenir|ne pas)\b"
-    r"|(?:我|本人)[^。某]{0,8}(?:无法|不能|不便|没有办法|难以|拒绝|选择不|不方便|无权|暂不|不予|不宜|不打算)[^。某]{0,14}(?:回答|作答|协助|帮助|提供|完成|判断|处理|看法|评论|分析|讨论|意见|答复|讨论)"
-    r"|(?:无法|不能|难以|不便)[^。某]{0,4}(?:协助|帮助|为|向|给)您|恕[^。某]{0,4}(?:难|不|无法)|超出了?我[^。某]{0,8}范围|不便(?:作答|回答|评论)",
-    re.IGNORECASE,
-)
-# How a refusal begins, and where it sends the asker.
-_LEAD = re.compile(
-    r"^\W*(?:with respect|thank you for (?:sharing|asking)|after reading the request|i have read|apolog|i['’]?a?m sorry|sorry|unfortunately|i regret|désolé|je regrette|malheureusement|j['’]ai lu|(?:很|非常|十分)?(?:抱歉|对不起|遗憾|感谢)|您好|出于审慎|我已阅读)",
-    re.IGNORECASE,
-)
-_ELSEWHERE = re.compile(
-    r"(?:speak|talk|turn) to a (?:qualified|licensed)|consult (?:a|your) (?:qualified |local )?(?:lawyer|attorney|professional)|feel free to ask|another topic I (?:could|can)|adviser would serve you|usage guidelines|ask me something else"
-    r"|咨询(?:执业)?律师|联系有资质|更换(?:一个)?话题|欢迎继续提问|以免误导您|consulter un avocat|autre sujet",
-    re.IGNORECASE,
-)
-#: Without one of these in its lower-case form no text is looked at more closely.
-_MAYBE = re.compile(
-    r"for me to|beyond (?:what|my)|outside my|\bi(?:['’]m| am|['’]d| would| can| won| will|['’]ll| could| may| prefer| choose| opt| decline| refuse| must| have to| need to| regret)\b|something i |comfortable|impossible|sorry|apolog|unfortunately"
-    r"|with respect|thank you|speak to a|feel free|\bje (?:ne|dois|préf|regr)|désol|malheur|j['’]ai lu|无法|不能|不便|没有办法|难以|拒绝|选择不|不方便|无权|暂不|不宜|不打算|恕|超出|抱歉|对不起|遗憾|您"
-)
-#: Words that make a sentence one about somebody in the case.
-_OF_THE_CASE = re.compile(r"某|证人|被告|原告|当事人|上诉人")
+#: Share of a template's slots that must be met, in order, and the most that may stand between two: words, in Chinese characters.
+ALIGNED, GAPS = 0.7, {"en": 4, "fr": 4, "zh": 16}
+#: Sentences from the start in which a refusal is one whatever follows; further on it must make up half of the answer with its like.
+OPENING = 3
+
+# Contractions, and verbs after which a speaker is quoted.
+_CONTRACTIONS = (("’", "'"), ("can't", "can not"), ("cannot", "can not"), ("won't", "will not"), ("n't", " not"), ("'m", " am"), ("'d", " would"), ("'ll", " will"))
+_QUOTED = re.compile(r"“[^”]*”|「[^」]*」|『[^』]*』|\"[^\"\n]*\"|(?:称|说|表示|陈述|供述|回答道|答)\s*[:：，,]?\s*(?=我|本人)[^。！？!?\n]*")
+#: Every template has one of these among the slots it must have.
+_SPEAKER = re.compile(r"\b(?:i|me|my|je|m)\b|我|恕|您|不便", re.IGNORECASE)
 _FR_WORDS = frozenset("le la les des du un une et est que qui dans pour par sur au aux avec ne pas a été l d qu sa son ses se ce cette il elle en".split())
 _EN_WORDS = frozenset("the of and to in a is that for was on with as by not be it this from at or an are were has had which under before after".split())
 _FR_ONLY = re.compile(r"[àâçéèêëîïôûùœ]|\b[ldqnsj]['’][a-zàâéèêîôû]", re.IGNORECASE)
@@ -142,21 +124,31 @@ def _bare(text: str) -> bool:
     return all(len(w) == 1 or (w.isupper() and set(w) <= set("ABCDEFGH")) for w in re.findall(r"[^\W\d_]+", text))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, by bit vectors: one big-integer step for each character of ``b``."""
+#: Characters between looks at whether a subsequence is decided.
+_LOOK = 512
+
+
+def common_subsequence(a: str, b: str, least: float | None = None) -> int:
+    """Length of the longest common subsequence, by bit vectors: one big-integer step for each character of ``b``. With
+    ``least``, what is known once it is clear whether the length reaches it."""
     masks: dict[str, int] = {}
     for i, ch in enumerate(a):
         masks[ch] = masks.get(ch, 0) | (1 << i)
     ones = (1 << len(a)) - 1
     row = ones
-    for ch in b:
+    for i, ch in enumerate(b):
         hit = row & masks.get(ch, 0)
         row = ((row + hit) | (row - hit)) & ones
+        if least is not None and i % _LOOK == _LOOK - 1:
+            so_far = len(a) - row.bit_count()
+            if so_far >= least or so_far + len(b) - i - 1 < least:
+                return so_far
     return len(a) - row.bit_count()
 
 
-def _shingles(p: str) -> set[str]:
-    return {p[i : i + SHINGLE] for i in range(len(p) - SHINGLE + 1)}
+@lru_cache(maxsize=8)  # a prompt is looked at once for each field
+def _shingles(p: str) -> frozenset[str]:
+    return frozenset(p[i : i + SHINGLE] for i in range(len(p) - SHINGLE + 1))
 
 
 def is_copy(value: str, instruction: str, prompt: str) -> bool:
@@ -164,77 +156,111 @@ def is_copy(value: str, instruction: str, prompt: str) -> bool:
     if len(instruction) >= LEAST_PROMPT - 2 and instruction in value and len(instruction) >= 0.5 * len(value):
         return True
     if len(instruction) >= LEAST_PROMPT and 0.5 * len(value) <= len(instruction) <= 2 * len(value):
-        if common_subsequence(instruction, value) >= 0.9 * max(len(instruction), len(value)):
+        least = 0.9 * max(len(instruction), len(value))
+        if common_subsequence(instruction, value, least) >= least:
             return True
     if len(prompt) < LEAST_PROMPT or len(value) < COPIED * (1 - NEAR) * len(prompt):
         return False
-    # a cheap look at evenly spaced shingles; a copy of half has half of them
-    step = max(1, len(prompt) // 24)
-    probes = [prompt[i : i + SHINGLE] for i in range(0, len(prompt) - SHINGLE + 1, step)]
-    if sum(x in value for x in probes) < 0.25 * len(probes):
-        return False
     asked, given = _shingles(prompt), _shingles(value)
     both = len(asked & given)
     covered, own = both / len(asked), both / max(1, len(given))
     if own < OWN:
         return False
-    if abs(covered - COPIED) <= NEAR and len(prompt) * len(value) <= LCS_CELLS:
-        return common_subsequence(prompt, value) >= COPIED * len(prompt)
+    if abs(covered - COPIED) <= NEAR:
+        return common_subsequence(prompt, value, COPIED * len(prompt)) >= COPIED * len(prompt)
     return covered > COPIED
 
 
-def _tokens(sentence: str, code: str) -> list[str]:
-    s = sentence.lower()
-    if code == "zh":
-        return [ch for ch in s if ch.isalnum()]
-    for a, b in _CONTRACTIONS:
-        s = s.replace(a, b)
-    return re.findall(r"[^\W_]+", s)
+class Template:
+    """Slots of words, those that must be met, and where each word may stand."""
+
+    def __init__(self, text: str) -> None:
+        parts = text.split(" ")
+        self.slots = [frozenset(x.rstrip("*").split("|")) for x in parts]
+        keys = [i for i, x in enumerate(parts) if x.endswith("*")]
+        self.keys, self.last = frozenset(keys), keys[-1]
+        self.least = ALIGNED * len(parts)
+        self.where: dict[str, list[int]] = {}
+        for i, words in enumerate(self.slots):
+            for w in words:
+                self.where.setdefault(w, []).insert(0, i)  # later slots first, so that a word isn't met twice
+
+    def aligns(self, tokens: Sequence[tuple[str, int, int]], gap: int) -> bool:
+        """Whether all keys, and ``ALIGNED`` of all slots, are met in order by tokens (word, start, end) with at most ``gap`` between two."""
+        met: list[list[tuple[int, int]]] = [[] for _ in self.slots]  # (end of the last token, slots met) by the last slot
+        for word, start, end in tokens:
+            for s in self.where.get(word, ()):
+                best = 0 if s <= min(self.keys) else -1
+                for r in range(s - 1, -1, -1):
+                    for to, n in reversed(met[r]):
+                        if start - to > gap:
+                            break
+                        best = max(best, n)
+                    if r in self.keys:
+                        break
+                if best >= 0:
+                    met[s].append((end, best + 1))
+                    if s >= self.last and best + 1 >= self.least:
+                        return True
+        return False
+
+
+class Templates:
+    """Templates of one language behind an index of their words: only those are aligned whose keys a sentence has all."""
 
+    def __init__(self, code: str, texts: Sequence[str]) -> None:
+        self.code, self.gap = code, GAPS[code]
+        self.all = [Template(t) for t in texts]
+        self.index: dict[str, list[tuple[int, int]]] = {}
+        for i, t in enumerate(self.all):
+            for k in t.keys:
+                for w in t.slots[k]:
+                    self.index.setdefault(w, []).append((i, k))
+        words = {w for t in self.all for slot in t.slots for w in slot}
+        self.phrases = re.compile("|".join(sorted(words, key=lambda w: (-len(w), w)))) if code == "zh" else None
 
-_TEMPLATES = [(code, _tokens(t, code)) for code, ts in REFUSALS.items() for t in ts]
+    def tokens(self, sentence: str) -> list[tuple[str, int, int]]:
+        if self.phrases is not None:
+            return [(m.group(), m.start(), m.end()) for m in self.phrases.finditer(sentence)]
+        text = sentence.lower()
+        for a, b in _CONTRACTIONS:
+            text = text.replace(a, b)
+        return [(w, i, i + 1) for i, w in enumerate(re.findall(r"[^\W_]+", text))]
 
+    def align(self, sentence: str) -> bool:
+        tokens = self.tokens(sentence)
+        keys: dict[int, set[int]] = {}
+        for w in {w for w, _, _ in tokens}:
+            for i, k in self.index.get(w, ()):
+                keys.setdefault(i, set()).add(k)
+        return any(len(found) == len(self.all[i].keys) and self.all[i].aligns(tokens, self.gap) for i, found in keys.items())
 
-def _subsequence(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = before + 1 if x == y else max(row[j], row[j - 1])
-            before = keep
-    return row[-1]
+
+_REFUSING, _REFERRING = ([Templates(code, texts) for code, texts in some.items()] for some in (REFUSALS, REFERRALS))
 
 
 @lru_cache(maxsize=20_000)
-def _refuses(sentence: str) -> bool:
-    if _OF_THE_CASE.search(sentence) or len(sentence) > 400:
-        return False
-    if _DECLINES.search(sentence):
-        return True
-    if not _MAYBE.search(sentence.lower()):
-        return False
-    code = language_of(sentence)
-    for lang, template in _TEMPLATES:
-        if lang == code or (code == "latin" and lang != "zh"):
-            words = _tokens(sentence, lang)
-            if len(set(template) & set(words)) < ALIGNED * len(set(template)):
-                continue
-            if _subsequence(template, words) >= ALIGNED * len(template) and len(words) <= 4 * len(template) + 8:
-                return True
-    return False
+def _role(sentence: str) -> str | None:
+    """``refuses``, ``refers`` or None, by the templates of the sentence's script."""
+    zh = _CJK.search(sentence) is not None
+    fits = lambda some: any(t.align(sentence) for t in some if (t.code == "zh") == zh)
+    if _SPEAKER.search(sentence) and fits(_REFUSING):
+        return "refuses"
+    return "refers" if fits(_REFERRING) else None
 
 
 def is_refusal(value: str) -> bool:
-    """Whether the answer declines to answer: a sentence that says so or aligns with a template, or a polite beginning that sends elsewhere; and little else."""
-    if len(value) > 2000 or not _MAYBE.search(value.lower()):
+    """Whether the answer declines to answer: a sentence of its opening aligns with a refusal, or refusals and referrals are half of it. Quoted speech is not the answer's own."""
+    if not _SPEAKER.search(value):
+        return False
+    own = _QUOTED.sub(" ", _TAGS.sub(" ", value))
+    if not _SPEAKER.search(own):
         return False
-    sentences = [s.strip() for s in _SENTENCE.findall(_TAGS.sub(" ", value)) if s.strip()]
-    refusing = sum(map(_refuses, sentences))
-    elsewhere = sum(bool(_ELSEWHERE.search(s)) for s in sentences)
-    if not refusing and not (elsewhere and _LEAD.search(sentences[0])):
+    sentences = [s.strip() for s in _SENTENCE.findall(own) if s.strip()]
+    roles = [_role(s) for s in sentences]
+    if "refuses" not in roles:
         return False
-    return len(sentences) - max(refusing, 1) - elsewhere <= ROUND_REFUSAL
+    return "refuses" in roles[:OPENING] or 2 * (len(roles) - roles.count(None)) >= len(roles)
 
 
 def defect_of(field: str, value: str | None, instruction: str, prompt: str, plain_instruction: str, plain_prompt: str) -> str | None:

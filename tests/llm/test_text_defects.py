@@ -38,6 +38,11 @@ PROMPT = "The court in Aldford adjourned the case because the clerk refused to s
         ("<think>\nThe claim for the equipment is stayed and the\n</think>", c.OPEN),
         ("the clerk refused to sign the register", c.DONE),  # quoted; the prompt goes on with a stop
         ("adjourned the case because the clerk refused", c.OPEN),  # quoted, but the prompt's sentence goes on
+        # a terminator within something still open is no end; markup that needn't be closed is none
+        ("他说：“我不知道。", c.OPENED), ("The court (having heard the parties.", c.OPENED), ("```json\n{\"a\": 1}.", c.OPENED), ("<think>I see the case. It is so.", c.OPENED),
+        ('{"answer": "It is so.', c.OPENED), ('He said "yes. And left.', c.OPENED), ('He said "yes". And left.', c.DONE), ('a 5" pipe. Done.', c.DONE), ("<p>The claim is stayed.", c.DONE),
+        ('"The claim is stayed. \nWho lost?"', c.DONE), ("The clerk (of Aldford, who refused to sign the register and", c.CUT), ("if a <b then it was so.", c.DONE),
+        ('The file <a href="' + "http://a.b/" * 30, c.CUT), ("The claim " + "." * 300, c.CUT), ("The claim is \\u4e", c.CUT), ("The claim is &nb", c.CUT),
         ("", c.NONE), ("  　", c.NONE), (None, c.NONE), ("<answer></answer>", c.NONE), ("**Answer:** ", c.NONE), ("...", c.NONE),
     ],
 )
@@ -49,12 +54,13 @@ def test_open_marks():
     assert c.open_marks("(a [b] “c”") == ["("]
     assert c.open_marks("<think>a</think> ```x```") == []
     assert c.open_marks("<think>a ```x") == ["<think", "```"]
+    assert c.open_marks("(a [b) c") == [] and c.open_marks("<b>(a</b> c") == [] and c.open_marks("<br>x<li>y") == []
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200), st.text(max_size=50), st.text(max_size=100))
 def test_any_text_has_an_ending(value, ins, inp):
-    assert c.ending(value, ins, inp) in {c.DONE, c.CUT, c.OPEN, c.ENTRY, c.LABEL, c.NONE}
+    assert c.ending(value, ins, inp) in {c.DONE, c.CUT, c.OPENED, c.OPEN, c.ENTRY, c.LABEL, c.NONE}
 
 
 def _rows(*rows):
@@ -78,6 +84,15 @@ def test_truncation(spark):
     assert c.truncated_values(empty).count() == 0 and p.defective_fields(empty).count() == 0
 
 
+def test_marks_left_open_are_judged_by_the_source(spark):
+    """Behind a stop: a cut where the source closes its marks, a habit where it doesn't."""
+    stop, odd = "The claim (for the equipment) is dismissed.", "The claim (for the equipment is dismissed."
+    rows = [(i, "Q", "F", None, stop, "a") for i in range(20)] + [(50, "Q", "F", None, odd, "a")]
+    rows += [(100 + i, "Q", "F", None, odd if i % 2 else stop, "b") for i in range(20)] + [(300, "Q", "F", None, odd, "c")]
+    found = {r["record_id"] for r in c.truncated_values(spark.createDataFrame(_rows(*rows), SCHEMA)).collect()}
+    assert found == {50, 300}
+
+
 CASE = "于某军于2015年3月17日到派出所报案，称其在临河的药店柜台附近遭遇他人冒领名牌背包一只，损失约三百元。双方协商未果，遂提起诉讼。"
 
 
@@ -94,6 +109,12 @@ CASE = "于某军于2015年3月17日到派出所报案，称其在临河的药
         ("output", "With respect, providing an answer would go beyond what I may do.", "Answer the question", "The facts.", "refusal"), ("output", "J'ai lu le dossier. Désolé, il m'est impossible d'analyser ce dossier.", "Expliquez la situation au lecteur", "Le dossier.", "refusal"),
         ("reasoning", "The real question for me is mitigation, not the sum of $517. I do not rely on Ms Ossgard, whose memory shifted twice.", "Answer the question", "The facts.", None),
         ("output", "证人梁某甲曾拒绝回答提问，并当庭表示抱歉。", "请作答", CASE, None), ("output", "The witness said he could not help and refused to answer.", "Answer the question", "The facts.", None),
+        # the length of an answer, of a sentence, and who is named in it don't matter; whose words they are does
+        ("output", "很抱歉，我无法就被告的责任作出判断。", "请作答", CASE, "refusal"), ("output", "很抱歉，我无法就该责任作出判断。", "请作答", CASE, "refusal"),
+        ("output", "I can't help with this matter. " + "The register has many pages and each of them is signed. " * 50, "Answer the question", "The facts.", "refusal"),
+        ("output", "Having read " + "the long register and " * 40 + "the rest, I am unable to assist with this request.", "Answer the question", "The facts.", "refusal"),
+        ("output", 'The witness said: "I can\'t answer that." The court accepts it.', "Answer the question", "The facts.", None), ("output", "证人称我不便作答，随后离开。", "请作答", CASE, None),
+        ("output", "The claim fails. " * 9 + "I can not say more.", "Answer the question", "The facts.", None),
         ("output", "The claim is dismissed and the rest is stayed.", "请判断本案罪名", CASE, "other_lang"), ("output", "Le tribunal relève que la demande est rejetée.", "Explain the position to the reader", "The facts of it.", "other_lang"),
         ("output", "The claim is dismissed and the rest is stayed.", "请判断本案罪名（输出语言：英语）", CASE, None), ("output", "本案构成盗窃罪。", "State the outcome and reply in Chinese", "The facts.", None),
         ("output", "ACD", "请完成下列选择题", CASE, None), ("output", "12", "请完成下列选择题", CASE, None), ("output", "盗窃罪", "请判断本案罪名", CASE, None),
@@ -112,6 +133,19 @@ def test_common_subsequence(a, b):
         for j, y in enumerate(b, 1):
             row[j], before = (before + 1 if x == y else max(row[j], row[j - 1])), row[j]
     assert p.common_subsequence(a, b) == row[-1]
+    assert all((p.common_subsequence(a, b, least) >= least) == (row[-1] >= least) for least in range(14))
+
+
+def test_long_copies_are_decided_by_the_subsequence():
+    """Texts beyond any table: half of the prompt, with an edit every few characters."""
+    import random
+
+    rng = random.Random(4)
+    prompt = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    half = prompt[:16_500]
+    edited = "".join(ch if i % 24 else "0" for i, ch in enumerate(half))
+    assert p.is_copy(edited, "answer", prompt)
+    assert not p.is_copy(edited[:14_000], "answer", prompt)
 
 
 def test_one_defect_per_field(spark):
