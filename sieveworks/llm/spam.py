@@ -1,13 +1,15 @@
 """Problem 8: keyword-stuffed pages and link lists.
 
-A text is cut into lines and sentences; each is judged by the share of its
-commonest word or n-gram, its share of link text, the density of separators,
-its share of function words, and whether an earlier line of the page has it. A
-page is spam if more than half of its characters lie in segments that are no
-sentences, or are repeats where it has more repeats than is usual. The function
-words that a sentence must have and the usual repeats are calibrated per
-language over all documents. Null, empty and very short texts are no spam; rows without a doc_id
-are left out.
+A text is cut into lines and sentences. Each is judged by the share of its
+commonest word or n-gram, its share of link text, its share of function words,
+and whether an earlier line of the page has it; what ends no sentence is judged
+as one list, by its separator density (the length of its items) and by the share
+of its words or n-grams that recur on the page. A page is spam if more than half
+of its characters lie in segments that are no sentences, in repeats where it has
+more repeats than is usual, or in such a list. What a sentence must have of
+function words, the usual repeats, the usual length between separators and the
+usual recurrence are calibrated per language over all documents. Null, empty and
+very short texts are no spam; rows without a doc_id are left out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ CALIBRATED = 0.3
 #: A language's usual share of repeats: this quantile of its pages, kept within these bounds.
 REPEATS_QUANTILE, REPEATS_LEAST, REPEATS_MOST = 0.95, 0.2, SPAM_SHARE
 
+#: Items that a list has at least. It is one of keywords if its items are at most DENSE of the language's usual length
+#: between separators, or at most that length while more recurs in it than in RECURS_QUANTILE of pages' prose, kept within these bounds.
+LEAST_LIST, DENSE = 8, 0.5
+RECURS_QUANTILE, RECURS_LEAST, RECURS_MOST = 0.9, 0.15, 0.5
+
 # Function words by language.
 FUNCTION_WORDS = {
     "en": frozenset(
@@ -45,12 +52,14 @@ FUNCTION_CHARS = frozenset("的了在于是并为与其由对被及将以和而
 
 _LINE = re.compile(r"[^\n]+")
 _SENTENCE_END = re.compile(r"(?<=[。！!？?；;])(?!\s*$)|(?<=[.!?])\s+(?=[\"'“(\[]?[A-ZÀ-Ý0-9#])|(?<=[a-zà-ÿ]{2}[.?!])(?=[A-ZÀ-Ý])")
-_LINK = re.compile(r"<a\b[^>]{0,300}>.{0,200}?</a>|\[[^\[\]\n]{0,60}\]\([^()\s]*\)|https?://\S+|www\.\S+|\btag:[^\s,;，；|]+|[#＃][^\s#＃,;，；|·/]+(?: (?![#＃])[a-z]+){0,3}", re.IGNORECASE)
+_LINK = re.compile(r"<a\b[^<>]*+>[^<]*+(?:<(?!/?a\b)[^<]*+)*+</a>|\[[^\[\]\n]*+\]\([^()\s]*+\)|https?://\S+|www\.\S+|\btag:[^\s,;，；|]+|[#＃][^\s#＃,;，；|·/]+(?: (?![#＃])[a-z]+){0,3}", re.IGNORECASE)
 _MAYBE_LINK = re.compile(r"[<#＃\[]|[Tt][Tt][Pp]|[Ww]{3}|[Tt][Aa][Gg]:")
 _DATE = re.compile(r"\d{4}\s*年\s*\d{1,2}\s*月|\b\d{1,2}(?:er)? [A-Za-zéûôè]{3,9} \d{4}\b|\b\d{4}-\d{2}-\d{2}\b")
 _NUMBERED = re.compile(r"^\s*(?:\d{1,4}|[ivxIVX]{1,5}|[A-Za-z])[.)、．]\s*\S|^\s*[（(]\d{1,3}[)）]|^\s*第\s*[\d一二三四五六七八九十百]+\s*[条章节页]")
 _FOOTNOTE = re.compile(r"^\s*\[\d{1,3}\]\s*\S+\s*$")
 _SEPARATOR = re.compile(r"\s*[|｜/／·•;；,，、>»→]\s*|\]\s*\[|\s{2,}|\t")
+_CJK_SPACE = re.compile(r"(?<=[㐀-鿿]) (?=[㐀-鿿])")
+_NUMBER_SIGN = re.compile(r"\b[Nn][o°]\.?\s?(?=\d)")
 _CJK = re.compile(r"[㐀-鿿]+")
 _LATIN_CHARS = re.compile(r"[A-Za-zÀ-ɏ]+")
 _WIDE_SPACE = re.compile(r"[ \t　 ]{5,}")
@@ -60,6 +69,7 @@ _SCRIPT = re.compile(r"[A-Za-zÀ-ɏ㐀-鿿]")
 _NO_FUNCTION_CHARS = {ord(ch): None for ch in FUNCTION_CHARS}
 _AFTER_STOP = " \t　\"'”’」』)）]"
 _STOPS = tuple(".。!！?？:：;；…")
+_FULL_STOPS = tuple(".。!！?？…")
 
 
 def language(text: str) -> str:
@@ -74,7 +84,9 @@ def language(text: str) -> str:
 
 def _units(segment: str, lang: str) -> list[str]:
     """The words of a segment; of a Chinese one, its CJK runs."""
-    return _CJK.findall(segment) if lang == "zh" else _LATIN_CHARS.findall(segment.lower())
+    if lang == "zh":
+        return _CJK.findall(segment)
+    return _LATIN_CHARS.findall((_NUMBER_SIGN.sub(" ", segment) if "o." in segment else segment).lower())
 
 
 def function_share(units: list[str], lang: str) -> tuple[float, int]:
@@ -136,53 +148,85 @@ def _stuffed(units: list[str], lang: str) -> bool:
     return n >= 3 and share >= 0.2
 
 
-def judge_segment(segment: str, lang: str) -> tuple[float, float | None]:
-    """(share of the segment that is spam for certain, function-word share of the rest, or None where that doesn't matter)."""
+def judge_segment(segment: str, lang: str) -> tuple[float, float | None, list[str] | None]:
+    """(share of the segment that is spam for certain, function-word share of the rest, or None where that doesn't matter, and its words; None for links)."""
     if has_link(segment):
         rest = _LINK.sub(" ", segment)
         link = 1.0 - len(rest.replace(" ", "")) / max(1, len(segment.replace(" ", "")))
         if _FOOTNOTE.match(segment):
-            return 1.0, None
+            return 1.0, None, None
         share, words = function_share(_units(rest, lang), lang)
         if words >= (12 if lang == "zh" else 6) and is_terminated(rest) or words >= (40 if lang == "zh" else 20):
-            return link, share
-        return 1.0, None
+            return link, share, None
+        return 1.0, None, None
     units = _units(segment, lang)
     if _stuffed(units, lang):
-        return 1.0, None
+        return 1.0, None, units
     share, words = function_share(units, lang)
     if lang == "zh" and share > 0 and words >= 12 and is_terminated(segment):
-        return 0.0, max(share, GRID[-1])  # it ends as a sentence and has a function word; keywords would have been told above
+        return 0.0, max(share, GRID[-1]), units  # it ends as a sentence and has a function word; keywords would have been told above
     if share < GRID[-1] and (_DATE.search(segment) or _NUMBERED.match(segment)):
-        return 0.0, None
-    return 0.0, share
+        return 0.0, None, units
+    return 0.0, share, units
+
+
+def recurring_share(parts: list[list[str]], zh: bool) -> float:
+    """Per cent of the n-grams (CJK) or words that are content and come three times or more."""
+    if zh:
+        grams = Counter([run[i : i + 4] for units in parts for run in units for i in range(len(run) - 3)])
+    else:
+        grams = Counter([w for units in parts for w in units])
+    all_ = grams.total()
+    often = [(g, n) for g, n in grams.items() if n >= 3]
+    return 100.0 * sum(n for g, n in often if zh or (len(g) > 2 and not any(g in words for words in FUNCTION_WORDS.values()))) / max(1, all_)
 
 
-def page_profile(text: str) -> tuple[str, str, int, list[int], list[int], list[int], list[int], int, int, list[int], list[int], int]:
-    """Language, language of the Latin part, characters, spam characters at each threshold of GRID in Chinese and in Latin segments,
-    histograms of the function shares of their terminated sentences, and the number of spam items at the middle threshold; then of
-    repeated segments: their characters, those of them that are not spam yet (Chinese, Latin), and their number."""
+def list_items(segment: str, zh: bool) -> int:
+    """Items between separators; of Chinese also between spaces."""
+    return sum(1 for x in _SEPARATOR.split(_CJK_SPACE.sub("|", segment) if zh else segment) if x.strip())
+
+
+def page_profile(text: str) -> tuple:
+    """The columns of _PROFILE after doc_id: language, language of the Latin part, characters; characters that are spam at each threshold of
+    GRID in Chinese and in Latin segments; histograms of the function shares of their terminated sentences; spam items at the middle
+    threshold; of repeated segments their characters, those of them that are not spam yet, and their number; of the list (loose segments)
+    its items, characters, recurring share, and those characters of it that are not spam yet; of the prose its clauses, their
+    characters, and its recurring share (-1 without prose)."""
     if "    " in text:
         text = _WIDE_SPACE.sub("    ", text)
     if _WIDE.search(text):
         text = text.translate(_NARROW)
     main = language(text)
     latin = main if main != "zh" else "en"
-    total, items, repeated, repeats = 0, 0, 0, 0
-    spam, more = ({True: [0.0] * len(GRID), False: [0.0] * len(GRID)} for _ in range(2))
+    total, items, repeated, repeats, loose_items, loose, clauses, prose = 0, 0, 0, 0, 0, 0, 0, 0
+    spam, more, listed = ({True: [0.0] * len(GRID), False: [0.0] * len(GRID)} for _ in range(3))
     shares = {True: [0] * 51, False: [0] * 51}
+    listing: list[list[str]] = []
+    sentences: list[list[str]] = []
     for segment, again in segments(text):
         size = len(segment)
         total += size
         zh = main == "zh" if (m := _SCRIPT.search(segment)) is None else ord(m.group()) >= 0x3400
         if zh != (main == "zh"):  # by its first letter; count where that differs from the page
             zh = 3 * sum(map(len, _CJK.findall(segment))) >= sum(map(len, _LATIN_CHARS.findall(_LINK.sub(" ", segment))))
-        certain, share = judge_segment(segment, "zh" if zh else latin)
+        certain, share, units = judge_segment(segment, "zh" if zh else latin)
+        ended = is_terminated(segment)
+        ended_full = ended and segment.rstrip(_AFTER_STOP)[-1:] in _FULL_STOPS
         row = spam[zh]
+        open_ = [0.0 if share is not None and share < g else (1.0 - certain) * size for g in GRID] if again or not ended_full else []
         if again:
             repeated, repeats = repeated + size, repeats + 1
-            for i, g in enumerate(GRID):
-                more[zh][i] += 0 if share is not None and share < g else (1.0 - certain) * size
+            for i, x in enumerate(open_):
+                more[zh][i] += x
+        elif not ended_full and units is not None and share is not None and not _DATE.search(segment) and not _NUMBERED.match(segment):
+            loose, loose_items = loose + size, loose_items + list_items(segment, zh)
+            listing.append(units)
+            for i, x in enumerate(open_):
+                listed[zh][i] += x
+        if ended and units is not None and zh == (main == "zh") and not certain:
+            sentences.append(units)
+            prose += size
+            clauses += 1 + sum(map(segment.count, "，、；：" if zh else ",;:"))
         if share is None:
             if certain:
                 for i in range(len(GRID)):
@@ -190,12 +234,17 @@ def page_profile(text: str) -> tuple[str, str, int, list[int], list[int], list[i
         else:
             for i, g in enumerate(GRID if share < GRID[-1] or certain else ()):
                 row[i] += size if share < g else certain * size
-            if size >= 12 and is_terminated(segment):
+            if size >= 12 and ended:
                 shares[zh][min(50, int(share))] += 1
         if certain > 0.5 or (share is not None and share < GRID[2 if zh else 4]):
-            items += max(1, size // 30, len(_SEPARATOR.split(segment)), len(_LINK.findall(segment)) if certain else 0)
+            items += max(1, size // 30, list_items(segment, zh), len(_LINK.findall(segment)) if certain else 0)
     whole = lambda row: [int(x) for x in row]
-    return main, latin, total, whole(spam[True]), whole(spam[False]), shares[True], shares[False], items, repeated, whole(more[True]), whole(more[False]), repeats
+    recurs = recurring_share(listing, main == "zh") if loose_items >= LEAST_LIST else 0.0
+    usual = recurring_share(sentences, main == "zh") if len(sentences) > 1 else -1.0
+    return (
+        main, latin, total, whole(spam[True]), whole(spam[False]), shares[True], shares[False], items, repeated, whole(more[True]), whole(more[False]), repeats,
+        loose_items, loose, recurs, whole(listed[True]), whole(listed[False]), clauses, prose, usual,
+    )
 
 
 def page_profiles(df: DataFrame) -> DataFrame:
@@ -206,11 +255,12 @@ def page_profiles(df: DataFrame) -> DataFrame:
             out = [(doc, *page_profile(text)) for doc, text in zip(b["doc_id"], b["text"]) if text]
             yield pd.DataFrame(out, columns=_PROFILE)
 
-    kinds = "long, string, string, int, array<int>, array<int>, array<int>, array<int>, int, int, array<int>, array<int>, int".split(", ")
+    kinds = "long, string, string, int, array<int>, array<int>, array<int>, array<int>, int, int, array<int>, array<int>, int, int, int, double, array<int>, array<int>, int, int, double".split(", ")
     return df.select("doc_id", "text").filter("doc_id is not null").mapInPandas(run, ", ".join(map(" ".join, zip(_PROFILE, kinds))))
 
 
 _PROFILE = ["doc_id", "language", "latin", "chars", "spam_zh", "spam_latin", "shares_zh", "shares_latin", "items", "repeated", "more_zh", "more_latin", "repeats"]
+_PROFILE += ["loose_items", "loose", "recurs", "listed_zh", "listed_latin", "clauses", "prose", "prose_recurs"]
 
 
 def thresholds(profiles: DataFrame) -> DataFrame:
@@ -234,11 +284,14 @@ def thresholds(profiles: DataFrame) -> DataFrame:
     return per.select("language", F.greatest(at, F.lit(0)).alias("at"))
 
 
-def usual_repeats(profiles: DataFrame) -> DataFrame:
-    """Per language: the share of a page's characters that repeats may have."""
-    share = F.percentile_approx(F.col("repeated") / F.col("chars"), REPEATS_QUANTILE)
-    usual = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(REPEATS_LEAST)), F.lit(REPEATS_MOST))
-    return profiles.filter(F.col("chars") >= LEAST_CHARS).groupBy("language").agg(usual.alias("usual"))
+def usual_pages(profiles: DataFrame) -> DataFrame:
+    """Per language: the share of a page's characters that repeats may have, the usual length between separators, and the share of prose that may recur."""
+    within = lambda x, low, high: F.least(F.greatest(F.coalesce(x, F.lit(low)), F.lit(low)), F.lit(high))
+    repeats = F.percentile_approx(F.col("repeated") / F.col("chars"), REPEATS_QUANTILE)
+    recurs = F.percentile_approx(F.when(F.col("prose_recurs") >= 0, F.col("prose_recurs") / 100), RECURS_QUANTILE)
+    return profiles.filter(F.col("chars") >= LEAST_CHARS).groupBy("language").agg(
+        within(repeats, REPEATS_LEAST, REPEATS_MOST).alias("repeats"), (F.sum("prose") / F.sum("clauses")).alias("clause"), within(recurs, RECURS_LEAST, RECURS_MOST).alias("recurs")
+    )
 
 
 def spam_pages(df: DataFrame) -> DataFrame:
@@ -247,14 +300,20 @@ def spam_pages(df: DataFrame) -> DataFrame:
     at = {r["language"]: r["at"] for r in thresholds(profiles).collect()}  # one row per language: zh, en, fr
     usual = {"zh": 1, "en": 4, "fr": 4}  # where no sentence of a language was seen
     place = F.create_map(*[x for k, v in (usual | at).items() for x in (F.lit(k), F.lit(v))])
-    repeats = {r["language"]: r["usual"] for r in usual_repeats(profiles).collect()}
-    most = F.create_map(*[x for k in usual for x in (F.lit(k), F.lit(repeats.get(k, REPEATS_LEAST)))])
-    judged = profiles.withColumns({"at_zh": place[F.lit("zh")], "at_latin": place[F.col("latin")], "many": F.col("repeated") / F.col("chars") > most[F.col("language")]})
-    judged = judged.withColumn("items", F.col("items") + F.when(F.col("many"), F.col("repeats")).otherwise(0))
+    pages = {r["language"]: r for r in usual_pages(profiles).collect()}  # one row per language
+    by = lambda name, least: F.create_map(*[x for k in usual for x in (F.lit(k), F.lit(float(pages[k][name] or least) if k in pages else least))])[F.col("language")]
+    length = F.col("loose") / F.greatest("loose_items", F.lit(1))
+    clause = by("clause", 0.0)
+    keywords = (F.col("loose_items") >= LEAST_LIST) & ((length <= clause * DENSE) | ((length <= clause) & (F.col("recurs") / 100 > by("recurs", RECURS_LEAST))))
+    judged = profiles.withColumns({"at_zh": place[F.lit("zh")], "at_latin": place[F.col("latin")], "many": F.col("repeated") / F.col("chars") > by("repeats", REPEATS_LEAST), "keywords": keywords})
+    added = F.when(F.col("many"), F.col("repeats")).otherwise(0) + F.when(F.col("keywords"), F.col("loose_items")).otherwise(0)
+    judged = judged.withColumn("items", F.col("items") + added)
 
     def spam(kind: str) -> Column:
         at = F.col(f"at_{kind}") + 1
-        return F.element_at(f"spam_{kind}", at) + F.when(F.col("many"), F.element_at(f"more_{kind}", at)).otherwise(0)
+        repeated = F.when(F.col("many"), F.element_at(f"more_{kind}", at)).otherwise(0)
+        listed = F.when(F.col("keywords"), F.element_at(f"listed_{kind}", at)).otherwise(0)
+        return F.element_at(f"spam_{kind}", at) + repeated + listed
 
     return (
         judged.withColumn("spam_share", (spam("zh") + spam("latin")) / F.col("chars"))

@@ -100,10 +100,26 @@ def test_repeated_sentences(spark):
     assert _spam(spark, bad + good) == set(range(len(bad)))
 
 
-def test_usual_repeats_are_calibrated(spark):
-    rows = [(i, lang, 100, n) for lang, n in (("en", 35), ("fr", 90), ("zh", 0)) for i in range(40)]
-    got = spam.usual_repeats(spark.createDataFrame(rows, "doc_id long, language string, chars int, repeated int"))
-    assert {r["language"]: r["usual"] for r in got.collect()} == {"en": 0.35, "fr": 0.5, "zh": 0.2}
+def test_lists_of_keywords_and_offers(spark):
+    """What ends no sentence is one list: by the length of its items, or by what recurs in it."""
+    towns = ["Aldford", "Corby", "Vinley", "Marlgate", "Pelbrook", "Halmere", "Yelcombe", "Ostercross", "Lamstead", "Tarnholm", "Wexilham", "Grisdale"]
+    bad = [
+        "; ".join(f"{t} power of attorney sale {i}7 / No.{i}4711" for i, t in enumerate(towns)),
+        "\n".join(f"{t} no win no fee" for t in towns),
+        PROSE_EN + "\n" + " | ".join(f"{t} will template ${i}9 / No.88{i}" for i, t in enumerate(towns)),
+        "，".join(f"{t}{k}" for t in ("澹溪镇", "蕤湾县", "岫桥县", "琅墩乡", "栖渡镇") for k in ("婚前协议", "取保候审", "婚前协议")),
+        " ".join(f"{t}婚前协议" for t in ("澹溪镇", "蕤湾县", "岫桥县", "琅墩乡", "栖渡镇", "滟坞县", "砚洲县", "霂塘市", "昀原乡")),
+    ]
+    good = [
+        PROSE_EN[:-1], PROSE_ZH[:-1], "\n".join(f"{t} v Torowski, file {i}, 3 May 2011" for i, t in enumerate(towns)), PROSE_EN + "\nNo.88 / Aldford\nNo.89 / Corby",
+    ]
+    assert _spam(spark, bad + good) == set(range(len(bad)))
+
+
+def test_usual_pages_are_calibrated(spark):
+    rows = [(i, lang, 100, n, 600, k, r) for lang, n, k, r in (("en", 35, 10, 20.0), ("fr", 90, 20, 90.0), ("zh", 0, 50, -1.0)) for i in range(40)]
+    got = spam.usual_pages(spark.createDataFrame(rows, "doc_id long, language string, chars int, repeated int, prose int, clauses int, prose_recurs double"))
+    assert {tuple(r) for r in got.select("language", "repeats", "clause", "recurs").collect()} == {("en", 0.35, 60.0, 0.2), ("fr", 0.5, 30.0, 0.5), ("zh", 0.2, 12.0, 0.15)}
 
 
 def test_spam_of_nothing(spark):
