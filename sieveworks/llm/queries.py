@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.functions.text import strip
 from sieveworks.llm import completeness, leaks, neardup, packing, pairs, spam, tokens, variety
 from sieveworks.llm.records import lang_key, sft, source_key
 from sieveworks.runtime import cut_lineage, ship, table
@@ -48,8 +49,13 @@ def _dims() -> dict[str, Column]:
     return {"source": source_key(F.col("source"), F.col("_source_file")), "lang": lang_key(F.col("lang")), "domain": domain}
 
 
+def _counted(df: DataFrame, vocabulary: tokens.Vocabulary, ledger: tokens.Ledger) -> DataFrame:
+    return tokens.record_tokens(df, TOKEN_FIELDS, "record_id", _dims(), vocabulary, ledger)
+
+
 def p4_record_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.record_tokens(sft(spark, d), TOKEN_FIELDS, "record_id", _dims(), tokens.Vocabulary.read())
+    """Through a ledger that is empty at first, so that each run of the query encodes all contents."""
+    return _counted(sft(spark, d), tokens.Vocabulary.read(), tokens.Ledger.new(spark))
 
 
 def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
@@ -57,23 +63,26 @@ def p4_token_cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_maintained_cube(spark: SparkSession, d: str) -> DataFrame:
-    """The cube kept up over two deliveries: the records ingested in the earlier half of the time, then all of them.
+    """The cube kept up over three deliveries by one ledger and signed deltas.
 
-    The second step encodes only contents that the ledger lacks, and brings the cube up by signed deltas.
+    First the records ingested in the earlier half of the time; then all of
+    them, with white space around their texts gone (changed records) and those
+    without an output left out (removed records); then the table as it is.
     """
-    df, vocabulary = sft(spark, d), tokens.Vocabulary.read()
+    df, vocabulary, ledger = sft(spark, d), tokens.Vocabulary.read(), tokens.Ledger.new(spark)
     at = F.unix_micros(F.col("ingested_at").cast("timestamp"))
     span = df.agg(F.min(at).alias("a"), F.max(at).alias("b")).first()
     middle = (span["a"] + span["b"]) // 2 if span["a"] is not None else 0
-    early = df.filter(at <= middle)
-    contents = lambda x: tokens.long_form(x, TOKEN_FIELDS).select("content", "text")
-    ledger = cut_lineage(tokens.update_ledger(None, contents(early), vocabulary))
-    counted = lambda x, known: tokens.record_tokens(x, TOKEN_FIELDS, "record_id", _dims(), vocabulary, known)
-    before = cut_lineage(counted(early, ledger))
-    ledger = cut_lineage(tokens.update_ledger(ledger, contents(df), vocabulary))
-    after = counted(df, ledger)
-    cube = tokens.token_cube(before, TOKEN_DIMS, TOKEN_MEASURES)
-    return tokens.apply_deltas(cube, tokens.cube_deltas(before, after, "record_id", TOKEN_DIMS, TOKEN_MEASURES), TOKEN_DIMS, TOKEN_MEASURES)
+    tidy = df.withColumns({f: strip(F.col(f)) for f in TOKEN_FIELDS}).filter("output <> ''")
+    cube, before = None, None
+    for delivery in (df.filter(at <= middle), tidy, df):
+        state = cut_lineage(_counted(delivery, vocabulary, ledger))
+        if cube is None:
+            cube = tokens.token_cube(state, TOKEN_DIMS, TOKEN_MEASURES)
+        else:
+            cube = cut_lineage(tokens.apply_deltas(cube, tokens.cube_deltas(before, state, "record_id", TOKEN_DIMS, TOKEN_MEASURES), TOKEN_DIMS, TOKEN_MEASURES))
+        before = state
+    return cube
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Problem 4: tokens per document under an existing tokenizer, and their totals.
 
-A ledger holds the token count of each (content, tokenizer). Only contents the
-ledger lacks are encoded; cubes of totals follow the documents by signed
+A ledger is a table in a shared folder that holds the token count of each
+(content, tokenizer). Only contents the ledger lacks are encoded and appended;
+counts are read back from it. Cubes of totals follow the documents by signed
 deltas, so that changed and removed documents are taken out again.
 
 Null texts have 0 tokens. A record delivered twice counts once; rows without an
@@ -11,6 +12,7 @@ id are left out.
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -19,6 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveworks.runtime import checkpoint_dir, cut_lineage
+
 #: Fixed value: the pattern that splits text before the merges of rank files, as the public vocabularies state it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -73,8 +77,12 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+#: Contents that a task remembers, not to encode a copy again; then it forgets them all.
+REMEMBERED = 1_000_000
+
+
 def encode_counts(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(content, text) to (content, n_tokens); a content is encoded once in a task."""
+    """(content, text) to (content, n_tokens); a content that a task has just seen is not encoded again."""
     held = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,16 +95,49 @@ def encode_counts(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                     seen.add(key)
                     fresh.append(key)
                     texts.append(text)
+            if len(seen) > REMEMBERED:
+                seen.clear()
             yield pd.DataFrame({"content": fresh, "n_tokens": count(texts)})
 
     return df.mapInPandas(run, "content binary, n_tokens long")
 
 
-LEDGER = "content binary, tokenizer string, n_tokens long"
+#: Unseen contents (16 bytes each) that are named to all tasks at once; more are joined by shuffle.
+MAX_NAMED = 1_000_000
 
 
-def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+class Ledger:
+    """Token counts by content and tokenizer, kept as a Parquet table in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    @classmethod
+    def new(cls, spark: SparkSession) -> Ledger:
+        """An empty one in the shared folder of the session."""
+        return cls(spark, f"{checkpoint_dir(spark)}/sieveworks_ledger_{uuid.uuid4().hex}")
+
+    def _path(self, vocabulary: Vocabulary) -> str:
+        return f"{self.folder}/tokenizer={vocabulary.key}"
+
+    def counts(self, vocabulary: Vocabulary) -> DataFrame | None:
+        """(content, n_tokens), one row per content; None before the first ``add``."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(vocabulary))
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.schema("content binary, n_tokens long").parquet(self._path(vocabulary))
+
+    def add(self, contents: DataFrame, vocabulary: Vocabulary) -> None:
+        """Encodes and appends those of (content, text) that the ledger lacks. Of a few unseen contents only the texts are moved; many are found by a shuffle."""
+        known = self.counts(vocabulary)
+        if known is not None:
+            unseen = cut_lineage(contents.select("content").distinct().join(known, "content", "left_anti"))
+            n = unseen.count()
+            if n == 0:
+                return
+            contents = contents.join(F.broadcast(unseen) if n <= MAX_NAMED else unseen, "content", "left_semi")
+        fresh = encode_counts(contents.select("content", "text"), vocabulary).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+        fresh.write.mode("append").parquet(self._path(vocabulary))
 
 
 def long_form(df: DataFrame, fields: Sequence[str], *keep: Column | str) -> DataFrame:
@@ -105,53 +146,27 @@ def long_form(df: DataFrame, fields: Sequence[str], *keep: Column | str) -> Data
     return df.select(*keep, F.inline(F.filter(parts, lambda x: x["text"].isNotNull())))
 
 
-def update_ledger(ledger: DataFrame | None, contents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The ledger with the counts of all (content, text) it lacked; the texts of known contents are not moved, let alone encoded."""
-    name = vocabulary.key
-    if ledger is None:
-        return encode_counts(contents, vocabulary).distinct().withColumn("tokenizer", F.lit(name)).select("content", "tokenizer", "n_tokens")
-    known = ledger.filter(F.col("tokenizer") == name).select("content")
-    unseen = contents.select("content").distinct().join(known, "content", "left_anti")
-    fresh = encode_counts(contents.select("content", "text").join(unseen, "content", "left_semi"), vocabulary).distinct()
-    return ledger.unionByName(fresh.withColumn("tokenizer", F.lit(name)))
-
+#: A content of this share of all contents is hot: there are at most so many of them, and they needn't be shuffled.
+HOT = 1000
 
-def record_tokens(
-    df: DataFrame, fields: Sequence[str], rid: str, dims: dict[str, Column], vocabulary: Vocabulary, ledger: DataFrame | None = None
-) -> DataFrame:
-    """One row per record: ``rid``, the dims, and the tokens of each field and in all.
 
-    Without a ledger nothing is known yet, so each task encodes its own rows in
-    one pass and no text leaves it; with one, only unseen contents are encoded.
-    """
+def record_tokens(df: DataFrame, fields: Sequence[str], rid: str, dims: dict[str, Column], vocabulary: Vocabulary, ledger: Ledger) -> DataFrame:
+    """One row per record: ``rid``, the dims, and the tokens of each field and in all. What the ledger lacks is encoded and added first; all counts are read from it."""
     df = df.filter(F.col(rid).isNotNull())
-    if ledger is None:
-        held = df.sparkSession.sparkContext.broadcast(vocabulary)
-        picked = df.select(F.col(rid), *[c.alias(n) for n, c in dims.items()], *[F.col(f).alias(f"{f}_text") for f in fields])
-        kinds = dict(picked.dtypes)
-        own = [rid, *dims]
-        schema = ", ".join([f"`{n}` {kinds[n]}" for n in own] + [f"{f}_tokens long" for f in fields])
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            count, known = held.value.counter(), {}
-            for b in batches:
-                out = b[own].copy()
-                for f in fields:
-                    texts = [t or "" for t in b[f"{f}_text"]]
-                    keys = [xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts]
-                    fresh = {k: t for k, t in zip(keys, texts) if k not in known}
-                    known.update(zip(fresh, count(list(fresh.values()))))
-                    out[f"{f}_tokens"] = [known[k] for k in keys]
-                yield out
-
-        counted = picked.mapInPandas(run, schema).dropDuplicates([rid])
-    else:
-        counts = ledger.filter(F.col("tokenizer") == vocabulary.key).groupBy("content").agg(F.max("n_tokens").alias("n"))
-        base = df.select(F.col(rid), *[c.alias(n) for n, c in dims.items()], *[content_key(F.col(f)).alias(f"{f}_key") for f in fields])
-        base = base.dropDuplicates([rid])
-        parts = base.select(rid, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_key").alias("content")) for f in fields])))
-        per = parts.join(counts, "content", "left").groupBy(rid).agg(*[F.sum(F.when(F.col("field") == f, F.coalesce("n", F.lit(0)))).alias(f"{f}_tokens") for f in fields])
-        counted = base.drop(*[f"{f}_key" for f in fields]).join(per, rid, "left")
+    ledger.add(long_form(df, fields).select("content", "text"), vocabulary)
+    counts = ledger.counts(vocabulary)
+    base = df.select(F.col(rid), *[c.alias(n) for n, c in dims.items()], *[content_key(F.col(f)).alias(f"{f}_key") for f in fields])
+    base = cut_lineage(base.dropDuplicates([rid]))  # keys, no texts
+    parts = base.select(rid, F.inline(F.filter(F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"{f}_key").alias("content")) for i, f in enumerate(fields)]), lambda x: x["content"].isNotNull())))
+    least = max(HOT, base.count() * len(fields) // HOT)
+    hot = parts.groupBy("content").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") >= least)  # at most HOT rows
+    hot = hot.join(counts, "content").select("content", F.col("n_tokens").alias("hot_tokens"))
+    parts = parts.join(F.broadcast(hot), "content", "left")
+    # a hot content's rows are spread by keys that the ledger has not
+    spread = F.when(F.col("hot_tokens").isNull(), F.col("content")).otherwise(F.concat(F.lit("hot").cast("binary"), F.col(rid).cast("string").cast("binary")))
+    met = parts.withColumn("content", spread).join(counts, "content", "left").withColumn("n", F.coalesce("hot_tokens", "n_tokens"))
+    per = met.groupBy(rid).agg(*[F.sum(F.when(F.col("field") == i, F.col("n"))).alias(f"{f}_tokens") for i, f in enumerate(fields)])
+    counted = base.drop(*[f"{f}_key" for f in fields]).join(per, rid, "left").fillna(0, [f"{f}_tokens" for f in fields])
     total = sum((F.col(f"{f}_tokens") for f in fields), F.lit(0))
     return counted.withColumn("total_tokens", total.cast("long"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveworks.llm import packing as k
 from sieveworks.llm import tokens as t
+from sieveworks.runtime import cut_lineage
 
 FIELDS = ("input", "output")
 SCHEMA = "record_id long, input string, output string, lang string, extra string, content string"
@@ -37,29 +38,47 @@ def test_ledger_encodes_only_what_is_new_and_deltas_keep_the_cube(spark, vocabul
     old = [(1, "one two", "three", "en", "x", "y"), (2, "一二三", None, "zh", "x", "y"), (3, "gone soon", "", None, "x", "y")]
     new = [old[0], (2, "一二三四", "five", "zh", "x", "y"), (4, "one two", "three", "en", "x", "y"), (4, "one two", "three", "en", "x", "y"), (None, "no id", "z", "en", "x", "y")]
     a, b = (spark.createDataFrame(x, SCHEMA) for x in (old, new))
-    contents = lambda df: t.long_form(df, FIELDS).select("content", "text")
-    ledger = t.update_ledger(None, contents(a), vocabulary)
-    known = {bytes(r["content"]) for r in ledger.collect()}
-    grown = t.update_ledger(ledger, contents(b), vocabulary)
-    fresh = [r for r in grown.collect() if bytes(r["content"]) not in known]
-    assert len(fresh) == 4  # 一二三四, five, and both of the row without an id
-    assert grown.groupBy("content", "tokenizer").count().filter("count > 1").count() == 0
-    measures = ("input_tokens", "output_tokens", "total_tokens")
-    before, after = (t.record_tokens(x, FIELDS, "record_id", _dims(), vocabulary, y) for x, y in ((a, ledger), (b, grown)))
-    direct = t.record_tokens(b, FIELDS, "record_id", _dims(), vocabulary)
+    ledger, other = t.Ledger.new(spark), t.Ledger.new(spark)
+    stored = lambda: sorted(bytes(r["content"]) for r in ledger.counts(vocabulary).collect())
+    before = cut_lineage(t.record_tokens(a, FIELDS, "record_id", _dims(), vocabulary, ledger))
+    known = stored()
+    after = t.record_tokens(b, FIELDS, "record_id", _dims(), vocabulary, ledger)
+    grown = stored()
+    assert set(known) < set(grown) and len(grown) == len(set(grown)) == len(known) + 2  # 一二三四 and five
+    direct = t.record_tokens(b, FIELDS, "record_id", _dims(), vocabulary, other)
     rows = lambda df: sorted(map(tuple, df.collect()), key=str)
     assert rows(after.select(direct.columns)) == rows(direct)
     assert {r["record_id"]: r["input_tokens"] for r in direct.collect()} == {1: count(["one two"])[0], 2: count(["一二三四"])[0], 4: count(["one two"])[0]}
+    measures = ("input_tokens", "output_tokens", "total_tokens")
     deltas = t.cube_deltas(before, after, "record_id", ["lang"], measures)
     cube = t.apply_deltas(t.token_cube(before, ["lang"], measures), deltas, ["lang"], measures)
     order = ["lang", "level", "n_records", *measures]
     assert rows(cube.select(order)) == rows(t.token_cube(after, ["lang"], measures).select(order))
 
 
+def test_ledger_is_read_back_and_knows_its_tokenizer(spark, vocabulary, monkeypatch):
+    """A second look at the same folder encodes nothing; another tokenizer has counts of its own."""
+    df = spark.createDataFrame([(1, "one two", "three", "en", "x", "y")], SCHEMA)
+    ledger = t.Ledger.new(spark)
+    first = t.record_tokens(df, FIELDS, "record_id", _dims(), vocabulary, ledger).collect()
+    monkeypatch.setattr(t, "encode_counts", lambda *_: pytest.fail("encoded again"))
+    again = t.Ledger(spark, ledger.folder)
+    assert t.record_tokens(df, FIELDS, "record_id", _dims(), vocabulary, again).collect() == first
+    assert again.counts(t.Vocabulary.read("/opt/tokenizers/byte_bpe_50k.json")) is None
+
+
+def test_hot_contents_are_counted_like_others(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(t, "HOT", 4)
+    rows = [(i, "the same text", f"text {i}" if i % 3 else None, "en", "x", "y") for i in range(60)]
+    got = t.record_tokens(spark.createDataFrame(rows, SCHEMA).repartition(4), FIELDS, "record_id", _dims(), vocabulary, t.Ledger.new(spark)).collect()
+    count = vocabulary.counter()
+    want = {i: (count([a])[0], count([b])[0] if b else 0) for i, a, b, *_ in rows}
+    assert {r["record_id"]: (r["input_tokens"], r["output_tokens"]) for r in got} == want
+
+
 def test_tokens_of_nothing(spark, vocabulary):
     df = spark.createDataFrame([], SCHEMA)
-    assert t.record_tokens(df, FIELDS, "record_id", _dims(), vocabulary).count() == 0
-    assert t.update_ledger(t.empty_ledger(spark), t.long_form(df, FIELDS).select("content", "text"), vocabulary).count() == 0
+    assert t.record_tokens(df, FIELDS, "record_id", _dims(), vocabulary, t.Ledger.new(spark)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
