@@ -2,18 +2,23 @@
 
 The value of a subset is the sum over features of the square root of the mass
 that the subset gives the feature: a second record like one already chosen adds
-little. Records are added in rounds of descending thresholds. In a round each
-task takes, one after the other, those of its records whose gain over what is
-chosen (and what it took itself) reaches the threshold; the tasks' takings are
-merged in two steps by the same rule, so that like records from different tasks
-don't add up; the next threshold is a share of the largest gain left.
-
-Order of choice nests the sizes: the subset of size s is the first s chosen.
-What moves is bounded by the subset sizes and the number of features. Records
-without any feature (null or blank texts) come last, by a hash of their id. A
-record delivered twice counts once; where fewer records exist than asked for,
-all of them come out. Null, zero and negative sizes give no rows; rows without
-an id are left out.
+little. Records are added in rounds of descending thresholds. Records lie in
+shards by a hash of their id, as many as their number asks for. In a round each
+shard takes, from the largest gain down, those of its records whose gain over
+what is chosen (and what it took itself) reaches the threshold, and at most its
+share of SENT times what is wanted; the takings are merged by the same rule in a
+tree of SHARDS_MERGED branches, so that like records from different shards don't
+add up. What a shard or a branch had to leave waits for the next round, at the
+same threshold; else the next threshold is a share of the largest gain left.
+
+Order of choice nests the sizes: the subset of size s is the first s chosen. The
+choice depends on the records alone, not on how they are partitioned. A merge
+holds at most SENT times the size wanted and LEAST_SENT records of each branch.
+Rounds end when the size is reached or no record has a gain left: records
+without any feature (null or blank texts) add nothing whichever is taken, and
+come last, by a hash of their id. A record delivered twice counts once; where
+fewer records exist than asked for, all of them come out, numbered by hash.
+Null, zero and negative sizes give no rows; rows without an id are left out.
 """
 
 from __future__ import annotations
@@ -27,19 +32,22 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from sieveworks.operators.splits import order_key, ranked
 from sieveworks.runtime import cut_lineage
 
 #: Hashed features.
 FEATURES = 1 << 18
 #: A round's threshold is 1 - STEP of the largest gain left.
 STEP = 0.25
-#: Groups in the first of the two merging steps.
-MERGERS = 32
+#: Records of a shard, which are held together, and branches of a merge.
+SHARD_ROWS, SHARDS_MERGED = 4096, 32
+#: What a shard or a branch sends at most: its share of so many times the records wanted, and so many at least.
+SENT, LEAST_SENT = 4, 8
 #: The name under which all records are one group; no task is called so, as task names are trimmed.
 EVERYTHING = " all"
 
+_ROUNDING = 1e-12
 _UNIT = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+")
 
 
@@ -140,97 +148,121 @@ class _Rows:
         return gain
 
 
-_TAKEN = "grp string, record_id long, feats binary, gain double, top double"
-
-
-def _local_round(table: DataFrame, held: Broadcast) -> DataFrame:
-    """What each task takes, and with record_id null the largest gain that it leaves, per group."""
+_TAKEN = "shard long, grp string, record_id long, feats binary, gain double, top double"
+
+
+def _sent(want: int, span: int, shards: int) -> int:
+    """Records that ``span`` of all shards may send."""
+    return min(want, max(LEAST_SENT, -(-SENT * want * span // shards)))
+
+
+def _local_round(table: DataFrame, held: Broadcast, shards: int) -> DataFrame:
+    """What each shard takes, and with record_id null the largest gain that it leaves, per group. Expects whole shards in a partition, one after the other."""
+
+    def of_shard(b: pd.DataFrame, start: dict[str, np.ndarray]) -> pd.DataFrame:
+        rows, ids, task = _Rows(b["feats"].tolist()), b["record_id"].to_numpy(), b["task"].to_numpy()
+        shard, out = int(b["shard"].iat[0]), []
+        for g, (_, least, want, chosen) in held.value.items():
+            which = np.arange(len(ids)) if g == EVERYTHING else np.flatnonzero(task == g)
+            if len(chosen) and len(which):
+                at = np.minimum(np.searchsorted(chosen, ids[which]), len(chosen) - 1)
+                which = which[chosen[at] != ids[which]]
+            if not len(which):
+                continue
+            gains = rows.gains(start[g], which)
+            fit = gains >= least
+            top, took, most, mass = float(gains[~fit].max()) if (~fit).any() else 0.0, 0, _sent(want, 1, shards), None
+            order = np.lexsort((ids[which][fit], -gains[fit]))
+            for i, was in zip(which[fit][order].tolist(), gains[fit][order].tolist()):
+                if took == most:
+                    top = max(top, was)
+                    break  # the rest gains no more
+                mass = start[g].copy() if mass is None else mass
+                gain = rows.take(i, mass, least)
+                if gain is None:
+                    top = max(top, np.nextafter(least, 0.0))  # below it by now
+                else:
+                    took += 1
+                    out.append((shard, g, ids[i], b["feats"].iat[i], gain, 0.0))
+            out.append((shard, g, None, None, 0.0, top))
+        return pd.DataFrame(out, columns=["shard", "grp", "record_id", "feats", "gain", "top"]).astype({"record_id": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = held.value
-        start = {g: s[0].astype(np.float64) for g, s in groups.items()}
-        mass = {g: m.copy() for g, m in start.items()}
-        took, top = dict.fromkeys(groups, 0), dict.fromkeys(groups, 0.0)
+        start = {g: s[0].astype(np.float64) for g, s in held.value.items()}
+        kept: list[pd.DataFrame] = []
         for b in batches:
-            rows, ids, task = _Rows(b["feats"].tolist()), b["record_id"].to_numpy(), b["task"].to_numpy()
-            out = []
-            for g, (_, least, want, chosen) in groups.items():
-                which = np.arange(len(ids)) if g == EVERYTHING else np.flatnonzero(task == g)
-                if len(chosen) and len(which):
-                    at = np.minimum(np.searchsorted(chosen, ids[which]), len(chosen) - 1)
-                    which = which[chosen[at] != ids[which]]
-                if not len(which):
-                    continue
-                gains = rows.gains(start[g], which)
-                fit = gains >= least
-                if (~fit).any():
-                    top[g] = max(top[g], float(gains[~fit].max()))
-                order = np.lexsort((ids[which][fit], -gains[fit]))
-                for i, was in zip(which[fit][order].tolist(), gains[fit][order].tolist()):
-                    gain = rows.take(i, mass[g], least) if took[g] < want else None
-                    if gain is None:
-                        top[g] = max(top[g], min(was, least) if took[g] < want else was)
-                    else:
-                        took[g] += 1
-                        out.append((g, ids[i], b["feats"].iat[i], gain, 0.0))
-            yield pd.DataFrame(out, columns=["grp", "record_id", "feats", "gain", "top"])
-        yield pd.DataFrame({"grp": list(top), "record_id": pd.array([None] * len(top), "Int64"), "feats": None, "gain": 0.0, "top": list(top.values())})
+            for shard, part in b.groupby("shard", sort=False):
+                if kept and kept[0]["shard"].iat[0] != shard:
+                    yield of_shard(pd.concat(kept, ignore_index=True), start)
+                    kept = []
+                kept.append(part)
+        if kept:
+            yield of_shard(pd.concat(kept, ignore_index=True), start)
 
     return table.mapInPandas(run, _TAKEN)
 
 
-def _merge(taken: DataFrame, keys: list[str], held: Broadcast, last: bool) -> DataFrame:
-    """The same rule over the takings of several tasks; the last merge also gives the new mass, in a row without record_id."""
+def _merge(taken: DataFrame, held: Broadcast, span: int, shards: int) -> DataFrame:
+    """The same rule over the takings of ``span`` shards; the last merge also gives the new mass, in a row without record_id."""
+    last = span >= shards
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf["grp"].iat[0]
+        g, branch = pdf["grp"].iat[0], int(pdf["branch"].iat[0])
         start, least, want, _ = held.value[g]
+        most = want if last else _sent(want, span, shards)
         mass, top = start.astype(np.float64), float(pdf["top"].max())
         pdf = pdf[pdf["record_id"].notna()].sort_values(["gain", "record_id"], ascending=[False, True], kind="stable")
         rows, out = _Rows(pdf["feats"].tolist()), []
         for i, (rid, feats, was) in enumerate(zip(pdf["record_id"].tolist(), pdf["feats"], pdf["gain"].tolist())):
-            gain = rows.take(i, mass, least) if len(out) < want else None
+            if len(out) == most:
+                top = max(top, was)
+                break
+            gain = rows.take(i, mass, least)
             if gain is None:
-                top = max(top, min(was, least) if len(out) < want else was)
+                top = max(top, np.nextafter(least, 0.0))
             else:
-                out.append((g, rid, None if last else feats, float(len(out)) if last else gain, gain))
-        out.append((g, None, mass.astype(np.float32).tobytes() if last else None, 0.0, top))
-        done = pd.DataFrame(out, columns=["grp", "record_id", "feats", "gain", "top"])
-        if not last:
-            done.loc[done["record_id"].notna(), "top"] = 0.0
-        return done.astype({"record_id": "Int64"})
+                out.append((branch, g, rid, None if last else feats, float(len(out)) if last else gain, 0.0))
+        out.append((branch, g, None, mass.astype(np.float32).tobytes() if last else None, 0.0, top))
+        return pd.DataFrame(out, columns=["shard", "grp", "record_id", "feats", "gain", "top"]).astype({"record_id": "Int64"})
 
-    return taken.groupBy(*keys).applyInPandas(run, _TAKEN)
+    branch = F.floor(F.col("shard") / SHARDS_MERGED).cast("long")
+    return taken.withColumn("branch", branch).groupBy("grp", "branch").applyInPandas(run, _TAKEN)
 
 
-def choose_order(table: DataFrame, sizes: dict[str, int], max_rounds: int = 200) -> DataFrame:
-    """(grp, record_id, place): the first ``sizes[grp]`` choices of each group, from a table (record_id, task, feats)."""
+def choose_order(table: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(grp, record_id, place): the first ``sizes[grp]`` choices of each group, from a table (record_id, task, feats); fewer where no gain is left."""
     spark = table.sparkSession
-    state = {g: (np.zeros(FEATURES, np.float32), 0.0, k, np.empty(0, np.int64)) for g, k in sizes.items() if k > 0}
+    state = {g: np.zeros(FEATURES, np.float32) for g, k in sizes.items() if k > 0}
     chosen: dict[str, list[int]] = {g: [] for g in state}
     # the first threshold: no record gains more than the root of its number of features
-    biggest = table.agg(F.max(F.length("feats") / 2).alias("n")).first()["n"] or 0
-    top = dict.fromkeys(state, float(np.sqrt(biggest)))
-    open_groups = {g for g in state if top[g] > 0}
-    for _ in range(max_rounds):
-        if not open_groups:
-            break
-        now = {g: (state[g][0], (1 - STEP) * top[g], state[g][2] - len(chosen[g]), np.array(sorted(chosen[g]), np.int64)) for g in open_groups}
+    n, biggest = table.agg(F.count(F.lit(1)), F.max(F.length("feats") / 2)).first()
+    shards = max(1, -(-n // SHARD_ROWS))
+    shard = F.pmod(F.xxhash64("record_id"), F.lit(shards))
+    if state:
+        table = cut_lineage(table.withColumn("shard", shard).repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "record_id"))
+    least = dict.fromkeys(state, (1 - STEP) * float(np.sqrt(biggest or 0)))
+    open_groups = {g for g in state if least[g] > 0}
+    while open_groups:
+        now = {g: (state[g], least[g], sizes[g] - len(chosen[g]), np.array(sorted(chosen[g]), np.int64)) for g in open_groups}
         held = spark.sparkContext.broadcast(now)  # per group FEATURES numbers and the ids chosen so far
-        taken = _local_round(table, held).withColumn("merger", F.pmod(F.xxhash64("record_id"), F.lit(MERGERS)))
-        merged = _merge(_merge(taken, ["grp", "merger"], held, False), ["grp"], held, True)
+        merged, span = _local_round(table, held, shards), 1
+        while span == 1 or span < shards:
+            span *= SHARDS_MERGED
+            merged = _merge(merged, held, span, shards)
         rows = merged.collect()  # at most the sizes still wanted, and one row of FEATURES numbers for each group
         held.destroy()
         by: dict[str, list] = {g: [] for g in open_groups}
+        top = dict.fromkeys(open_groups, 0.0)
         for r in rows:
             if r["record_id"] is not None:
                 by[r["grp"]].append((r["gain"], r["record_id"]))
             else:
-                state[r["grp"]] = (np.frombuffer(r["feats"], np.float32), 0.0, state[r["grp"]][2], state[r["grp"]][3])
-                top[r["grp"]] = r["top"]
+                state[r["grp"]], top[r["grp"]] = np.frombuffer(r["feats"], np.float32), r["top"]
         for g in list(open_groups):
             chosen[g] += [rid for _, rid in sorted(by[g])]
-            if len(chosen[g]) >= state[g][2] or top[g] <= 1e-12:
+            # what had to wait is looked at again at this threshold, unless none of it was worth it
+            least[g] = least[g] if top[g] >= least[g] and by[g] else (1 - STEP) * min(top[g], least[g])
+            if len(chosen[g]) >= sizes[g] or top[g] <= _ROUNDING:
                 open_groups.discard(g)
     out = [(g, rid, i) for g, ids in chosen.items() for i, rid in enumerate(ids)]
     return spark.createDataFrame(pd.DataFrame(out, columns=["grp", "record_id", "place"]) if out else [], "grp string, record_id long, place long")
@@ -250,22 +282,16 @@ def varied_subsets(df: DataFrame, targets: DataFrame, rid: str = "record_id", gr
     for _, g, k in asked:
         sizes[g] = max(sizes.get(g, 0), min(k, counts.get(g, 0)))
     order = choose_order(table, {g: k for g, k in sizes.items() if 0 < k < counts.get(g, 0)})
-    whole = [g for g, k in sizes.items() if 0 < k == counts.get(g, 0)]
-    hashed = F.xxhash64("record_id")
-    grouped = table.select("record_id", F.explode(F.array(F.col("task"), F.lit(EVERYTHING))).alias("grp"))
-    # groups asked for whole, and what is missing for want of features, by hash
+    # groups asked for whole, and records without gain where no other is left, by hash
     reached = {r["grp"]: r["count"] for r in order.groupBy("grp").count().collect()}
-    short = {g: k - reached.get(g, 0) for g, k in sizes.items() if k - reached.get(g, 0) > 0}
-    parts = [order]
-    for g, n in short.items():
-        rest = grouped.filter(F.col("grp") == g).join(order.filter(F.col("grp") == g).select("record_id"), "record_id", "left_anti")
-        rest = rest.select("grp", "record_id") if g in whole else rest.select("grp", "record_id").orderBy(hashed, "record_id").limit(n)
-        places = Window.partitionBy("grp", "bucket").orderBy(hashed, "record_id")
-        numbered = rest.withColumn("bucket", F.lit(0)).withColumn("place", F.row_number().over(places) - 1 + F.lit(reached.get(g, 0)))  # as many rows as the target asks for
-        parts.append(numbered.select("grp", "record_id", F.col("place").cast("long").alias("place")))
-    chosen = parts[0]
-    for p in parts[1:]:
-        chosen = chosen.unionByName(p)
+    short = {g: (reached.get(g, 0), k) for g, k in sizes.items() if k > reached.get(g, 0)}
+    chosen = order
+    if short:
+        lacking = df.sparkSession.createDataFrame([(g, n, k) for g, (n, k) in short.items()], "grp string, reached long, size long")
+        grouped = table.select("record_id", F.explode(F.array(F.col("task"), F.lit(EVERYTHING))).alias("grp"))
+        rest = grouped.join(F.broadcast(lacking), "grp").join(order.select("grp", "record_id"), ["grp", "record_id"], "left_anti")  # one row for each group asked for
+        numbered = ranked(rest, ["grp"], order_key(0, F.col("record_id")), ["record_id"]).withColumn("place", F.col("rank") - 1 + F.col("reached"))
+        chosen = order.unionByName(numbered.filter(F.col("place") < F.col("size")).select("grp", "record_id", "place"))
     wanted = df.sparkSession.createDataFrame([(t, g, k) for t, g, k in asked] or [], "target_id long, grp string, target_size long")
     return chosen.join(F.broadcast(wanted), "grp").filter(F.col("place") < F.col("target_size")).select("target_id", "record_id", "place")  # the request itself
 
