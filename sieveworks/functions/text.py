@@ -108,9 +108,8 @@ def cut_at_stop(c: Column, stop: str) -> Column:
 
 
 def trim_stops(c: Column, stops: Sequence[str]) -> Column:
-    """Cut at each stop word in turn; a stop word also counts without its leading white space."""
-    every = list(dict.fromkeys([s for s in stops if s] + [s.lstrip() for s in stops if s.lstrip()]))
-    for s in every:
+    """Cut at each stop word in turn; a stop word also counts without the line ends before it. Empty ones don't count; null stays null."""
+    for s in dict.fromkeys([s for s in stops if s] + [s.lstrip("\n") for s in stops if s.lstrip("\n")]):
         c = F.substring_index(c, s, 1)
     return c
 

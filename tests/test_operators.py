@@ -51,6 +51,7 @@ def test_think_and_answer(spark, content, think, answer):
 def test_stops_and_wrapping(spark):
     assert one(spark, text.trim_stops(F.col("s"), ["\nUser:", " END"]), s="a User: b\nUser: c") == "a "
     assert one(spark, text.trim_stops(F.col("s"), ["\nObservation:"]), s="xObservation: y") == "x"
+    assert one(spark, text.trim_stops(F.col("s"), [" END", ""]), s="xENDy") == "xENDy" and one(spark, text.trim_stops(F.col("s"), ["\n\nA", "B"]), s="xAyB") == "x"
     assert one(spark, text.wrap_think(F.col("s")), s=" <think> a </think> ") == "<think>\na\n</think>" == one(spark, text.wrap_think(F.col("s")), s="a")
     assert [one(spark, text.is_cjk(F.col("s")), s=s) for s in ("", "法律", "法a", "法\n")] == [True, True, False, False]
 
@@ -300,24 +301,51 @@ def test_templates_and_pairs(spark):
     assert [(r["human"], r["gpt"]) for r in dialog.human_gpt_pairs(turns, "ord").orderBy("ord").collect()] == [("h", "a"), ("h", "b")]
 
 
-def test_tool_replies(spark):
-    r = one(spark, dialog.react_parts(F.col("s")), s="Thought: x\nAction: search\nAction Input: {\"q\": 1}\nObservation:")
-    assert (r["action"], r["action_input"]) == ("search", '{"q": 1}')
-    assert one(spark, dialog.react_parts(F.col("s")), s="Thought\nFinal Answer: 42")["answer"] == "42"
-    assert "search: find" in dialog.tool_prompt([{"name": "search", "description": "find"}], "why?")
-
-
-def test_chat_history():
-    say = lambda role, content, **k: {"role": role, "content": content, **k}
-    got = dialog.chat_history([say("system", "\ns "), say("user", "q1"), say("assistant", "a1"), say("user", "q2")])
-    assert got == {"system": "s", "history": [["q1", "a1"]], "query": "q2"}
-    tools = [{"name": "find", "description": "finds", "parameters": {}}]
-    got = dialog.chat_history([say("user", "q"), say("assistant", "", tool_calls={"name": "find", "arguments": "{}"}), say("function", "seen")], tools)
-    assert got["query"] is None and got["history"][0][1] == "Thought: \nAction: find\nAction Input: {}\nObservation: seen\nThought:" and "Question: q" in got["history"][0][0]
-    assert "Question: q" in dialog.chat_history([say("user", "q")], tools)["query"]
-    for bad in ([say("assistant", "a")], [say("user", "a"), say("user", "b")], [say("user", "a"), say("tool", "b")], [say("user", "q"), say("function", "r")], [say("assistant", "a"), say("user", "b")]):
-        with pytest.raises(ValueError):
-            dialog.chat_history(bad)
+@pytest.mark.parametrize(
+    "reply, content, name, arguments",
+    [
+        ('Thought: x\nAction: search\nAction Input: {"q": 1}\nObservation: r', "x", "search", '{"q": 1}'),
+        ("Thought: x\nAction: search\nAction Input: 1", "x", "search", "1"),  # without an observation
+        ("a\nAction: A\nAction Input: 1\nObservation: o\nAction: B\nAction Input: 2", "a", "A", "1"),  # the first call
+        ("x\nAction Input: 2\nAction: B", "x\nAction Input: 2\nAction: B", "", ""),  # no call
+        ("x\nAction: \nAction Input: 2", "x\nAction: \nAction Input: 2\nObservation:", "", ""),
+        ("Thought\nFinal Answer: 42", "42", "", ""), ("Final Answer: 42", "Final Answer: 42", "", ""), ("a\nFinal Answer: 1\nFinal Answer: 2 ", "2 ", "", ""),
+        ("o\nObservation: r\nAction: A\nAction Input: 1", "o\nObservation: r", "A", ""), ("", "", "", ""), (None, "", "", ""),
+    ],
+)
+def test_parsed_reply(spark, reply, content, name, arguments):
+    r = one(spark, dialog.parsed_reply(F.col("s")), s=reply)
+    assert (r["content"], r["name"], r["arguments"], r["finish_reason"]) == (content, name, arguments, "tool_calls" if name else "stop")
+
+
+def test_chat_requests(spark):
+    say = lambda role, content, call=None: (role, content, call)
+    schema = "id int, messages array<struct<role string, content string, tool_calls struct<name string, arguments string>>>, tools array<struct<name string, name_for_model string, name_for_human string, description string, description_for_model string, parameters string>>"
+    tools = [("find", None, "Finder", "finds", None, "{}"), ("sum", "add", None, None, "adds", None)]
+    rows = [
+        [say("system", "\ns "), say("user", "q1"), say("assistant", "\na1 "), say("user", "q2")],
+        [say("user", "q"), say("assistant", "", ("find", "{}")), say("function", "seen")],
+        [say("user", "q"), say("assistant", None, ("find", "{}")), say("function", "seen"), say("assistant", "done"), say("user", "more")],
+        [say("user", "q")],
+        [say("assistant", "a")], [say("user", "a"), say("user", "b")], [say("user", "a"), say("tool", "b")], [say("user", "q"), say("function", "r")], [say("assistant", "a"), say("user", "b")], [], None,
+    ]
+    df = spark.createDataFrame([(i, m, None) for i, m in enumerate(rows)] + [(100 + i, m, tools) for i, m in enumerate(rows[:4])], schema)
+    got = {r["id"]: r["request"] for r in dialog.chat_requests(df, "messages", "tools").collect()}
+    plain = {i: (r["system"], r["history"], r["query"]) for i, r in got.items()}
+    assert plain[0] == ("s", [["q1", "a1"]], "q2") and plain[3] == ("", [], "q")
+    call = "Thought: \nAction: find\nAction Input: {}\nObservation: seen"
+    assert plain[1] == ("", [["q", call + "\nThought:"]], None) and plain[2] == ("", [["q", call + "\ndone"]], "more")
+    assert [got[i]["error"] for i in range(4, 11)] == [
+        "no user message", "two user messages in a row", "unknown role", "a function without an assistant's call", "something before the first user message", "no user message", "no user message",
+    ]
+    assert all(plain[i] == (None, None, None) for i in range(4, 11)) and all(got[i]["error"] is None for i in (0, 1, 2, 3, 100, 101, 102, 103))
+    intro = got[103]["query"].removesuffix("\n\nQuestion: q")
+    assert intro.startswith("Answer the following questions as best you can.") and intro.endswith("Begin!")
+    assert "find: Call this tool to interact with the Finder API. What is the Finder API useful for? finds Parameters: {}\n\nadd: Call this tool to interact with the sum API. What is the sum API useful for? adds Parameters: {}" in intro
+    assert "should be one of [find, add]" in intro
+    assert plain[100] == ("s", [[intro + "\n\nQuestion: q1", dialog.FINAL_THOUGHT + "a1"]], "q2")
+    assert plain[102][1] == [[intro + "\n\nQuestion: q", call + "\n" + dialog.FINAL_THOUGHT + "done"]]
+    assert dialog.chat_requests(df.drop("tools")).filter("id < 4").count() == 4
 
 
 def test_small_helpers(spark):
