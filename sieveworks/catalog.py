@@ -495,6 +495,52 @@ def preference_filter(spark: SparkSession, d: str) -> DataFrame:
     return curate.preference_fits(_preferences(spark, d), 1000, 200).select("pair_id")
 
 
+_Q_REPLY = """concat('Thought: ', coalesce(question, ''), CASE WHEN system IS NOT NULL THEN chr(10) || 'Action: look up' ELSE '' END, CASE WHEN response_chosen IS NOT NULL THEN chr(10) || 'Action Input: ' || response_chosen ELSE '' END,
+    CASE WHEN response_rejected IS NOT NULL THEN chr(10) || 'Observation: ' || response_rejected ELSE '' END, chr(10) || 'Action: second' || chr(10) || 'Action Input: x' || chr(10) || 'Final Answer: ' || coalesce(question, ''))"""
+
+
+@query(
+    f"""WITH r AS (SELECT pair_id, {_Q_REPLY} AS t FROM preference), m AS (SELECT *, instr(t, chr(10) || 'Action:') AS i, instr(t, chr(10) || 'Action Input:') AS j, instr(t, chr(10) || 'Observation:') AS k FROM r),
+    c AS (SELECT *, CASE WHEN i > 0 AND i < j AND k < j THEN {q_strip('t')} || chr(10) || 'Observation:' ELSE t END AS u FROM m),
+    n AS (SELECT *, CASE WHEN i > 0 AND i < j THEN {q_strip('substr(t, i + 8, j - i - 8)')} ELSE '' END AS name, instr(u, chr(10) || 'Observation:') AS e FROM c)
+    SELECT pair_id, name, CASE WHEN name <> '' THEN {q_strip('substr(u, j + 14, greatest(e - j - 14, 0))')} ELSE '' END AS arguments, CASE WHEN name <> '' THEN 'tool_calls' ELSE 'stop' END AS finish_reason,
+    CASE WHEN name <> '' THEN {q_strip("substr(substr(t, 1, i - 1), 10)")} ELSE string_split(u, chr(10) || 'Final Answer: ')[-1] END AS content FROM n"""
+)
+def parsed_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies with one call, two, a call before its action, or an answer only: written from preference pairs."""
+    line = lambda head, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"\n{head}: "), F.col(c))).otherwise("")
+    asked = F.coalesce("question", F.lit(""))
+    act = F.when(F.col("system").isNotNull(), F.lit("\nAction: look up")).otherwise("")
+    reply = F.concat(F.lit("Thought: "), asked, act, line("Action Input", "response_chosen"), line("Observation", "response_rejected"), F.lit("\nAction: second\nAction Input: x\nFinal Answer: "), asked)
+    return table(spark, d, "preference").select("pair_id", dialog.parsed_reply(reply).alias("r")).select("pair_id", "r.*")
+
+
+def q_left(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(coalesce({x}, ''), '\A\n+', ''), '{text.WS}+\z', '')"
+
+
+@query(
+    f"""WITH m AS (SELECT pair_id, {q_left('system')} AS s, coalesce(history, []) AS h, {q_left('question')} AS q, response_chosen IS NOT NULL AS answered,
+      {q_left("'Thought: ' || chr(10) || 'Action: search' || chr(10) || 'Action Input: ' || coalesce(response_chosen, '')")} AS called, {q_left('response_rejected')} AS seen, response_rejected IS NOT NULL AS observed FROM preference)
+    SELECT pair_id, s AS system, CASE WHEN answered THEN len(h) + 1 ELSE len(h) END AS n_pairs, CASE WHEN NOT answered THEN q END AS query, CAST(NULL AS VARCHAR) AS error,
+    CASE WHEN answered THEN called || CASE WHEN observed THEN chr(10) || 'Observation: ' || seen || chr(10) || 'Thought:' ELSE '' END WHEN len(h) > 0 THEN {q_left('h[-1][2]')} END AS last_answer FROM m"""
+)
+def chat_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Preference pairs as chat requests: the chosen answer as a call, the rejected one as what came back."""
+    call = "struct<name:string,arguments:string>"
+    say = lambda role, c, made=None: F.struct(F.lit(role).alias("role"), c.alias("content"), (F.lit(None).cast(call) if made is None else made).alias("tool_calls"))
+    kind = f"array<struct<role:string,content:string,tool_calls:{call}>>"
+    past = F.flatten(F.transform(F.coalesce("history", F.array().cast("array<array<string>>")), lambda p: F.array(say("user", p[0]), say("assistant", p[1]))))
+    made = F.struct(F.lit("search").alias("name"), F.col("response_chosen").alias("arguments"))
+    some = lambda c, x: F.when(F.col(c).isNotNull(), F.array(x).cast(kind)).otherwise(F.array().cast(kind))
+    answer = some("response_chosen", say("assistant", F.lit(None).cast("string"), made))
+    seen = F.when(F.col("response_chosen").isNotNull(), some("response_rejected", say("function", F.col("response_rejected")))).otherwise(F.array().cast(kind))
+    messages = F.concat(some("system", say("system", F.col("system"))), past.cast(kind), F.array(say("user", F.col("question"))).cast(kind), answer, seen)
+    df = dialog.chat_requests(table(spark, d, "preference").select("pair_id", messages.alias("messages")))
+    last = F.try_element_at("request.history", F.lit(-1))
+    return df.select("pair_id", "request.system", F.size("request.history").cast("long").alias("n_pairs"), "request.query", "request.error", last[1].alias("last_answer"))
+
+
 # --- rewards and evaluation -----------------------------------------------------------------------------------
 
 
@@ -575,13 +621,45 @@ def match_answers(spark: SparkSession, d: str) -> DataFrame:
     return df.select("prediction_id", scoring.is_correct(F.col("prediction_extracted"), F.col("truth"), F.col("choice")).alias("correct"))
 
 
-@query()
+_Q_SPLIT_LINES = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}\r\n]"
+_Q_WORD = r"(?:^|[^\p{L}\p{N}_])"
+_Q_WORD_END = r"(?:[^\p{L}\p{N}_]|$)"
+_Q_UNTHOUGHT = q_strip(r"regexp_replace(regexp_replace(coalesce(prediction_raw, ''), '(?is)<think>.*?</think>', '', 'g'), '(?i)</?think>', '', 'g')")
+
+
+def _q_in(text_: str) -> str:
+    """The longest label of ``labels`` that stands in a normalised text between other than letters and digits."""
+    quoted = r"regexp_replace(k.key, '([^a-z0-9 ])', '\\\1', 'g')"
+    return f"""list_filter(labels, lambda k: k.key <> '' AND regexp_matches({text_}, '(?:^|[^a-z0-9])' || {quoted} || '(?:[^a-z0-9]|$)'))[1].label"""
+
+
+_Q_SCORED = f"""a AS (SELECT task, {q_label("coalesce(answer, 'None')")} AS key, min(item_id) AS first, arg_min({q_clean('answer')}, item_id) AS label FROM legalbench_item GROUP BY 1, 2),
+    g AS (SELECT task, CASE WHEN count(*) <= 12 AND max(length(label)) <= 80 THEN list({{'label': label, 'key': {q_label('label')}}} ORDER BY -length({q_label('label')}), first) ELSE [] END AS labels FROM a GROUP BY 1),
+    b AS (SELECT p.*, i.choice_0 IS NOT NULL AS choice, g.labels, {q_text('p.prediction_raw')} AS txt, {q_text('p.truth')} AS want FROM {_Q_PREDICTIONS} p JOIN legalbench_item i USING (item_id) JOIN g ON g.task = i.task),
+    c AS (SELECT *, list_filter(list_transform(regexp_split_to_array({_Q_UNTHOUGHT}, '{_Q_SPLIT_LINES}'), lambda x: {q_strip('x')}), lambda x: x <> '') AS lines FROM b),
+    d AS (SELECT *, {q_text("coalesce(lines[-1], '')")} AS l0 FROM c),
+    e AS (SELECT *, CASE WHEN starts_with(l0, 'final answer:') THEN {q_strip('substr(l0, 14)')} ELSE l0 END AS l1 FROM d),
+    f AS (SELECT *, CASE WHEN starts_with(l1, 'answer:') THEN {q_strip('substr(l1, 8)')} ELSE l1 END AS line FROM e),
+    x AS (SELECT *, coalesce(CASE WHEN want IN ('yes', 'no') THEN nullif(regexp_extract(txt, '{_Q_WORD}(yes|no){_Q_WORD_END}', 1), '') END,
+      CASE WHEN choice THEN coalesce(nullif(regexp_extract(txt, '{_Q_WORD}([0-4]){_Q_WORD_END}', 1), ''), nullif(regexp_extract(txt, '{_Q_WORD}([a-e]){_Q_WORD_END}', 1), '')) END,
+      {_q_in('txt')}, CASE WHEN len(lines) = 0 THEN txt ELSE coalesce({_q_in('line')}, line) END) AS extracted FROM f),
+    y AS (SELECT *, CASE WHEN choice AND regexp_matches(e0, '\\A[0-4]\\z') THEN translate(e0, '01234', 'abcde') ELSE e0 END AS got, CASE WHEN choice AND regexp_matches(want, '\\A[0-4]\\z') THEN translate(want, '01234', 'abcde') ELSE want END AS due
+      FROM (SELECT *, {q_text('extracted')} AS e0 FROM x)),
+    scored AS (SELECT prediction_id, model_name, task, extracted, CASE WHEN got = '' THEN false WHEN got = due THEN true WHEN (due IN ('yes', 'no') AND got IN ('yes', 'no')) OR (choice AND due IN ('a', 'b', 'c', 'd', 'e')) THEN false
+      ELSE contains(got, due) OR contains(due, got) END AS correct FROM y)"""
+
+
+@query(f"WITH {_Q_SCORED} SELECT prediction_id, extracted, correct FROM scored")
 def score_predictions(spark: SparkSession, d: str) -> DataFrame:
     """Raw predictions: answer extracted by the task's labels and choices, and judged."""
     return evaluation.scored(_predictions(spark, d), table(spark, d, "legalbench_item")).select("prediction_id", "extracted", "correct")
 
 
-@query()
+@query(
+    f"""WITH {_Q_SCORED}, t AS (SELECT model_name, task, count(*) AS n, count(*) FILTER (correct) AS correct FROM scored GROUP BY 1, 2), u AS (SELECT *, {q_share('correct', 'n', 2)} AS pct FROM t)
+    SELECT model_name, count(*) AS n_tasks, sum(n)::BIGINT AS n, sum(correct)::BIGINT AS correct, {q_share('sum(correct)', 'sum(n)', 4)} AS micro_pct,
+    round((sum(round(pct * 100)::BIGINT) * 100)::DOUBLE / count(*)::DOUBLE) / 10000.0::DOUBLE AS macro_pct FROM u GROUP BY 1"""
+)
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     """Micro and macro accuracy of each model by the answers extracted here."""
     return evaluation.summary(evaluation.scored(_predictions(spark, d), table(spark, d, "legalbench_item")))[1]
@@ -660,34 +738,90 @@ def lawbench_overall(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PROMPT_COLUMNS = ("question", "contract", "text", "policy", "claim", "citation", "issue", *(f"choice_{i}" for i in range(5)))
+#: Names of prompts that the table has no columns for.
+_ABSENT = dict.fromkeys(("Citation", "Paragraph", "year", "slice", "description", "statute"))
+
+_Q_ASK = f"""l AS (SELECT task, count(*) AS n, max(length(label)) AS longest, list(key) AS keys, string_agg(label, ', ' ORDER BY first) AS labels FROM (
+      SELECT task, {q_label("coalesce(answer, 'None')")} AS key, min(item_id) AS first, arg_min({q_clean('answer')}, item_id) AS label FROM answers GROUP BY 1, 2) GROUP BY 1),
+    asks AS (SELECT task, CASE WHEN n > 12 OR longest > 80 THEN 'Reply with only the final answer.' WHEN len(list_filter(keys, lambda x: x NOT IN ('yes', 'no'))) = 0 THEN 'Reply with only Yes or No.'
+      WHEN len(list_filter(keys, lambda x: x NOT IN ('a', 'b', 'c', 'd', 'e'))) = 0 THEN 'Reply with only the best answer letter.' ELSE 'Reply with only one of: ' || labels || '.' END AS ask FROM l)"""
 
 
-def _q_items() -> str:
-    has = ", ".join(f"bool_or({c} IS NOT NULL) AS has_{c}" for c in _PROMPT_COLUMNS)
-    options = "concat_ws(chr(10), " + ", ".join(f"CASE WHEN has_choice_{i} THEN '({chr(97 + i)}) ' || choice_{i} END" for i in range(5)) + ")"
-    cases = []
-    for needed, template in scoring.ITEM_PROMPTS:
-        parts = []
-        for piece in re.split(r"(\{[a-z]+!?\})", template):
-            if piece == "{ask}":
-                parts.append("'Reply with only the final answer.'")
-            elif piece == "{options}":
-                parts.append(options)
-            elif piece.startswith("{"):
-                c = f"coalesce({piece.strip('{!}')}, '')"
-                parts.append(f"substr({c}, 1, 3000)" if "!" in piece else c)
-            elif piece:
-                parts.append("'" + piece.replace("\n", "' || chr(10) || '") + "'")
-        cases.append(f"WHEN {' AND '.join('has_' + n for n in needed)} THEN {' || '.join(parts)}")
-    return f"WITH h AS (SELECT task, {has} FROM legalbench_item GROUP BY 1) SELECT item_id, CASE {' '.join(cases)} ELSE chr(10) || chr(10) || 'Reply with only the final answer.' END AS prompt FROM legalbench_item JOIN h USING (task)"
-
-
-@query(_q_items())
+def _asked(answers: DataFrame) -> DataFrame:
+    """(task, ask) from (task, item_id, answer)."""
+    return reports.inferred_labels(answers, ["item_id"]).select("task", scoring.label_instruction(F.col("labels")).alias("ask"))
+
+
+def _present(items: DataFrame) -> DataFrame:
+    return items.groupBy("task").agg(F.array_compact(F.array(*[F.when(F.bool_or(F.col(c).isNotNull()), F.lit(c)) for c in _PROMPT_COLUMNS])).alias("present"))
+
+
+@query(
+    f"""WITH answers AS (SELECT task, item_id, answer FROM legalbench_item UNION ALL SELECT 'letters', item_id, translate(answer, '01234', 'abcde') FROM legalbench_item WHERE choice_0 IS NOT NULL
+      UNION ALL SELECT task, item_id, answer FROM lawbench_item), {_Q_ASK} SELECT task, ask FROM asks"""
+)
+def label_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """How each task asks for its answer; also with the choices as letters, and for the tasks of long answers."""
+    items = table(spark, d, "legalbench_item")
+    letters = items.filter("choice_0 is not null").select(F.lit("letters").alias("task"), "item_id", F.translate("answer", "01234", "abcde").alias("answer"))
+    pick = lambda df: df.select("task", "item_id", "answer")
+    return _asked(pick(items).unionByName(letters).unionByName(pick(table(spark, d, "lawbench_item"))))
+
+
+_Q_CHOICES = "concat_ws(chr(10), '(a) ' || choice_0, '(b) ' || choice_1, '(c) ' || choice_2, '(d) ' || choice_3, '(e) ' || choice_4)"
+
+
+@query(
+    f"""WITH answers AS (SELECT task, item_id, answer FROM legalbench_item), {_Q_ASK},
+    h AS (SELECT task, bool_or(choice_0 IS NOT NULL) AS choice, bool_or(question IS NOT NULL) AS q, bool_or(contract IS NOT NULL) AS k, bool_or(text IS NOT NULL) AS t, bool_or(policy IS NOT NULL) AS p, bool_or(claim IS NOT NULL) AS c,
+      bool_or(citation IS NOT NULL) AS ci, bool_or(issue IS NOT NULL) AS i FROM legalbench_item GROUP BY 1)
+    SELECT item_id, replace(CASE
+      WHEN choice THEN coalesce(question, '') || '@@' || {_Q_CHOICES} || '@@Reply with only the best answer choice using either the letter a-e or the index 0-4.'
+      WHEN q AND k THEN 'Contract:@' || substr(coalesce(contract, ''), 1, 3000) || '@@Question: ' || coalesce(question, '') || '@@' || ask
+      WHEN q AND t THEN 'Text:@' || substr(coalesce(text, ''), 1, 3000) || '@@Question: ' || coalesce(question, '') || '@@' || ask
+      WHEN p AND c THEN 'Policy:@' || substr(coalesce(policy, ''), 1, 3000) || '@@Claim:@' || coalesce(claim, '') || '@@' || ask
+      WHEN k THEN 'Contract Scenario:@' || substr(coalesce(contract, ''), 1, 3000) || '@@' || ask
+      WHEN t AND ci THEN 'Legal Statement:@' || coalesce(text, '') || '@@Citation: ' || coalesce(citation, '') || '@@' || ask
+      WHEN q THEN coalesce(question, '') || '@@' || ask
+      WHEN i AND t THEN 'Issue: ' || coalesce(issue, '') || '@@Fact Pattern:@' || coalesce(text, '') || '@@' || ask
+      ELSE coalesce(text, '') || '@@' || ask END, '@', chr(10)) AS prompt FROM legalbench_item JOIN h USING (task) JOIN asks USING (task)"""
+)
 def item_prompts(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "legalbench_item")
-    has = items.groupBy("task").agg(F.array_compact(F.array(*[F.when(F.bool_or(F.col(c).isNotNull()), F.lit(c)) for c in _PROMPT_COLUMNS])).alias("present"))
-    ask = scoring.label_instruction(F.array().cast("array<string>"))
-    return items.join(has, "task").select("item_id", scoring.item_prompt(F.col("present"), ask).alias("prompt"))
+    prompt = F.replace(scoring.item_prompt(F.col("present"), F.col("ask"), columns=_ABSENT), F.lit("@"), F.lit("\n"))  # as the SQL writes line ends
+    return items.join(_present(items), "task").join(_asked(items.select("task", "item_id", "answer")), "task").select("item_id", prompt.alias("prompt"))
+
+
+_Q_PASSAGE = "coalesce(contract, text, policy, question, '')"
+
+
+@query(
+    f"""WITH s AS (SELECT item_id, task, split, coalesce(answer, '') AS answer, {_Q_PASSAGE} AS p, 'Reply with only Yes or No.' AS ask FROM legalbench_item),
+    big AS (SELECT item_id, task, split, answer, repeat(p || ' ', 40) AS p, ask FROM s)
+    SELECT item_id, form, prompt, old FROM (
+    SELECT item_id, 'paragraph' AS form, 'Citation: ' || task || chr(10) || chr(10) || 'Paragraph:' || chr(10) || p || chr(10) || chr(10) || ask AS prompt, chr(10) || chr(10) || ask AS old FROM s UNION ALL
+    SELECT item_id, 'year', 'Year: ' || split || chr(10) || chr(10) || 'Question: ' || p || chr(10) || chr(10) || ask, p || chr(10) || chr(10) || ask FROM s UNION ALL
+    SELECT item_id, 'slice', 'Context: ' || split || chr(10) || 'Text: ' || p || chr(10) || chr(10) || ask, 'Context: ' || split || chr(10) || 'Text: ' || p || chr(10) || chr(10) || 'Answer Yes or No:' FROM s UNION ALL
+    SELECT item_id, 'statute', 'Statute: ' || substr(p, 1, 12000) || chr(10) || 'Description: ' || task || chr(10) || 'Question: ' || chr(10) || chr(10) || 'Text: ' || substr(answer, 1, 12000) || chr(10) || chr(10) || ask,
+      'Statute: ' || p || chr(10) || 'Description: ' || task || chr(10) || 'Question: ' || chr(10) || chr(10) || 'Text: ' || answer || chr(10) || chr(10) || ask FROM big UNION ALL
+    SELECT item_id, 'description', 'Policy Text:' || chr(10) || substr(p, 1, 3000) || chr(10) || chr(10) || 'Description: ' || task || chr(10) || chr(10) || ask, p || chr(10) || chr(10) || ask FROM big UNION ALL
+    SELECT item_id, 'nothing', chr(10) || chr(10) || ask, chr(10) || chr(10) || ask FROM s)"""
+)
+def item_prompt_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that need columns the table lacks, in both versions: its passages, tasks, splits and answers stand in for them."""
+    passage = F.coalesce("contract", "text", "policy", "question", F.lit(""))
+    items = table(spark, d, "legalbench_item").select("item_id", "task", "split", F.coalesce("answer", F.lit("")).alias("label"), passage.alias("p"), F.repeat(F.concat(passage, F.lit(" ")), 40).alias("big"))
+    names = ("Citation", "Paragraph", "year", "question", "slice", "text", "statute", "description")
+    forms = {
+        "paragraph": {"Citation": "task", "Paragraph": "p"}, "year": {"year": "split", "question": "p"}, "slice": {"slice": "split", "text": "p"},
+        "statute": {"statute": "big", "description": "task", "text": "label"}, "description": {"description": "task", "text": "big"}, "nothing": {},
+    }
+    # name, value pairs, so that one plan writes all forms
+    held = F.array(*[F.struct(F.lit(form).alias("form"), F.array(*[F.lit(n) for n in of]).cast("array<string>").alias("present"), *[(F.col(of[n]) if n in of else F.lit(None).cast("string")).alias(f"v_{n}{i}") for i, n in enumerate(names)]) for form, of in forms.items()])
+    df = items.select("item_id", F.inline(held))
+    columns = dict.fromkeys(("contract", "policy", "claim", "citation", "issue", *(f"choice_{i}" for i in range(5)))) | {n: f"v_{n}{i}" for i, n in enumerate(names)}
+    ask = F.lit("Reply with only Yes or No.")
+    return df.select("item_id", "form", scoring.item_prompt(F.col("present"), ask, columns=columns).alias("prompt"), scoring.item_prompt(F.col("present"), ask, templates=scoring.OLD_ITEM_PROMPTS, indent="  ", columns=columns).alias("old"))
 
 
 @query(
@@ -699,14 +833,19 @@ def item_prompts(spark: SparkSession, d: str) -> DataFrame:
 )
 def old_item_prompts(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "legalbench_item")
-    has = items.groupBy("task").agg(F.array_compact(F.array(*[F.when(F.bool_or(F.col(c).isNotNull()), F.lit(c)) for c in _PROMPT_COLUMNS])).alias("present"))
-    prompt = scoring.item_prompt(F.col("present"), F.lit("Answer:"), templates=scoring.OLD_ITEM_PROMPTS, indent="  ")
-    return items.join(has, "task").select("item_id", prompt.alias("prompt"))
+    prompt = scoring.item_prompt(F.col("present"), F.lit("Answer:"), templates=scoring.OLD_ITEM_PROMPTS, indent="  ", columns=_ABSENT)
+    return items.join(_present(items), "task").select("item_id", prompt.alias("prompt"))
+
+
+_Q_BENCH = f"concat_ws(chr(10), {q_some('instruction')}, {q_some('question')})"
 
 
-@query(f"SELECT item_id, concat_ws(chr(10), {q_some('instruction')}, {q_some('question')}) AS prompt FROM lawbench_item")
+@query(f"SELECT item_id, {_Q_BENCH} AS prompt, 'You answer questions of law.' || chr(10) || chr(10) || {_Q_BENCH} AS raw, {_Q_BENCH} AS bare FROM lawbench_item")
 def bench_prompts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lawbench_item").select("item_id", scoring.bench_prompt(F.col("instruction"), F.col("question")).alias("prompt"))
+    """The prompt, and what is sent without a chat template, with a system text and without one."""
+    prompt = scoring.bench_prompt(F.col("instruction"), F.col("question"))
+    df = table(spark, d, "lawbench_item")
+    return df.select("item_id", prompt.alias("prompt"), scoring.raw_prompt(prompt, F.lit("You answer questions of law.")).alias("raw"), scoring.raw_prompt(prompt, F.lit(None).cast("string")).alias("bare"))
 
 
 # --- losses, tokens, vocabularies -------------------------------------------------------------------------------
@@ -779,6 +918,11 @@ def stop_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "completion").select("completion_id", text.cut_at_stop(F.coalesce("content", F.lit("")), "</think>").alias("cut"))
 
 
+@query("SELECT completion_id, string_split(string_split(string_split(coalesce(content, ''), chr(10) || chr(10) || '<answer>')[1], 'END')[1], '<answer>')[1] AS cut FROM completion")
+def trimmed_stops(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "completion").select("completion_id", text.trim_stops(F.coalesce("content", F.lit("")), ["\n\n<answer>", "END"]).alias("cut"))
+
+
 @query(
     f"""SELECT record_id, _source_file, _source_line FROM (SELECT *, row_number() OVER (ORDER BY _source_line) AS position FROM sft_records WHERE _source_file = 'cail2018-main_sft_00000.jsonl')
     WHERE position > 10 AND ({q_blank('reasoning')} OR {q_blank('output_model')}) ORDER BY _source_line LIMIT 50"""

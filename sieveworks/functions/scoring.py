@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def contains_truth(prediction: Column, truth: Column) -> Column:
 
 
 def label_instruction(labels: Column) -> Column:
-    """How the answer is asked for, by the labels there are."""
+    """How the answer is asked for, by the labels there are. The texts are fixed values."""
     keys = F.transform(labels, normalize_label)
     within = lambda *xs: F.size(F.array_except(keys, F.array(*[F.lit(x) for x in xs]))) == 0
     return (
@@ -125,7 +126,8 @@ def label_instruction(labels: Column) -> Column:
     )
 
 
-#: Which columns a task needs for a prompt, tried in this order, and the prompt; {x} whole, {x!} cut to the limit.
+#: Which columns a task needs for a prompt, tried in this order, and the prompt. {x} stands for a column whole,
+#: {x!} cut to the limit, {x!!} cut to at least STATUTE_LIMIT, {x?} where the task has it; {ask} asks for the answer, {amount} for an amount where the question does.
 ITEM_PROMPTS: Sequence[tuple[tuple[str, ...], str]] = (
     (("choice_0",), "{question}\n\n{options}\n\nReply with only the best answer choice using either the letter a-e or the index 0-4."),
     (("question", "contract"), "Contract:\n{contract!}\n\nQuestion: {question}\n\n{ask}"),
@@ -133,47 +135,75 @@ ITEM_PROMPTS: Sequence[tuple[tuple[str, ...], str]] = (
     (("policy", "claim"), "Policy:\n{policy!}\n\nClaim:\n{claim}\n\n{ask}"),
     (("contract",), "Contract Scenario:\n{contract!}\n\n{ask}"),
     (("text", "citation"), "Legal Statement:\n{text}\n\nCitation: {citation}\n\n{ask}"),
+    (("Citation", "Paragraph"), "Citation: {Citation}\n\nParagraph:\n{Paragraph}\n\n{ask}"),
+    (("question", "year"), "Year: {year}\n\nQuestion: {question}\n\n{ask}"),
     (("question",), "{question}\n\n{ask}"),
     (("issue", "text"), "Issue: {issue}\n\nFact Pattern:\n{text}\n\n{ask}"),
-    (("text",), "{text}\n\n{ask}"),
+    (("slice",), "Context: {slice}\nText: {text}\n\n{ask}"),
+    (("description", "statute"), "Statute: {statute!!}\nDescription: {description}\nQuestion: {question?}\n\nText: {text!!}\n\n{amount}"),
+    (("text", "description"), "Policy Text:\n{text!}\n\nDescription: {description}\n\n{ask}"),
+    ((), "{text?}\n\n{ask}"),
 )
 
-
 #: The older prompts.
 OLD_ITEM_PROMPTS: Sequence[tuple[tuple[str, ...], str]] = (
     (("choice_0",), "{question}\n\n{options}\n\nSelect the best answer by letter (a-e):"),
     (("question", "contract"), "Contract:\n{contract!}\n\nQuestion: {question}\n\n{ask}"),
     (("question",), "{question}\n\n{ask}"),
-    (("text",), "{text}\n\n{ask}"),
+    (("slice",), "Context: {slice}\nText: {text}\n\nAnswer Yes or No:"),
+    (("description", "statute"), "Statute: {statute}\nDescription: {description}\nQuestion: {question?}\n\nText: {text}\n\n{ask}"),
+    ((), "{text?}\n\n{ask}"),
 )
 
+#: The least limit of a statute, and how an amount is asked for.
+STATUTE_LIMIT = 12_000
+AMOUNT_ASKED, ASK_AMOUNT = "how much tax", "Compute the exact final dollar amount. Reply with only a dollar amount like $12345."
+
+
+def item_prompt(
+    present: Column, ask: Column, limit: int = 3000, templates: Sequence[tuple[tuple[str, ...], str]] = ITEM_PROMPTS, indent: str = "", columns: Mapping[str, str | None] | None = None
+) -> Column:
+    """The prompt of an item by the columns that its task has: ``present`` is the array of their names, by which case they are told apart.
+    ``columns`` names the column of ``df`` that holds a name where it isn't called so, None where there is none. Nulls are ''; null choices are left out."""
+    columns = columns or {}
+
+    def value(name: str) -> Column:
+        held = columns.get(name, name)
+        return F.lit("") if held is None else F.coalesce(F.col(held), F.lit(""))
+
+    def has(*names: str) -> Column:
+        return reduce(lambda a, n: a & F.array_contains(present, n), names, F.lit(True))
+
+    choices = [F.when(has(f"choice_{i}"), F.concat(F.lit(f"{indent}({chr(97 + i)}) "), F.col(columns.get(f"choice_{i}") or f"choice_{i}"))) for i in range(5) if columns.get(f"choice_{i}", "") is not None]
+    options = F.array_join(F.array_compact(F.array(*choices)), "\n") if choices else F.lit("")
+    amount = F.when(has("question") & F.contains(F.lower(value("question")), F.lit(AMOUNT_ASKED)), F.lit(ASK_AMOUNT)).otherwise(ask)
+    special = {"ask": ask, "options": options, "amount": amount}
+
+    def piece(x: str) -> Column:
+        if not x.startswith("{"):
+            return F.lit(x)
+        name, marks = re.fullmatch(r"\{([A-Za-z_]+)([!?]*)\}", x).groups()
+        if name in special:
+            return special[name]
+        if marks == "?":
+            return F.when(has(name), value(name)).otherwise("")
+        return F.substring(value(name), 1, {"!": limit, "!!": max(limit, STATUTE_LIMIT)}[marks]) if marks else value(name)
 
-def item_prompt(present: Column, ask: Column, limit: int = 3000, templates: Sequence[tuple[tuple[str, ...], str]] = ITEM_PROMPTS, indent: str = "") -> Column:
-    """The prompt of an item by the columns that its task has: ``present`` is the array of their names. Nulls are ''; null choices are left out."""
     out: Column | None = None
-    options = F.array_join(
-        F.filter(F.array(*[F.when(F.array_contains(present, f"choice_{i}"), F.concat(F.lit(f"{indent}({chr(97 + i)}) "), F.col(f"choice_{i}"))) for i in range(5)]), lambda x: x.isNotNull()),
-        "\n",
-    )
     for needed, template in templates:
-        parts: list[Column] = []
-        for piece in re.split(r"(\{[a-z]+!?\})", template):
-            if piece == "{ask}":
-                parts.append(ask)
-            elif piece == "{options}":
-                parts.append(options)
-            elif piece.startswith("{"):
-                c = F.coalesce(F.col(piece.strip("{!}")), F.lit(""))
-                parts.append(F.substring(c, 1, limit) if "!" in piece else c)
-            elif piece:
-                parts.append(F.lit(piece))
-        has = F.lit(True)
-        for n in needed:
-            has = has & F.array_contains(present, n)
-        out = F.when(has, F.concat(*parts)) if out is None else out.when(has, F.concat(*parts))
-    return out.otherwise(F.concat(F.lit("\n\n"), ask))
+        text = F.concat(*[piece(x) for x in re.split(r"(\{[A-Za-z_]+[!?]*\})", template) if x])
+        if not needed:
+            return text if out is None else out.otherwise(text)
+        out = F.when(has(*needed), text) if out is None else out.when(has(*needed), text)
+    return out
 
 
 def bench_prompt(instruction: Column, question: Column) -> Column:
     """Instruction and question on lines of their own, or whichever is not blank."""
     return F.concat_ws("\n", F.nullif(sanitize(instruction), F.lit("")), F.nullif(sanitize(question), F.lit("")))
+
+
+def raw_prompt(prompt: Column, system: Column) -> Column:
+    """A prompt without a chat template: the system text, if any, and an empty line before it. Null texts are ''."""
+    prompt, system = F.coalesce(prompt, F.lit("")), F.coalesce(system, F.lit(""))
+    return F.when(system != "", F.concat(system, F.lit("\n\n"), prompt)).otherwise(prompt)
