@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,12 @@ def band_shape(threshold: float, permutations: int = 128) -> tuple[int, int]:
     return best[1], best[2]
 
 
+@cache
+def _permutations(seed: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(1, PRIME, k, dtype=np.int64), rng.integers(0, PRIME, k, dtype=np.int64)
+
+
 @dataclass(frozen=True)
 class MinHash:
     """Bands of minima of permuted n-gram hashes; a text shorter than n is its own gram."""
@@ -41,9 +48,7 @@ class MinHash:
     seed: int = 1
 
     def permutations(self) -> tuple[np.ndarray, np.ndarray]:
-        rng = np.random.default_rng(self.seed)
-        k = self.bands * self.rows
-        return rng.integers(1, PRIME, k, dtype=np.int64), rng.integers(0, PRIME, k, dtype=np.int64)
+        return _permutations(self.seed, self.bands * self.rows)
 
     def gram_hashes(self, text: str) -> np.ndarray:
         """Each n-gram's code points as digits to the base GRAM_BASE, modulo PRIME."""
@@ -88,31 +93,56 @@ def banded(df: DataFrame, key: str, text: str, shape: MinHash = MinHash()) -> Da
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, band int, bucket long")
 
 
-def first_wins(df: DataFrame, key: str, text: str, shape: MinHash = MinHash(), max_rounds: int = 100) -> DataFrame:
+#: Band rows (20 bytes each) that are scanned in order by one task.
+SCANNED = 2_000_000
+
+
+def _scan(met: DataFrame) -> DataFrame:
+    """The keys that a scan in their order keeps, in one task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken: set[tuple[int, int]] = set()
+        key, own, kept = None, [], []
+
+        def decide() -> None:
+            if own and taken.isdisjoint(own):
+                kept.append(key)
+                taken.update(own)
+
+        for b in batches:
+            for k, band, bucket in zip(b["key"].tolist(), b["band"].tolist(), b["bucket"].tolist()):
+                if k != key:
+                    decide()
+                    key, own = k, []
+                own.append((band, bucket))
+        decide()
+        yield pd.DataFrame({"key": np.array(kept, np.int64)})
+
+    return met.select("key", "band", "bucket").repartition(1).sortWithinPartitions("key").mapInPandas(run, "key long")
+
+
+def first_wins(df: DataFrame, key: str, text: str, shape: MinHash = MinHash(), scanned: int = SCANNED) -> DataFrame:
     """The keys that a scan in the order of a unique number ``key`` would keep: each row that meets no row kept before it in any band.
 
     Rounds over the band table, without pairs: an undecided row that is the
     least undecided of all its buckets is kept; then rows that share a bucket
-    with a kept one are dropped. Buckets are reduced to their least key and a
-    flag before anything is joined. Null and blank texts are skipped, as they
+    with a kept one are dropped. Once at most ``scanned`` band rows are
+    undecided, one task scans them in order. Buckets are reduced to their least
+    key before anything is joined. Null and blank texts are skipped, as they
     were never candidates. Rows with equal text are first reduced to the least.
     """
     texts = df.filter(F.trim(F.col(text)) != "").groupBy(F.sha2(F.col(text), 256).alias("content")).agg(F.min(key).alias(key)).select(key)  # later copies meet the first in every band
     rows = banded(df.join(texts, key, "left_semi"), key, text, shape)
-    crowded = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "bucket")
+    crowded = rows.groupBy("band", "bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("band", "bucket")
     met = cut_lineage(rows.join(crowded, ["band", "bucket"], "left_semi"))
     kept = texts.withColumnRenamed(key, "key").join(met.select("key").distinct(), "key", "left_anti")
-    for _ in range(max_rounds):
+    while met.count() > scanned:
         least = met.groupBy("band", "bucket").agg(F.min("key").alias("least"))
         state = met.join(least, ["band", "bucket"])
         wins = state.groupBy("key").agg(F.bool_and(F.col("key") == F.col("least")).alias("first")).filter("first").select("key")
-        wins = cut_lineage(wins)
-        if wins.isEmpty():
-            break
+        wins = cut_lineage(wins)  # never empty: the least key of all is in it
         kept = kept.unionByName(wins)
         taken = met.join(wins, "key", "left_semi").select("band", "bucket").distinct()
         gone = met.join(taken, ["band", "bucket"], "left_semi").select("key").distinct()  # the winners and all that meet them
         met = cut_lineage(met.join(gone, "key", "left_anti"))
-    else:
-        raise RuntimeError(f"not decided after {max_rounds} rounds")
-    return kept.withColumnRenamed("key", key)
+    return kept.unionByName(_scan(met)).withColumnRenamed("key", key)

@@ -2,61 +2,91 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveworks.functions.text import strip
-from sieveworks.operators.splits import order_key
+from sieveworks.operators.splits import order_key, sample_exact
 from sieveworks.runtime import cut_lineage
 
+_SPACES = re.compile(r"\s\s+")
 
-def all_ngrams(c: Column, sizes: Sequence[int] = (2, 3, 4)) -> Column:
-    """All runs of each size, repeats included, of the lower-case text; none of null."""
-    text = F.lower(F.coalesce(c, F.lit("")))
 
-    def runs(n: int) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, each).otherwise(F.array().cast("array<string>"))
+def ngrams(text: str | None, sizes: Sequence[int] = (2, 3, 4)) -> Counter[str]:
+    """How often each run of each size occurs in the lower-case text, runs of white space as one space; none of null."""
+    t = _SPACES.sub(" ", (text or "").lower())
+    return Counter(t[i : i + n] for n in sizes for i in range(len(t) - n + 1))
 
-    return F.concat(*[runs(n) for n in sizes])
 
+@dataclass(frozen=True)
+class Grams:
+    """The commonest n-grams of a corpus and their idf, ln((1 + n) / (1 + df)) + 1: at most as many as were asked for."""
 
-def tfidf(df: DataFrame, text: str, features: int = 50_000, min_df: int = 2, max_df: float = 0.98, sizes: Sequence[int] = (2, 3, 4)) -> DataFrame:
-    """``df`` with ``features``: 1 + ln(tf), times ln((1 + n) / (1 + df)) + 1, to length 1; the commonest grams of the corpus."""
-    grams = df.withColumn("__grams", all_ngrams(F.col(text), sizes))
-    n = grams.count()
-    fitted = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=float(min_df), maxDF=float(max_df) if max_df < 1 else float(n + 1)).fit(grams)
-    counts = fitted.transform(grams).drop("__grams")
-    seen = counts.select(F.posexplode(vector_to_array("__tf")).alias("term", "tf")) if len(fitted.vocabulary) <= 2048 else None
-    if seen is None:
-        seen = fitted.transform(grams).select(F.explode(F.array_distinct("__grams")).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("d"))
-        found = {r["gram"]: r["d"] for r in seen.join(F.broadcast(df.sparkSession.createDataFrame([(g,) for g in fitted.vocabulary], "gram string")), "gram").collect()}  # at most `features` rows
-        df_of = [found.get(g, 0) for g in fitted.vocabulary]
-    else:
-        found = {r["term"]: r["d"] for r in seen.filter("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("d")).collect()}
-        df_of = [found.get(i, 0) for i in range(len(fitted.vocabulary))]
-    return _weigh(counts, n, df_of)
+    index: dict[str, int]
+    idf: np.ndarray
+    sizes: tuple[int, ...]
 
+    @classmethod
+    def of(cls, df: DataFrame, text: str, features: int = 50_000, min_df: int = 2, max_df: float = 0.98, sizes: Sequence[int] = (2, 3, 4)) -> Grams:
+        """The ``features`` most frequent of those that ``min_df`` rows have at least and a share ``max_df`` of them at most; counted in batches before anything is shuffled."""
 
-def _weigh(counts: DataFrame, n: int, df_of: list[int]) -> DataFrame:
-    import numpy as np
-    from pyspark.ml.linalg import SparseVector, VectorUDT
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                tf: Counter[str] = Counter()
+                rows: Counter[str] = Counter()
+                for t in b["t"]:
+                    own = ngrams(t, sizes)
+                    tf.update(own)
+                    rows.update(own.keys())
+                yield pd.DataFrame({"gram": list(tf), "tf": list(tf.values()), "df": [rows[g] for g in tf]})
 
-    idf = np.log((1.0 + n) / (1.0 + np.array(df_of, float))) + 1.0
-    held = counts.sparkSession.sparkContext.broadcast(idf)  # at most `features` numbers
+        n = df.count()
+        counts = df.select(F.col(text).alias("t")).mapInPandas(run, "gram string, tf long, df long").groupBy("gram").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+        top = counts.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df * n))).orderBy(F.desc("tf"), "gram").limit(features).collect()
+        return cls({r["gram"]: i for i, r in enumerate(top)}, np.log((1.0 + n) / (1.0 + np.array([r["df"] for r in top], float))) + 1.0, tuple(sizes))
 
-    @F.udf(VectorUDT())
-    def weigh(v):  # vectors have no Arrow form
-        w = (1.0 + np.log(v.values)) * held.value[v.indices] if len(v.indices) else v.values
+    def weights(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights): 1 + ln(tf), times idf, to length 1."""
+        found = [(self.index[g], n) for g, n in ngrams(text, self.sizes).items() if g in self.index]
+        terms = np.array([i for i, _ in found], np.int64)
+        w = (1.0 + np.log([n for _, n in found])) * self.idf[terms] if found else np.empty(0)
         norm = float(np.sqrt((w * w).sum()))
-        return SparseVector(v.size, v.indices, w / norm if norm else w)
+        return terms, w / norm if norm else w
 
-    return counts.withColumn("features", weigh("__tf")).drop("__tf")
+
+#: Dimensions to which the terms are projected.
+DIMENSIONS = 256
+
+
+def projection(terms: int, dims: int, seed: int) -> np.ndarray:
+    """A random sign for each term and dimension, scaled so that lengths are kept on average."""
+    return np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (terms, dims)) / np.float32(dims**0.5)
+
+
+def projected(df: DataFrame, key: str, text: str, grams: Grams, dims: int = DIMENSIONS, seed: int = 42) -> DataFrame:
+    """(key, vector): TF-IDF rows projected to ``dims``; distances between rows are kept up to a few per cent."""
+    held = df.sparkSession.sparkContext.broadcast(grams)
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signs = projection(len(held.value.index), dims, seed)
+        for b in batches:
+            vectors = []
+            for t in b["text"]:
+                terms, w = held.value.weights(t)
+                vectors.append(w.astype(np.float32) @ signs[terms])
+            yield pd.DataFrame({"key": b["key"], "vector": vectors})
+
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, vector array<float>").withColumnRenamed("key", key)
 
 
 def to_vector(c: Column) -> Column:
@@ -85,170 +115,117 @@ def exact_size(picked: DataFrame, pool: DataFrame, key: str, size: int, seed: in
     return head.unionByName(rest.orderBy(order_key(seed, F.col(key)), key).limit(missing))
 
 
-class Rows:
-    """Sparse rows of length 1 side by side: ``at[i] : at[i + 1]`` are row i's terms and weights."""
-
-    def __init__(self, rows: Sequence) -> None:
-        import numpy as np
-
-        self.at = np.cumsum([0, *(len(r.indices) for r in rows)])
-        self.terms = np.concatenate([r.indices for r in rows]) if rows else np.zeros(0, "int32")
-        self.weights = np.concatenate([r.values for r in rows]).astype("float32") if rows else np.zeros(0, "float32")
-        self.norms = np.array([float((r.values**2).sum()) for r in rows])  # 1, or 0 for a row without known terms
-
-    def __len__(self) -> int:
-        return len(self.norms)
-
-    def row(self, i: int):
-        return self.terms[self.at[i] : self.at[i + 1]], self.weights[self.at[i] : self.at[i + 1]]
-
-
-def plus_plus(rows: Rows, k: int, features: int, rng) -> list[int]:
-    """k-means++: at most k rows, each drawn by its squared distance to those before; fewer where there are fewer different rows."""
-    import numpy as np
-
-    order = np.argsort(rows.terms, kind="stable")
-    owner, weight = np.repeat(np.arange(len(rows)), np.diff(rows.at))[order], rows.weights[order]
-    ends = np.searchsorted(rows.terms[order], np.arange(features + 1))
-    chosen, left = [int(rng.integers(len(rows)))], np.full(len(rows), np.inf)
-    while True:
-        terms, w = rows.row(chosen[-1])
-        parts = [slice(ends[t], ends[t + 1]) for t in terms]
-        dots = np.bincount(np.concatenate([owner[p] for p in parts]), np.concatenate([weight[p] * x for p, x in zip(parts, w)]), len(rows)) if parts else 0.0
-        left = np.minimum(left, np.maximum(rows.norms + rows.norms[chosen[-1]] - 2 * dots, 0.0))
-        left[left < 1e-5] = 0.0  # equal to a centre, but for rounding
-        left[chosen[-1]] = 0.0
-        if len(chosen) == k or left.sum() == 0.0:
-            return chosen
-        chosen.append(int(rng.choice(len(rows), p=left / left.sum())))
-
-
-class Centres:
-    """k dense centres in single precision, and how many rows each has taken."""
-
-    def __init__(self, rows: Rows, chosen: Sequence[int], features: int) -> None:
-        import numpy as np
-
-        self.c, self.taken = np.zeros((len(chosen), features), "float32"), np.zeros(len(chosen))
-        for i, j in enumerate(chosen):
-            terms, w = rows.row(j)
-            self.c[i, terms] = w
-        self.norms = np.einsum("ij,ij->i", self.c, self.c)
-
-    def nearest(self, rows: Rows, block: int = 4096):
-        """(centre, squared distance) of each row."""
-        import numpy as np
-
-        dots, owner = np.zeros((len(rows), len(self.c)), "float32"), np.repeat(np.arange(len(rows)), np.diff(rows.at))
-        for low in range(0, self.c.shape[1], block):
-            part = self.c[:, low : low + block]
-            dense, has = np.zeros((len(rows), part.shape[1]), "float32"), (rows.terms >= low) & (rows.terms < low + block)
-            dense[owner[has], rows.terms[has] - low] = rows.weights[has]
-            dots += dense @ part.T
-        d = self.norms - 2 * dots
-        label = d.argmin(1)
-        return label, np.maximum(d[np.arange(len(rows)), label] + rows.norms, 0.0)
-
-    def learn(self, rows: Rows, label) -> None:
-        """Each centre becomes the mean of all rows it has taken so far."""
-        import numpy as np
-
-        touched, n = np.unique(label, return_counts=True)
-        before, self.taken[touched] = self.taken[touched], self.taken[touched] + n
-        self.c[touched] *= (before / self.taken[touched]).astype("float32")[:, None]
-        for i, c in enumerate(label):
-            terms, w = rows.row(i)
-            self.c[c, terms] += w / np.float32(self.taken[c])
-        self.norms[touched] = np.einsum("ij,ij->i", self.c[touched], self.c[touched])
-
-    def reassign(self, rows: Rows, rng, ratio: float = 0.01) -> None:
-        """Centres that have taken less than ``ratio`` of what the largest has start anew from rows of the batch, half of it at most."""
-        poor = (self.taken < ratio * self.taken.max()).nonzero()[0]
-        poor = poor[self.taken[poor].argsort(kind="stable")][: len(rows) // 2]
-        if not len(poor):
-            return
-        others = self.taken.copy()
-        others[poor] = float("inf")
-        for c, i in zip(poor, rng.choice(len(rows), len(poor), replace=False)):
-            terms, w = rows.row(i)
-            self.c[c] = 0.0
-            self.c[c, terms], self.norms[c] = w, rows.norms[i]
-        self.taken[poor] = others.min()
-
-
-def mini_batch_picks(vectors: DataFrame, key: str, k: int, features: int, seed: int, epochs: int, inits: int, batch: int = 2048, patience: int = 10) -> list:
-    """Keys of the rows nearest to the centres of a mini-batch k-means, one per non-empty cluster.
-
-    ``vectors`` is a bounded pool in random order, streamed through the driver a
-    batch at a time; held there are the centres and the rows of the start: the
-    best of ``inits`` k-means++ starts over 3 k rows. It ends after ``epochs``
-    passes, or ``patience`` batches without a better smoothed cost.
-    """
-    import numpy as np
-
-    def batches() -> Iterator[tuple[list, Rows]]:
-        held = []
-        for r in vectors.select(key, "features").toLocalIterator():
-            held.append(r)
-            if len(held) == batch:
-                yield [x[0] for x in held], Rows([x[1] for x in held])
-                held = []
-        if held:
-            yield [x[0] for x in held], Rows([x[1] for x in held])
-
-    rng, n = np.random.default_rng(seed), vectors.count()
-    head = Rows([r["features"] for r in vectors.select("features").limit(3 * max(k, batch)).toLocalIterator()])
-    judges = Rows([r["features"] for r in vectors.select("features").limit(3 * batch).toLocalIterator()])
-    starts = [plus_plus(head, k, features, rng) for _ in range(inits)]
-    costs = [float(Centres(head, s, features).nearest(judges)[1].sum()) for s in starts]
-    centres = Centres(head, starts[int(np.argmin(costs))], features)
-    del head, judges
+def _squared(x: np.ndarray, norms: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of x to all of c."""
+    return np.maximum(norms[:, None] + np.einsum("ij,ij->i", c, c) - 2.0 * (x @ c.T), 0.0)
+
+
+def spread_rows(x: np.ndarray, k: int, rng: np.random.Generator, block: int = 64) -> np.ndarray:
+    """At most k rows, drawn by their squared distance to those before, a block at a time; fewer where there are fewer different rows."""
+    norms = np.einsum("ij,ij->i", x, x)
+    chosen = [int(rng.integers(len(x)))]
+    left = _squared(x, norms, x[chosen])[:, 0]
+    while len(chosen) < k:
+        left[left < 1e-5] = 0.0  # equal to a chosen one, but for rounding
+        left[chosen] = 0.0
+        open_ = int(np.count_nonzero(left))
+        if not open_:
+            break
+        drawn = rng.choice(len(x), min(block, k - len(chosen), open_), replace=False, p=left / left.sum(dtype=np.float64))
+        chosen += drawn.tolist()
+        left = np.minimum(left, _squared(x, norms, x[drawn]).min(axis=1))
+    return np.array(chosen)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, squared distance) of each row."""
+    label, cost = np.empty(len(x), np.int64), np.empty(len(x))
+    for at in range(0, len(x), block):
+        part = x[at : at + block]
+        d = _squared(part, np.einsum("ij,ij->i", part, part), centres)
+        label[at : at + block] = d.argmin(axis=1)
+        cost[at : at + block] = d.min(axis=1)
+    return label, cost
+
+
+def mini_batch_kmeans(x: np.ndarray, k: int, seed: int, epochs: int = 100, inits: int = 10, batch: int = 2048, patience: int = 10, ratio: float = 0.01) -> np.ndarray:
+    """At most k centres: the best of ``inits`` starts over 3 k rows, then batches until ``epochs`` passes are over or ``patience``
+    batches brought no better smoothed cost. Centres with less than ``ratio`` of what the largest has taken start anew from rows of the batch."""
+    rng = np.random.default_rng(seed)
+    head, judges = x[: 3 * max(k, batch)], x[: 3 * batch]
+    starts = [head[spread_rows(head, k, rng)] for _ in range(inits)]
+    centres = min(starts, key=lambda c: float(nearest(judges, c)[1].sum())).copy()
+    taken = np.zeros(len(centres))
     smooth = least = None
-    idle = steps = since = 0
-    for _ in range(epochs):
-        for _keys, rows in batches():
-            label, cost = centres.nearest(rows)
-            centres.learn(rows, label)
-            since += len(rows)
-            if since >= 10 * len(centres.c) and centres.taken.min() < 0.01 * centres.taken.max():
-                centres.reassign(rows, rng)
-                since = 0
-            steps += 1
-            if steps == 1:
-                continue  # the first cost is that of the start
-            weight = min(1.0, 2.0 * len(rows) / (n + 1))
-            smooth = cost.mean() if smooth is None else smooth * (1 - weight) + cost.mean() * weight
-            least, idle = (smooth, 0) if least is None or smooth < least else (least, idle + 1)
-            if idle >= patience:
-                break
+    idle = since = 0
+    for step in range(epochs * -(-len(x) // batch)):
+        rows = x[rng.integers(len(x), size=min(batch, len(x)))]
+        label, cost = nearest(rows, centres)
+        order = np.argsort(label, kind="stable")
+        touched, first, n = np.unique(label[order], return_index=True, return_counts=True)
+        before = taken[touched].copy()
+        taken[touched] += n
+        sums = np.add.reduceat(rows[order], first)
+        centres[touched] = centres[touched] * (before / taken[touched]).astype(np.float32)[:, None] + sums / taken[touched].astype(np.float32)[:, None]
+        since += len(rows)
+        if since >= 10 * len(centres):
+            since = 0
+            poor = np.flatnonzero(taken < ratio * taken.max())
+            poor = poor[np.argsort(taken[poor], kind="stable")][: len(rows) // 2]
+            if len(poor):
+                centres[poor] = rows[rng.choice(len(rows), len(poor), replace=False)]
+                taken[poor] = np.delete(taken, poor).min()
+        if step == 0:
+            continue  # the first cost is that of the start
+        weight = min(1.0, 2.0 * len(rows) / (len(x) + 1))
+        smooth = cost.mean() if smooth is None else smooth * (1 - weight) + cost.mean() * weight
+        least, idle = (smooth, 0) if least is None or smooth < least else (least, idle + 1)
         if idle >= patience:
             break
-    best: dict = {}
-    for keys, rows in batches():
-        for at in zip(*centres.nearest(rows), keys):
-            c, found = int(at[0]), (float(at[1]), at[2])
-            best[c] = min(best.get(c, found), found)
-    return [x[1] for x in best.values()]
+    return centres
+
+
+def nearest_rows(vectors: DataFrame, key: str, centres: np.ndarray) -> DataFrame:
+    """(cluster, key, dist): the row nearest to each centre that has rows; batches send one row a cluster."""
+    held = vectors.sparkSession.sparkContext.broadcast(centres)  # k times the dimensions
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                label, cost = nearest(np.stack(b["vector"]).astype(np.float32), held.value)
+                near = pd.DataFrame({"cluster": label, "key": b["key"], "dist": cost}).sort_values(["dist", "key"], kind="stable")
+                yield near.drop_duplicates("cluster")
+
+    assigned = vectors.select(F.col(key).alias("key"), "vector").mapInPandas(run, f"cluster long, key {kind}, dist double")
+    return nearest_to_center(assigned, "cluster", "key", F.col("dist")).withColumnRenamed("key", key)
+
+
+#: Rows to which the centres are fitted: they are held on the driver, 1 KB each.
+FITTED = 100_000
 
 
 def diverse_sample(
     df: DataFrame, key: str, text: str, k: int = 5000, features: int = 50_000, seed: int = 42, pool: int = 100_000, epochs: int = 100, inits: int = 10
 ) -> DataFrame:
-    """Keys of a pool of ``df`` (0: all) with ``_sampled``: 'selected' for the row nearest to each of k centres, brought to k rows, 'remaining' for the others."""
+    """Keys of a pool of ``df`` (0: all) with ``_sampled``: 'selected' for the row nearest to each of k centres, brought to k rows, 'remaining' for the others.
+
+    The centres are fitted on the driver to at most FITTED rows of the pool; all rows of the pool are then compared with them where they are.
+    """
     some = df.filter(F.coalesce(strip(F.col(text)), F.lit("")) != "").select(key, text)
-    rows = cut_lineage(reservoir(some, [key], pool).repartition(64, key))  # a limit leaves one partition
+    rows = cut_lineage(reservoir(some, [key], pool).repartition(64, key))
     if rows.count() <= k:  # each is a centre
         return rows.select(key, F.lit("selected").alias("_sampled"))
-    vectors = cut_lineage(tfidf(rows, text, features).select(key, "features").orderBy(order_key(seed, F.col(key)), key))
-    size = vectors.first()["features"].size
-    picks = vectors.sparkSession.createDataFrame([(x,) for x in mini_batch_picks(vectors, key, k, size, seed, epochs, inits)], vectors.select(key).schema)  # at most k rows
-    chosen = exact_size(picks, vectors, key, k, seed).withColumn("_sampled", F.lit("selected"))
+    vectors = cut_lineage(projected(rows, key, text, Grams.of(rows, text, features), seed=seed))
+    fitted = reservoir(vectors, [key], FITTED).orderBy(order_key(seed, F.col(key)), key).select("vector").toPandas()
+    centres = mini_batch_kmeans(np.stack(fitted["vector"]).astype(np.float32), k, seed, epochs, inits)
+    chosen = exact_size(nearest_rows(vectors, key, centres), vectors, key, k, seed).withColumn("_sampled", F.lit("selected"))
     return vectors.select(key).join(chosen, key, "left").withColumn("_sampled", F.coalesce("_sampled", F.lit("remaining")))
 
 
 def reservoir(df: DataFrame, key: Sequence[str], size: int, seed: int = 42) -> DataFrame:
     """``size`` rows of the same chance each, by hash; all rows for 0 or less."""
-    return df if size <= 0 else df.orderBy(order_key(seed, *[F.col(k) for k in key]), *key).limit(size)
+    return df if size <= 0 else sample_exact(df, key, size, seed)
 
 
 def rank_in_cluster(df: DataFrame, cluster: str, key: str, k: int) -> DataFrame:

@@ -79,9 +79,25 @@ def rebalance(df: DataFrame, group: str, key: Sequence[str], weight: Column, mos
     return kept.unionByName(extra).drop("rank", "group_size")
 
 
+#: First hex digits of the hash by which the end of a sample is found: 65,536 counts.
+_SAMPLE_DIGITS = 4
+
+
 def sample_exact(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFrame:
-    """``k`` rows by hash: bottom-k in each task, then of those."""
-    return df.orderBy(order_key(seed, *[F.col(c) for c in key]), *key).limit(max(k, 0))
+    """The ``k`` first rows by hash, all if there are fewer. Counts by the hash's first digits tell where the sample ends:
+    rows before that pass a filter, and only those with the same digits (a 65,536th of all) are sorted."""
+    order = order_key(seed, *[F.col(c) for c in key])
+    digits = F.substring(order, 1, _SAMPLE_DIGITS)
+    taken, last = 0, None
+    for r in df.groupBy(digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).orderBy("digits").collect():
+        if taken + r["n"] >= k:
+            last = r["digits"]
+            break
+        taken += r["n"]
+    if last is None:
+        return df
+    rest = df.filter(digits == last).orderBy(order, *key).limit(max(k - taken, 0))
+    return df.filter(digits < last).unionByName(rest)
 
 
 def sample_ratio(df: DataFrame, key: Sequence[str], ratio: float, seed: int = 42) -> DataFrame:
@@ -102,11 +118,13 @@ def positional_split(df: DataFrame, order: str, percent: int) -> DataFrame:
 
 
 def position(df: DataFrame, order: str, buckets: int = 256) -> DataFrame:
-    """``df`` with ``position`` from 1 by the whole number ``order`` (nulls first) and ``total``: ranked in ranges of the number, not in one task."""
-    low, high, total = df.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    width = max(((high or 0) - (low or 0) + 1) / buckets, 1.0)
+    """``df`` with ``position`` from 1 by the unique number ``order`` (nulls first) and ``total``: ranked in ranges between quantiles of the number, not in one task."""
+    marks = [i / buckets for i in range(1, buckets)]
+    bounds, total = df.agg(F.percentile_approx(order, marks, 10_000), F.count(F.lit(1))).first()
+    bounds = sorted(set(bounds or []))
     df = df.withColumn("total", F.lit(total).cast("long"))
-    df = df.withColumn("__bucket", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)).cast("int"))
+    below = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x < F.col(order))) if bounds else F.lit(0)
+    df = df.withColumn("__bucket", F.when(F.col(order).isNull(), F.lit(-1)).otherwise(below))
     counts = df.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -187,6 +187,7 @@ def test_first_wins_is_the_sequential_scan(spark):
             index |= keys
     df = spark.createDataFrame(list(texts.items()), "k long, t string").repartition(6)
     assert sorted(r["k"] for r in dedup.first_wins(df, "k", "t", shape).collect()) == kept
+    assert sorted(r["k"] for r in dedup.first_wins(df, "k", "t", shape, scanned=0).collect()) == kept  # in rounds to the end
     assert dedup.first_wins(df.limit(0), "k", "t", shape).count() == 0
 
 
@@ -202,11 +203,19 @@ def test_chain_keeps_both_ends(spark):
 
 def test_tfidf_weights(spark):
     df = spark.createDataFrame([(1, "abab"), (2, "abc"), (3, "xyz")], "k long, t string")
-    rows = {r["k"]: r["features"].toArray() for r in diverse.tfidf(df, "t", min_df=1, max_df=1.0, sizes=(2,)).collect()}
-    n, ab, ba = 3, (1 + np.log(2)) * (np.log(4 / 3) + 1), np.log(4 / 2) + 1
+    grams = diverse.Grams.of(df, "t", min_df=1, max_df=1.0, sizes=(2,))
+    ab, ba = (1 + np.log(2)) * (np.log(4 / 3) + 1), np.log(4 / 2) + 1
     want = np.array([ab, ba]) / np.hypot(ab, ba)
-    assert np.allclose(sorted(rows[1][rows[1] > 0]), sorted(want)) and np.isclose(np.linalg.norm(rows[2]), 1)
-    assert n == len(rows)
+    assert np.allclose(sorted(grams.weights("abab")[1]), sorted(want)) and np.isclose(np.linalg.norm(grams.weights("abc")[1]), 1)
+    assert len(grams.index) == 5 and len(grams.weights(None)[0]) == 0
+    assert set(diverse.Grams.of(df, "t", features=1, min_df=1, max_df=1.0, sizes=(2,)).index) == {"ab"} and set(diverse.Grams.of(df, "t", min_df=2, max_df=1.0, sizes=(2,)).index) == {"ab"}
+    rows = {r["k"]: np.array(r["vector"]) for r in diverse.projected(df, "k", "t", grams, 2048).collect()}
+    full = {}
+    for k, t in ((1, "abab"), (2, "abc"), (3, "xyz")):
+        full[k] = np.zeros(5)
+        i, w = grams.weights(t)
+        full[k][i] = w
+    assert all(abs(np.linalg.norm(rows[i] - rows[j]) - np.linalg.norm(full[i] - full[j])) < 0.1 for i in rows for j in rows)
 
 
 def test_diverse_sample(spark):
@@ -231,22 +240,22 @@ def test_diverse_sample_takes_every_topic(spark):
     assert {r["_sampled"] for r in diverse.diverse_sample(df, "k", "t", 400).collect()} == {"selected"}
 
 
-def test_nearest_centres_by_brute_force():
-    from pyspark.ml.linalg import SparseVector
-
+def test_nearest_centres_by_brute_force(spark):
     rng = np.random.default_rng(1)
-    dense = rng.random((50, 30)) * (rng.random((50, 30)) < 0.3)
-    dense[7] = 0
-    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
-    rows = diverse.Rows([SparseVector(30, np.nonzero(x)[0], x[np.nonzero(x)]) for x in dense])
-    chosen = diverse.plus_plus(rows, 9, 30, rng)
-    assert len(set(chosen)) == 9 and len(diverse.plus_plus(rows, 80, 30, rng)) == 50
-    centres = diverse.Centres(rows, chosen, 30)
-    label, cost = centres.nearest(rows, 7)
-    want = ((dense[:, None] - dense[chosen][None]) ** 2).sum(2)
+    x = rng.random((50, 30)).astype(np.float32)
+    x[8] = x[7]
+    chosen = diverse.spread_rows(x, 9, rng, 4)
+    assert len(set(chosen.tolist())) == 9 and len(diverse.spread_rows(x, 80, rng, 1)) == 49
+    label, cost = diverse.nearest(x, x[chosen], 7)
+    want = ((x[:, None] - x[chosen][None]) ** 2).sum(2)
     assert np.allclose(cost, want.min(1), atol=1e-5) and np.allclose(want[np.arange(50), label], want.min(1), atol=1e-5)
-    centres.learn(rows, label)
-    assert all(np.allclose(centres.c[c], dense[label == c].mean(0), atol=1e-5) for c in range(9))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, vector array<float>")
+    near = {r["cluster"]: r["k"] for r in diverse.nearest_rows(df, "k", x[chosen]).collect()}
+    assert near == {i: min(c, 7 if c == 8 else c) for i, c in enumerate(chosen.tolist())}
+    # three far groups: each centre is the mean of one
+    far = np.concatenate([rng.normal(m, 0.1, (400, 8)) for m in (0.0, 5.0, 9.0)]).astype(np.float32)
+    centres = diverse.mini_batch_kmeans(far[rng.permutation(1200)], 3, 7)
+    assert sorted(np.round(centres.mean(axis=1)).tolist()) == [0.0, 5.0, 9.0]
 
 
 def test_diverse_kmeans_is_over_the_records(spark, tmp_path):
