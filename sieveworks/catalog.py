@@ -355,9 +355,9 @@ def ratio_sample(spark: SparkSession, d: str) -> DataFrame:
     return splits.sample_ratio(table(spark, d, "documents").select("doc_id"), ["doc_id"], 0.1)
 
 
-@query("SELECT record_id FROM (SELECT DISTINCT record_id FROM sft_records) ORDER BY md5('42|' || record_id), record_id LIMIT 1000")
+@query("SELECT record_id FROM (SELECT DISTINCT record_id FROM sft_records) ORDER BY md5('42|' || record_id), record_id LIMIT 100000")
 def reservoir_pool(spark: SparkSession, d: str) -> DataFrame:
-    return diverse.reservoir(_records(spark, d).select("record_id"), ["record_id"], 1000)
+    return diverse.reservoir(_records(spark, d).select("record_id"), ["record_id"], 100_000)
 
 
 _Q_PREPARED = f"""WITH o AS (SELECT DISTINCT record_id, {_q_task()} AS task_name FROM sft_records WHERE NOT {q_blank('instruction')} AND NOT {q_blank('input')} AND NOT {q_blank('output')}),
@@ -377,31 +377,42 @@ def prepared_counts(spark: SparkSession, d: str) -> DataFrame:
 _SHAPE = dedup.MinHash()
 
 
+_Q_INPUTS = f"(SELECT record_id, any_value(input) AS t FROM sft_records WHERE NOT {q_blank('input')} GROUP BY 1)"
+
+
+def _inputs(spark: SparkSession, d: str) -> DataFrame:
+    """One input a record."""
+    return _sft(spark, d).select("record_id", "input").dropDuplicates(["record_id"])
+
+
 def _q_bands() -> str:
     a, b = (x.tolist() for x in _SHAPE.permutations())
     rows = ", ".join(f"({i // _SHAPE.rows}, {i % _SHAPE.rows}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b)))
-    gram = f"((unicode(substr(question, i::INT, 1))::BIGINT * {dedup.GRAM_BASE} + unicode(substr(question, i::INT + 1, 1))) % {dedup.PRIME} * {dedup.GRAM_BASE} + unicode(substr(question, i::INT + 2, 1))) % {dedup.PRIME}"
+    code = lambda k: f"unicode(substr(t, i::INT + {k}, 1))::BIGINT"
+    two = f"({code(0)} % {dedup.PRIME} * {dedup.GRAM_BASE} + {code(1)}) % {dedup.PRIME}"
+    gram = f"CASE WHEN length(t) = 1 THEN {code(0)} % {dedup.PRIME} WHEN length(t) = 2 THEN {two} ELSE ({two} * {dedup.GRAM_BASE} + {code(2)}) % {dedup.PRIME} END"
     return f"""WITH p(band, r, a, b) AS (VALUES {rows}),
-    g AS (SELECT DISTINCT item_id, {gram} AS h FROM (SELECT item_id, question, unnest(range(1, length(question) - 1)) AS i FROM lawbench_item)),
-    m AS (SELECT item_id, band, r, min((p.a * g.h + p.b) % {dedup.PRIME}) AS v FROM g CROSS JOIN p GROUP BY 1, 2, 3),
-    w AS (SELECT item_id, band, max(v) FILTER (r = 0) AS v0, max(v) FILTER (r = 1) AS v1, max(v) FILTER (r = 2) AS v2 FROM m GROUP BY 1, 2)
-    SELECT item_id AS key, band::INT AS band, ((v0 * {dedup.GRAM_BASE} + v1) % {dedup.PRIME} * {dedup.GRAM_BASE} + v2) % {dedup.PRIME} AS bucket FROM w"""
+    g AS (SELECT DISTINCT record_id, {gram} AS h FROM (SELECT record_id, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM {_Q_INPUTS})),
+    m AS (SELECT record_id, band, r, min((p.a * g.h + p.b) % {dedup.PRIME}) AS v FROM g CROSS JOIN p GROUP BY 1, 2, 3),
+    w AS (SELECT record_id, band, max(v) FILTER (r = 0) AS v0, max(v) FILTER (r = 1) AS v1, max(v) FILTER (r = 2) AS v2 FROM m GROUP BY 1, 2)
+    SELECT record_id AS key, band::INT AS band, ((v0 * {dedup.GRAM_BASE} + v1) % {dedup.PRIME} * {dedup.GRAM_BASE} + v2) % {dedup.PRIME} AS bucket FROM w"""
 
 
 @query(_q_bands())
 def minhash_bands(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.banded(table(spark, d, "lawbench_item"), "item_id", "question", _SHAPE)
+    return dedup.banded(_inputs(spark, d), "record_id", "input", _SHAPE)
 
 
-@query("SELECT item_id, count(DISTINCT substr(question, i::INT, 3)) AS n_grams FROM (SELECT item_id, question, unnest(range(1, greatest(length(question) - 1, 2))) AS i FROM lawbench_item) GROUP BY 1")
+@query(f"SELECT record_id, count(DISTINCT substr(t, i::INT, 3)) AS n_grams FROM (SELECT record_id, t, unnest(range(1, greatest(length(t) - 1, 2))) AS i FROM {_Q_INPUTS}) GROUP BY 1")
 def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lawbench_item").select("item_id", F.size(text.char_ngrams(F.col("question"), 3)).cast("long").alias("n_grams"))
+    df = _inputs(spark, d).filter(~text.is_blank(F.col("input")))
+    return df.select("record_id", F.size(text.char_ngrams(F.col("input"), 3)).cast("long").alias("n_grams"))
 
 
 @query()
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """Over the records' inputs in the order of their ids, with the older, low threshold's bands."""
-    return dedup.first_wins(_sft(spark, d).select("record_id", "input").dropDuplicates(["record_id"]), "record_id", "input", _SHAPE)
+    return dedup.first_wins(_inputs(spark, d), "record_id", "input", _SHAPE)
 
 
 @query(
@@ -872,15 +883,15 @@ def perplexities(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT record_id, _source_file, _source_line, least(p + o, 400) AS n_ids, greatest(least(p + o, 400) - p, 0) AS n_labels, p >= least(p + o, 400) AS prompt_only FROM (
+    f"""SELECT record_id, _source_file, _source_line, least(p + o, 4096) AS n_ids, greatest(least(p + o, 4096) - p, 0) AS n_labels, p >= least(p + o, 4096) AS prompt_only FROM (
     SELECT record_id, _source_file, _source_line, length(concat_ws(chr(10), {q_some('instruction')}, {q_some('input')})) AS p, length({q_clean('output')}) AS o FROM sft_records)"""
 )
 def mask_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Characters as tokens, at most 400 of them."""
+    """Characters as tokens, at most 4,096 of them."""
     prompt, answer = tokenized.char_ids(text.build_text(F.col("instruction"), F.col("input"))), tokenized.char_ids(text.sanitize(F.col("output")))
     df = _sft(spark, d).select("record_id", *ROW, prompt.alias("p"), answer.alias("o"))
-    m = tokenized.masked(F.concat("p", "o"), F.size("p"), 400)
-    df = df.select("record_id", *ROW, m.alias("m"), tokenized.prompt_only(F.size("p"), F.concat("p", "o"), 400).alias("prompt_only"))
+    m = tokenized.masked(F.concat("p", "o"), F.size("p"), 4096)
+    df = df.select("record_id", *ROW, m.alias("m"), tokenized.prompt_only(F.size("p"), F.concat("p", "o"), 4096).alias("prompt_only"))
     n_labels = F.size(F.filter("m.labels", lambda x: x != tokenized.IGNORE))
     return df.select("record_id", *ROW, F.size("m.input_ids").cast("long").alias("n_ids"), n_labels.cast("long").alias("n_labels"), "prompt_only")
 
@@ -936,3 +947,6 @@ def selected_for_generation(spark: SparkSession, d: str) -> DataFrame:
 def selected_for_generation_all(spark: SparkSession, d: str) -> DataFrame:
     """In every file, with the reference's start and limit of 0: all rows that need generation."""
     return generate.selected_per_file(_sft(spark, d), "_source_file", "_source_line", curate.needs_generation(), tie=["record_id"]).filter("selected").select("record_id", *ROW)
+
+
+from sieveworks import catalog_io  # noqa: E402, F401  registers its queries

@@ -57,18 +57,29 @@ def needs_generation(overwrite: bool = False, reasoning: str = "reasoning", outp
     return F.lit(True) if overwrite else (is_blank(F.col(reasoning)) | is_blank(F.col(output)))
 
 
-def precheck_reason(required: Sequence[str] = ("instruction", "input", "output"), prompt_len: Column | None = None, total_len: Column | None = None) -> Column:
-    """First failure of a record: ``missing_fields:a,b`` (null), ``empty_required_field`` (blank), ``truncated_prompt_only``; ``ok`` otherwise."""
+def precheck_reason(
+    required: Sequence[str] = ("instruction", "input", "output"), prompt_len: Column | None = None, total_len: Column | None = None, status: Column | None = None
+) -> Column:
+    """First failure of a record: ``invalid_json`` and ``not_object`` (by the status of its line), ``missing_fields:a,b`` (null), ``empty_required_field``
+    (blank), ``tokenize_error`` (no lengths), ``truncated_prompt_only``; ``ok`` otherwise."""
     missing = F.concat_ws(",", *[F.when(F.col(f).isNull(), F.lit(f)) for f in required])
     blank = F.lit(False)
     for f in required:
         blank = blank | is_blank(F.col(f))
-    out = F.when(missing != "", F.concat(F.lit("missing_fields:"), missing)).when(blank, F.lit("empty_required_field"))
+    out = F.when(F.lit(False) if status is None else status == "invalid", F.lit("invalid_json"))
+    if status is not None:
+        out = out.when(status == "not_object", F.lit("not_object"))
+    out = out.when(missing != "", F.concat(F.lit("missing_fields:"), missing)).when(blank, F.lit("empty_required_field"))
     if prompt_len is not None and total_len is not None:
-        out = out.when(prompt_len >= total_len, F.lit("truncated_prompt_only"))
+        out = out.when(prompt_len.isNull() | total_len.isNull(), F.lit("tokenize_error")).when(prompt_len >= total_len, F.lit("truncated_prompt_only"))
     return out.otherwise(F.lit("ok"))
 
 
+def not_empty(df: DataFrame, column: str = "prompt") -> DataFrame:
+    """Rows whose text has a character; null has none."""
+    return df.filter(F.length(F.col(column)) > 0)
+
+
 def first_examples(df: DataFrame, group: str, order: Sequence[str], k: int = 3) -> DataFrame:
     """The first ``k`` rows of each group, by ``order``; Spark keeps k a group in each task before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
@@ -233,6 +244,22 @@ def drop_provenance(df: DataFrame) -> DataFrame:
     return df.drop(*PROVENANCE)
 
 
+def has_provenance(df: DataFrame) -> Column:
+    """Whether ``drop_provenance`` changes a row: one of the keys has a value; a null one counts as absent."""
+    return F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(True)) for c in PROVENANCE if c in df.columns], F.lit(False))
+
+
+def system_text(own: Column, default: str = "", blank_is_none: bool = True) -> Column:
+    """A row's own system prompt, stripped, else the default; white space alone is none, or, without ``blank_is_none``, gives ''."""
+    none = is_blank(own) if blank_is_none else (F.coalesce(own, F.lit("")) == "")
+    return F.when(none, F.lit(default.strip())).otherwise(strip(own))
+
+
+def items_as_conversations(df: DataFrame, items: str = "items") -> DataFrame:
+    """Dialogs that are called ``items`` under their usual name, and nothing else."""
+    return df.select(F.col(items).alias("conversations"))
+
+
 def mixed_instruction(task: Column, instruction: Column) -> Column:
     """The task's display name on a line of its own before the instruction; alone where that is blank."""
     head = F.concat(F.lit("[任务类型] "), lookup(TASK_DISPLAY, task, TASK_DISPLAY["other"]))

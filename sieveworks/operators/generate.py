@@ -24,24 +24,48 @@ from sieveworks.operators.splits import position
 Generator = Callable[[list[str]], list[str]]
 
 
-def generated(df: DataFrame, prompt: str, out: str, generator: Generator, attempts: int = 3, longest_wait: float = 8.0, wait: float = 1.0) -> DataFrame:
-    """``df`` with the reply to each prompt; a batch is tried ``attempts`` times with doubled waits, and then the job fails."""
+def generated(
+    df: DataFrame, prompt: str, out: str, generator: Generator, attempts: int = 3, longest_wait: float = 8.0, wait: float = 1.0, accept: Callable[[str | None], bool] | None = None
+) -> DataFrame:
+    """``df`` with the reply to each prompt. What a batch lacks is tried ``attempts`` times with doubled waits: all of it where the generator fails, else
+    the replies that ``accept`` refuses; then the job fails. Batches that were written before stay, and ``unfinished`` goes on from them."""
 
     @F.pandas_udf("string")
     def reply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
+            prompts = [t or "" for t in s]
+            replies: list[str | None] = [None] * len(prompts)
+            todo = list(range(len(prompts)))
             for k in range(attempts):
                 try:
-                    yield pd.Series(generator([t or "" for t in s]))
+                    for i, r in zip(todo, generator([prompts[i] for i in todo]), strict=True):
+                        replies[i] = r
+                    todo = [i for i in todo if accept is not None and not accept(replies[i])]
+                    error = ValueError(f"{len(todo)} replies are not as wanted: {replies[todo[0]]!r}") if todo else None
+                except Exception as e:
+                    error = e
+                if error is None:
                     break
-                except Exception:
-                    if k == attempts - 1:
-                        raise
-                    time.sleep(min(wait * 2**k, longest_wait))
+                if k == attempts - 1:
+                    raise error
+                time.sleep(min(wait * 2**k, longest_wait))
+            yield pd.Series(replies)
 
     return df.withColumn(out, reply(F.col(prompt)))
 
 
+def is_reasoned(reply: str | None) -> bool:
+    """A JSON object with both fields of a generated record."""
+    got = json_object(reply) or {}
+    return all(str(got.get(k) if got.get(k) is not None else "").strip() for k in ("reasoning", "output_model"))
+
+
+def reasoned(df: DataFrame, prompt: str, generator: Generator, limit: int = 1000, **how) -> DataFrame:
+    """``df`` with reasoning and model output by the generator; a reply that is no JSON or lacks a field is asked for again, and at last fails the job."""
+    asked = generated(df, prompt, "__reply", generator, accept=is_reasoned, **how)
+    return with_reasoning(asked, F.col("__reply"), limit).drop("__reply", "generation_ok")
+
+
 def json_object(text: str | None) -> dict | None:
     """A text as one JSON object, else what stands from its first '{' to its last '}'; None if neither is one."""
     if not text:
@@ -117,16 +141,26 @@ def selected_per_file(df: DataFrame, file: str, order: str, needed: Column, star
 
 
 def judged(df: DataFrame, fields: list[str], reference: str, judge: Callable[[list[str]], list[float]], default: float = 0.0) -> DataFrame:
-    """``df`` with ``judge``: each distinct question to the judge is asked once and kept within 0 and 1; an empty reference gives the default."""
+    """``df`` with ``judge``: each distinct question to the judge is asked once and kept within 0 and 1; an empty reference and a question on which the judge fails give the default."""
     key = F.sha1(F.to_json(F.struct(*[sanitize(F.col(f)).alias(f) for f in [*fields, reference]])))
     keyed = df.withColumn("__key", key)
     asked = keyed.filter(sanitize(F.col(reference)) != "").dropDuplicates(["__key"]).select("__key", F.to_json(F.struct(*fields, reference)).alias("question"))
 
     @F.pandas_udf("double")
     def ask(s: pd.Series) -> pd.Series:
-        return pd.Series(judge(s.tolist()), dtype="float64")
+        def alone(q: str) -> float | None:
+            try:
+                return float(judge([q])[0])
+            except Exception:
+                return None
+
+        try:
+            return pd.Series([float(x) for x in judge(s.tolist())], index=s.index, dtype="float64")
+        except Exception:  # one bad question fails alone
+            return pd.Series([alone(q) for q in s], index=s.index, dtype="float64")
 
-    answers = asked.select("__key", F.greatest(F.lit(0.0), F.least(F.lit(1.0), ask("question"))).alias("judge"))
+    verdict = ask("question")
+    answers = asked.select("__key", verdict.alias("verdict")).select("__key", F.when(F.col("verdict").isNotNull() & ~F.isnan("verdict"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("verdict")))).alias("judge"))
     return keyed.join(answers, "__key", "left").withColumn("judge", F.coalesce("judge", F.lit(float(default)))).drop("__key")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,3 +144,8 @@ def perplexity_of(loss: Column) -> Column:
 def padded_perplexity_of(loss: Column, text: Column, padded: int = 512) -> Column:
     """exp(sum of loss * padded length / (n * characters)): the older, non-standard form, padding included."""
     return F.exp(F.sum(loss * padded) / (F.count(F.lit(1)) * F.sum(F.length(text))))
+
+
+def run_counters(df: DataFrame, kinds: Mapping[str, Column], file: str) -> DataFrame:
+    """One row: rows scanned, rows of each kind (null is none), and files; one pass."""
+    return df.agg(F.count(F.lit(1)).alias("scanned"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in kinds.items()], F.countDistinct(file).alias("files"))

@@ -78,3 +78,15 @@ def dialog_budget(sources: Column, targets: Column, max_length: int, eos: int) -
         return F.struct(F.when(over, acc["ids"]).otherwise(ids).alias("ids"), F.when(over, acc["labels"]).otherwise(labels).alias("labels"), over.alias("full"))
 
     return F.aggregate(turn, zero, step, lambda acc: F.struct(acc["ids"].alias("input_ids"), acc["labels"].alias("labels")))
+
+
+def flat_ids(tokens) -> list[int]:
+    """Token ids as one list, from a list, a list of one list, an array, or a mapping with ``input_ids``; for use in batches of a tokenizer."""
+    if hasattr(tokens, "keys"):
+        tokens = tokens["input_ids"]
+    if hasattr(tokens, "tolist"):
+        tokens = tokens.tolist()
+    tokens = list(tokens)
+    while tokens and isinstance(tokens[0], (list, tuple)):
+        tokens = list(tokens[0])
+    return [int(x) for x in tokens]

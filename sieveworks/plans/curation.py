@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveworks.operators import curate, dedup, diverse, splits
+from sieveworks.sources import files
 
 
 def prepared(
@@ -35,10 +35,10 @@ def prepared_counts(train: DataFrame, validation: DataFrame, before: DataFrame)
 def write_prepared(path: str, train: DataFrame, validation: DataFrame, before: DataFrame) -> None:
     """Folders ``train`` and ``validation`` of JSON lines, and ``metadata.json`` with the counts per task."""
     for name, df in (("train", train), ("validation", validation)):
-        df.write.json(os.path.join(path, name))
+        df.write.json(f"{path}/{name}")
     rows = prepared_counts(train, validation, before).orderBy("task_name").collect()  # one row per task
-    with open(os.path.join(path, "metadata.json"), "w", encoding="utf-8") as f:
-        json.dump({r["task_name"]: {k: r[k] for k in ("n_before", "n_train", "n_validation")} for r in rows}, f, ensure_ascii=False, indent=2)
+    counts = {r["task_name"]: {k: r[k] for k in ("n_before", "n_train", "n_validation")} for r in rows}
+    files.write_text(f"{path}/metadata.json", json.dumps(counts, ensure_ascii=False, indent=2))
 
 
 def thinned(records: DataFrame, key: str, size: int, text: str = "input", least: int = 100, shape: dedup.MinHash = dedup.MinHash(), seed: int = 42) -> DataFrame:

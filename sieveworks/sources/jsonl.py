@@ -113,10 +113,16 @@ def extract_records(text: str, list_key: str | None = None) -> list:
     try:
         got = json.loads(text)
     except ValueError:
-        rows = [t for t in text.splitlines() if t.strip()]
+        rows = []
+        for i, t in enumerate(text.splitlines(), 1):
+            if t.strip():
+                try:
+                    rows.append(json.loads(t))
+                except ValueError as e:
+                    raise ValueError(f"line {i}: {e}") from None
         if not rows:
             raise ValueError("no JSON") from None
-        return [json.loads(t) for t in rows]
+        return rows
     if isinstance(got, list):
         return got
     if isinstance(got, dict):

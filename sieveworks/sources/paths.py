@@ -1,10 +1,19 @@
-"""Which files a source means: lists, folders, splits by name. These look at names only, on the driver."""
+"""Which files a source means: lists, folders, splits by name. These look at names only, on the driver, in any file system that Spark knows."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Sequence
-from pathlib import Path
+
+from sieveworks.sources import files
+
+
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[-1]
+
+
+def _stem(path: str) -> str:
+    return os.path.splitext(_name(path))[0]
 
 
 def listed(paths: str, suffixes: Sequence[str] = (".jsonl",), recursive: bool = True) -> list[str]:
@@ -13,12 +22,10 @@ def listed(paths: str, suffixes: Sequence[str] = (".jsonl",), recursive: bool =
     for part in (p.strip() for p in paths.split(",")):
         if not part:
             continue
-        p = Path(part)
-        if p.is_file():
-            out.add(str(p))
-        elif p.is_dir():
-            found = p.rglob("*") if recursive else p.glob("*")
-            out.update(str(f) for f in found if f.is_file() and f.suffix in suffixes)
+        if files.is_file(part):
+            out.add(part)
+        elif files.is_folder(part):
+            out.update(f for f in files.entries(part, recursive) if f.endswith(tuple(suffixes)))
         else:
             raise FileNotFoundError(part)
     if not out:
@@ -28,8 +35,8 @@ def listed(paths: str, suffixes: Sequence[str] = (".jsonl",), recursive: bool =
 
 def json_then_jsonl(folder: str) -> list[str]:
     """All .json files of a folder, sorted, then all .jsonl files."""
-    p = Path(folder)
-    return [str(f) for suffix in (".json", ".jsonl") for f in sorted(p.glob(f"*{suffix}"))]
+    found = files.entries(folder)
+    return [f for suffix in (".json", ".jsonl") for f in found if f.endswith(suffix)]
 
 
 def for_split(paths: str, split: str) -> list[str]:
@@ -38,28 +45,28 @@ def for_split(paths: str, split: str) -> list[str]:
     mine, other = names[split], names["validation" if split == "train" else "train"]
     out: set[str] = set()
     for part in (p.strip() for p in paths.split(",") if p.strip()):
-        p = Path(part)
-        files = [p] if p.is_file() else [f for f in sorted(p.iterdir()) if f.suffix in (".json", ".jsonl")] if p.is_dir() else []
-        files = [f for f in files if f.name != "metadata.json" and not f.name.endswith("_metadata.json")]
-        exact = [f for f in files if f.stem in mine]
-        out.update(str(f) for f in exact or [f for f in files if p.is_file() or not f.stem.startswith(other)])
+        single = files.is_file(part)
+        found = [part] if single else [f for f in files.entries(part) if f.endswith((".json", ".jsonl"))] if files.is_folder(part) else []
+        found = [f for f in found if _name(f) != "metadata.json" and not _name(f).endswith("_metadata.json")]
+        exact = [f for f in found if _stem(f) in mine]
+        out.update(exact or [f for f in found if single or not _stem(f).startswith(other)])
     return sorted(out)
 
 
-def split_by_name(files: Sequence[str]) -> dict[str, list[str]]:
+def split_by_name(names: Sequence[str]) -> dict[str, list[str]]:
     """Files by what their name says: validation, valid or eval; test; else train. Without train files all count as train."""
     out: dict[str, list[str]] = {"train": [], "validation": [], "test": []}
-    for f in files:
-        name = os.path.basename(f).lower()
+    for f in names:
+        name = _name(f).lower()
         out["validation" if any(w in name for w in ("validation", "valid", "eval")) else "test" if "test" in name else "train"].append(f)
     if not out["train"]:
-        out["train"] = list(files)
+        out["train"] = list(names)
     return out
 
 
 def output_path(source: str, target: str, suffix: str = "") -> str:
     """Where the output of a file goes: into a folder (also one to be made) under its own name, else the file itself as .jsonl."""
-    stem = Path(source).stem + suffix
-    if os.path.isdir(target) or not os.path.splitext(target)[1]:
-        return os.path.join(target, f"{stem}.jsonl")
+    name = f"{_stem(source)}{suffix}.jsonl"
+    if files.is_folder(target) or not os.path.splitext(_name(target))[1]:
+        return f"{target.rstrip('/')}/{name}"
     return os.path.splitext(target)[0] + ".jsonl"

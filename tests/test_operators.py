@@ -466,3 +466,40 @@ def test_clashing_names_and_nulls_in_every_column(spark):
     assert curate.enrich(df).first()["task_name"] == "other"
     assert df.select(curate.chatml(curate.sft_messages(F.col("system_prompt"))).alias("x")).first()["x"].startswith("<|im_start|>user")
     assert curate.known_and_reasoned(df).count() == 1 and curate.consistent(df).count() == 1 and curate.min_length(df).count() == 0
+
+
+def test_replies_are_asked_for_again(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, p string").coalesce(1)
+    seen: dict[str, int] = {}
+
+    def flaky(prompts):
+        out = []
+        for p in prompts:
+            seen[p] = seen.get(p, 0) + 1
+            out.append('{"reasoning": "r", "output_model": "%s"}' % p if p == "a" or seen[p] > 1 else "no JSON")
+        return out
+
+    got = {r["k"]: (r["reasoning"], r["output_model"]) for r in generate.reasoned(df, "p", flaky, wait=0.0).collect()}
+    assert got == {1: ("r", "a"), 2: ("r", "b")}
+    with pytest.raises(Exception, match="not as wanted"):
+        generate.reasoned(df, "p", lambda ps: ['{"reasoning": "r"}' for _ in ps], wait=0.0).collect()
+
+
+def test_judge_errors_give_the_default(spark):
+    def judge(questions):
+        return [1 / 0 if "bad" in q else 7.0 for q in questions]
+
+    df = spark.createDataFrame([(1, "good", "ref"), (2, "bad", "ref"), (3, "good", " "), (4, None, "ref")], "k long, answer string, ref string")
+    got = {r["k"]: r["judge"] for r in generate.judged(df, ["answer"], "ref", judge, 0.3).collect()}
+    assert got == {1: 1.0, 2: 0.3, 3: 0.3, 4: 1.0}
+
+
+def test_token_ids_come_as_one_list():
+    assert tokenized.flat_ids({"input_ids": [[1, 2]]}) == tokenized.flat_ids(np.array([1, 2])) == tokenized.flat_ids([1, 2]) == tokenized.flat_ids([[1, 2]]) == [1, 2]
+    assert tokenized.flat_ids([]) == []
+
+
+def test_small_projections(spark):
+    df = spark.createDataFrame([(1, [("human", "a")], "x", "")], "k long, items array<struct<`from` string, value string>>, text string, prompt string")
+    assert curate.items_as_conversations(df).columns == ["conversations"] and curate.not_empty(df).count() == 0 and curate.not_empty(df, "text").count() == 1
+    assert one(spark, scoring.raw_prompt(F.col("p"), F.col("s")), p="q", s=None) == "q" and one(spark, scoring.raw_prompt(F.col("p"), F.col("s")), p=None, s="sys") == "sys\n\n"
