@@ -244,7 +244,8 @@ _Q_WRAP = f"""'<think>' || chr(10) || CASE WHEN starts_with({q_strip('reasoning'
     FROM sft_records"""
 )
 def render_chatml(spark: SparkSession, d: str) -> DataFrame:
-    return _sft(spark, d).select("record_id", *ROW, curate.chatml(curate.sft_messages(F.col("system_prompt"))).alias("rendered"))
+    df = curate.tidied(_sft(spark, d), "system_prompt", "instruction", "input", "reasoning", "output")
+    return df.select("record_id", *ROW, curate.chatml(curate.sft_messages(F.col("system_prompt"), tidy=True)).alias("rendered"))
 
 
 @query(

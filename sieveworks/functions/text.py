@@ -31,9 +31,13 @@ def sanitize(c: Column) -> Column:
     return F.coalesce(strip(c), F.lit(""))
 
 
+#: Anything else.
+NOT_WS = "[^" + WS[1:]
+
+
 def is_blank(c: Column) -> Column:
-    """True for null, empty and white space."""
-    return sanitize(c) == ""
+    """True for null, empty and white space; looks no further than the first other character."""
+    return F.coalesce(~c.rlike(NOT_WS), F.lit(True))
 
 
 def visible_length(c: Column) -> Column:
@@ -95,9 +99,9 @@ def answer_text(c: Column) -> Column:
     return F.when(has_pair(text, "answer"), strip(F.regexp_extract(text, _ANSWER, 1))).when(rest != "", rest).otherwise(strip(text))
 
 
-def wrap_think(c: Column) -> Column:
-    """In one think block, whether or not it was in one already."""
-    t = strip(c)
+def wrap_think(c: Column, stripped: bool = False) -> Column:
+    """In one think block, whether or not it was in one already; ``stripped`` tells that the text has no white space at its ends."""
+    t = c if stripped else strip(c)
     inner = F.when(t.startswith("<think>") & t.endswith("</think>"), strip(F.substring(t, F.lit(8), F.length(t) - 15))).otherwise(t)
     return F.concat(F.lit("<think>\n"), inner, F.lit("\n</think>"))
 

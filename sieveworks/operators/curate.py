@@ -299,17 +299,24 @@ def qa_conversation(question: Column, answer: Column) -> Column:
     return F.array(_turn("human", F.coalesce(question, F.lit(""))), _turn("gpt", F.coalesce(answer, F.lit(""))))
 
 
-def sft_messages(system: Column | None = None, include_reasoning: bool = True) -> Column:
-    """Chat messages of a record: system if not blank, the user's instruction and input, the assistant's wrapped reasoning and output."""
-    user = F.concat_ws("\n", F.nullif(sanitize(F.col("instruction")), F.lit("")), F.nullif(sanitize(F.col("input")), F.lit("")))
-    answer = sanitize(F.col("output"))
+def tidied(df: DataFrame, *columns: str) -> DataFrame:
+    """Those text columns stripped once, null as '', for ``sft_messages``."""
+    return df.withColumns({c: sanitize(F.col(c)) for c in columns})
+
+
+def sft_messages(system: Column | None = None, include_reasoning: bool = True, tidy: bool = False) -> Column:
+    """Chat messages of a record: system if not blank, the user's instruction and input, the assistant's wrapped reasoning and output.
+    ``tidy`` tells that ``tidied`` has stripped the columns, so that no text is stripped again in each branch."""
+    clean = (lambda c: c) if tidy else sanitize
+    user = F.concat_ws("\n", F.nullif(clean(F.col("instruction")), F.lit("")), F.nullif(clean(F.col("input")), F.lit("")))
+    answer = clean(F.col("output"))
     if include_reasoning:
-        answer = F.when(is_blank(F.col("reasoning")), answer).otherwise(F.concat(wrap_think(F.col("reasoning")), F.lit("\n"), answer))
+        answer = F.when(is_blank(F.col("reasoning")), answer).otherwise(F.concat(wrap_think(F.col("reasoning"), tidy), F.lit("\n"), answer))
     say = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     turns = F.array(say("user", user), say("assistant", answer))
     if system is None:
         return turns
-    return F.when(is_blank(system), turns).otherwise(F.concat(F.array(say("system", strip(system))), turns))
+    return F.when(is_blank(system), turns).otherwise(F.concat(F.array(say("system", clean(system))), turns))
 
 
 def chatml(messages: Column, ask: bool = False) -> Column:
