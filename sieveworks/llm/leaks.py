@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveworks.llm.plain import code_points, kgram_hashes, plain_form
-from sieveworks.runtime import table
+from sieveworks.runtime import cut_lineage, table
 
 #: Share of the required run that a k-gram takes; the window takes the rest.
 GRAM_SHARE = 0.7
@@ -151,8 +151,13 @@ def _leaks_by_broadcast(docs: DataFrame, indexes: list[Index]) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long").distinct()
 
 
+#: Parts into which the documents of each fingerprint are split; items of a document that are compared in one block.
+_PARTS, _BLOCK = 16, 256
+
+
 def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Fingerprint join for held-out sides of any size; texts move only for documents and items that share a fingerprint."""
+    """Fingerprint join for held-out sides of any size; texts move only for documents and items that share a fingerprint: a document's once for each
+    block of its items, a passage once for each document. A fingerprint of many documents is met in parts."""
     runs = [r["run"] for r in items.select("run").distinct().collect()]  # the required lengths: a handful
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,20 +178,36 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
                         h = kgram_hashes(code_points(plain), k)
                         yield pd.DataFrame({"run": run, "fingerprint": np.unique(h[winnow(h, w)]).astype(np.int64), "doc_id": doc})
 
-    index = items.mapInPandas(grams, "run int, fingerprint long, item_id long")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))).alias("part")
+    index = items.mapInPandas(grams, "run int, fingerprint long, item_id long").distinct().select("*", parts)
     marks = docs.select("doc_id", "text").mapInPandas(prints, "run int, fingerprint long, doc_id long")
-    pairs = marks.join(index, ["run", "fingerprint"]).select("run", "doc_id", "item_id").distinct()
-    joined = pairs.join(items.select("run", "item_id", "passage"), ["run", "item_id"]).join(docs.select("doc_id", "text"), "doc_id")
+    marks = marks.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS)).cast("int"))
+    pairs = cut_lineage(marks.join(index, ["run", "fingerprint", "part"]).select("run", "doc_id", "item_id").distinct())
+    blocks = pairs.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+    own = docs.join(blocks, "doc_id").select("doc_id", each, F.lit(True).alias("own"), F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("run"), "text")
+    placed = pairs.join(blocks, "doc_id").withColumn("block", F.pmod(F.xxhash64("item_id"), F.col("blocks")))
+    held = placed.join(items.select("run", "item_id", "passage"), ["run", "item_id"]).select("doc_id", "block", F.lit(False).alias("own"), "item_id", "run", F.col("passage").alias("text"))
+    met = own.unionAll(held).repartition("doc_id", "block").sortWithinPartitions("doc_id", "block", F.desc("own"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        doc_plains: list[str] = []
+        before, in_own = None, False
         for b in batches:
             out = []
-            for doc, text, item, run, passage in b[["doc_id", "text", "item_id", "run", "passage"]].itertuples(index=False, name=None):
-                if Index.of([(item, plain_form(passage))], run).leaked(plain_form(text)):
-                    out.append((doc, item))
+            for doc, block, is_own, item, run, text in b[["doc_id", "block", "own", "item_id", "run", "text"]].itertuples(index=False, name=None):
+                if is_own:  # a reused id may have several texts
+                    if not in_own or before != (doc, block):
+                        doc_plains = []
+                    doc_plains.append(plain_form(text))
+                elif doc_plains:
+                    index = Index.of([(item, plain_form(text))], run)
+                    if any(index.leaked(t) for t in doc_plains):
+                        out.append((doc, item))
+                before, in_own = (doc, block), is_own
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
-    return joined.mapInPandas(check, "doc_id long, item_id long").distinct()
+    return met.mapInPandas(check, "doc_id long, item_id long").distinct()
 
 
 def leaked_passages(docs: DataFrame, items: DataFrame, max_index_chars: int = MAX_INDEX_CHARS) -> DataFrame:

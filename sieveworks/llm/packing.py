@@ -182,7 +182,8 @@ def pack_documents(lengths: DataFrame, capacities: DataFrame, bucket_rows: int =
 
     items = _ranked(each.filter("item > 0").select("capacity_id", "item", "doc_id", "whole"), bucket_rows).mapInPandas(place, _PACKED)
     # full containers of texts that exceed the capacity: numbered after the packed ones, in buckets of documents
-    over = each.filter("whole > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(1024)))
+    buckets = max(1024, lengths.count() // bucket_rows)
+    over = each.filter("whole > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = over.groupBy("capacity_id", "bucket").agg(F.sum("whole").alias("n"))
     before = Window.partitionBy("capacity_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("capacity_id", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
