@@ -464,6 +464,35 @@ def normalize_dialog(spark: SparkSession, d: str) -> DataFrame:
     return df.select("pair_id", F.size("history").cast("long").alias("n_pairs"), last[0].alias("last_question"), last[1].alias("last_answer"), "system_prompt")
 
 
+_Q_ODD = """CASE WHEN system IS NOT NULL THEN 'led by a system' WHEN len(coalesce(history, [])) = 0 THEN 'led by a model' WHEN response_rejected IS NULL THEN 'odd' WHEN response_rejected = response_chosen THEN 'unknown speaker' ELSE 'two humans' END"""
+
+
+def _odd_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    """Preference pairs as dialogs of all shapes: led by a system or a model, of odd length, with an unknown speaker, with two human turns in a row."""
+    turn = lambda who, c: F.struct(F.lit(who).alias("from"), F.col(c).alias("value"))
+    asked, answered = turn("human", "question"), turn("gpt", "response_chosen")
+    shape = (
+        F.when(F.col("system").isNotNull(), F.array(turn("system", "system"), asked, answered))
+        .when(F.size(F.coalesce("history", F.array().cast("array<array<string>>"))) == 0, F.array(answered, asked, answered))
+        .when(F.col("response_rejected").isNull(), F.array(asked, answered, asked))
+        .when(F.col("response_rejected") == F.col("response_chosen"), F.array(asked, turn("tool", "response_rejected"), answered))
+        .otherwise(F.array(asked, asked, answered))
+    )
+    return table(spark, d, "preference").select("pair_id", shape.alias("conversations"))
+
+
+@query(f"""SELECT pair_id, 1::BIGINT AS n_pairs, coalesce(question, '') AS asked, coalesce(response_chosen, '') AS answered, coalesce(system, '') AS system_prompt FROM preference WHERE {_Q_ODD} IN ('led by a system', 'led by a model')""")
+def normalize_odd_dialogs(spark: SparkSession, d: str) -> DataFrame:
+    df = dialog.normalized_dialogs(_odd_dialogs(spark, d))
+    last = F.element_at("history", -1)
+    return df.select("pair_id", F.size("history").cast("long").alias("n_pairs"), last[0].alias("asked"), last[1].alias("answered"), "system_prompt")
+
+
+@query(f"""SELECT pair_id, 0::BIGINT AS turn, coalesce(question, '') AS query, coalesce(response_chosen, '') AS reply FROM preference WHERE {_Q_ODD} IN ('led by a system', 'led by a model')""")
+def ppo_odd_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return dialog.turns_as_rows(_odd_dialogs(spark, d)).select("pair_id", F.col("turn").cast("long").alias("turn"), "query", "reply")
+
+
 @query(
     """SELECT pair_id, t - 1 AS turn, query, reply FROM (
       SELECT pair_id, unnest(range(1, len(h) + 1)) AS t, unnest(list_transform(h, lambda p: coalesce(p[1], ''))) AS query, unnest(list_transform(h, lambda p: coalesce(p[2], ''))) AS reply
