@@ -523,6 +523,27 @@ def render_template(spark: SparkSession, d: str) -> DataFrame:
     return _preferences(spark, d).select("pair_id", "prompt")
 
 
+def q_prompt(default: str, before: str, after: str, sep: str) -> str:
+    """A prompt written out: line ends as @."""
+    head = f"CASE WHEN i > 1 THEN '{sep}' WHEN coalesce(system, '') <> '' THEN system || '{sep}' ELSE '{default + sep if default else ''}' END"
+    turns = f"list_transform(list_concat(coalesce(history, []), [[question, '']]), lambda p, i: {head} || '{before}' || coalesce(p[1], '') || '{after}' || coalesce(p[2], ''))"
+    return f"replace(array_to_string({turns}, ''), '@', chr(10))"
+
+
+@query(
+    f"""SELECT pair_id, {q_prompt('', '问：', '@@答：', '@@')} AS chatglm2, {q_prompt('', '[INST] ', ' [/INST]', '</s>')} AS mistral,
+    {q_prompt('You are a helpful assistant.', '<|im_start|>user@', '<|im_end|>@<|im_start|>assistant@', '<|im_end|>@')} AS chatml,
+    {q_prompt('<|im_start|>system@You are a helpful assistant.<|im_end|>@', '<|im_start|>user@', '<|im_end|>@<|im_start|>assistant@', '@')} AS qwen,
+    {q_prompt('<|start_header_id|>system<|end_header_id|>@@You are a helpful, excellent and smart assistant.', '<|start_header_id|>user<|end_header_id|>@@', '<|eot_id|><|start_header_id|>assistant<|end_header_id|>@@', '<|eot_id|>')} AS llama3,
+    {q_prompt('', '<｜User｜>', '<｜Assistant｜>', '</s>')} AS deepseek3, {q_prompt('', '### Instruction:@', '@@### Response:@', '@@').replace("'' END", "'Below is an instruction that describes a task. Write a response that appropriately completes the request.@@' END")} AS alpaca
+    FROM preference"""
+)
+def render_more_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts in further formats; line ends and the mark that the SQL uses for them are one."""
+    df = _preferences(spark, d)
+    return df.select("pair_id", *[F.replace(dialog.preference_prompt(dialog.TEMPLATES[n]), F.lit("@"), F.lit("\n")).alias(n) for n in ("chatglm2", "mistral", "chatml", "qwen", "llama3", "deepseek3", "alpaca")])
+
+
 def _preferences(spark: SparkSession, d: str) -> DataFrame:
     clean = F.transform("history", lambda p: F.transform(p, lambda x: F.coalesce(x, F.lit(""))))
     return table(spark, d, "preference").withColumn("history", clean).withColumn("prompt", dialog.preference_prompt(_VICUNA))
