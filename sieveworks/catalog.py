@@ -410,7 +410,12 @@ def char_ngrams(spark: SparkSession, d: str) -> DataFrame:
     return df.select("record_id", F.size(text.char_ngrams(F.col("input"), 3)).cast("long").alias("n_grams"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE bands AS MATERIALIZED ({_q_bands()}), lower AS MATERIALIZED (SELECT x.key, list(DISTINCT y.key) AS keys FROM bands x JOIN bands y ON x.band = y.band AND x.bucket = y.bucket AND y.key < x.key GROUP BY 1),
+    ordered AS MATERIALIZED (SELECT k.key, coalesce(l.keys, []) AS keys, row_number() OVER (ORDER BY k.key) AS n FROM (SELECT DISTINCT key FROM bands) k LEFT JOIN lower l ON l.key = k.key),
+    scan(n, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT s.n + 1, CASE WHEN list_has_any(s.kept, o.keys) THEN s.kept ELSE list_append(s.kept, o.key) END FROM scan s JOIN ordered o ON o.n = s.n + 1)
+    SELECT unnest(kept) AS record_id FROM (SELECT kept FROM scan ORDER BY n DESC LIMIT 1)"""
+)
 def dedup_first_wins(spark: SparkSession, d: str) -> DataFrame:
     """Over the records' inputs in the order of their ids, with the older, low threshold's bands."""
     return dedup.first_wins(_inputs(spark, d), "record_id", "input", _SHAPE)
@@ -436,6 +441,15 @@ def diverse_kmeans(spark: SparkSession, d: str) -> DataFrame:
     return diverse.diverse_sample(first, "record_id", "text")
 
 
+@query(
+    f"""WITH t AS (SELECT least(count(*), 100000)::BIGINT AS n FROM (SELECT record_id FROM sft_records WHERE NOT ({q_blank('instruction')} AND {q_blank('input')} AND {q_blank('output')}) GROUP BY 1))
+    SELECT 'selected' AS sampled, least(n, 5000) AS n FROM t UNION ALL SELECT 'remaining', n - 5000 FROM t WHERE n > 5000"""
+)
+def diverse_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What a diverse sample promises whatever the clusters are: its exact size, and all others of the pool."""
+    return diverse_kmeans(spark, d).groupBy(F.col("_sampled").alias("sampled")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- dialogs ------------------------------------------------------------------------------------------------
 
 
