@@ -247,10 +247,15 @@ def candidate_pairs(sketches: DataFrame, p: SketchParams = SketchParams()) -> Da
     return a.join(b, together & apart & (unlike <= p.most_unlike)).select(F.col("a.c1").alias("a1"), F.col("b.c1").alias("b1")).distinct()
 
 
+#: Classes or texts to be fetched that are named to all tasks at once (8 and about 70 bytes each); more are joined by shuffle.
+MAX_NAMED = 1_000_000
+
+
 def likely_pairs(sketches: DataFrame, pairs: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
     """(a1, a2, b1, b2): the candidates whose registers don't rule the threshold out, by the joint likelihood."""
     wanted = pairs.select(F.col("a1").alias("c1")).unionAll(pairs.select("b1")).distinct()
-    known = sketches.filter("registers is not null").select("c1", "c2", "grams", "registers").join(wanted, "c1", "left_semi").dropDuplicates(["c1", "c2"])
+    named = F.broadcast(wanted) if 2 * pairs.count() <= MAX_NAMED else wanted  # else registers of all classes are moved
+    known = sketches.filter("registers is not null").select("c1", "c2", "grams", "registers").join(named, "c1", "left_semi").dropDuplicates(["c1", "c2"])
     left = known.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("grams").alias("na"), F.col("registers").alias("ra"))
     right = known.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("grams").alias("nb"), F.col("registers").alias("rb"))
     joined = pairs.join(left, "a1").join(right, "b1").select("a1", "a2", "b1", "b2", "na", "nb", "ra", "rb")
@@ -268,10 +273,6 @@ def likely_pairs(sketches: DataFrame, pairs: DataFrame, p: SketchParams = Sketch
     return joined.mapInPandas(run, "a1 long, a2 long, b1 long, b2 long")
 
 
-#: Texts to be fetched (24 bytes each) that are named to all tasks at once; more are joined by shuffle.
-MAX_NAMED = 1_000_000
-
-
 def similar_classes(df: DataFrame, rid: Column, text: Column, sketches: DataFrame, p: SketchParams = SketchParams()) -> DataFrame:
     """(a1, a2, b1, b2, similarity): the pairs of classes that reach the threshold, from the sketches of ``df``.
 
@@ -279,7 +280,7 @@ def similar_classes(df: DataFrame, rid: Column, text: Column, sketches: DataFram
     meets its partners in blocks: its text goes once to each block, a partner's
     text once to each pair.
     """
-    pairs = cut_lineage(likely_pairs(sketches, candidate_pairs(sketches, p), p))
+    pairs = cut_lineage(likely_pairs(sketches, cut_lineage(candidate_pairs(sketches, p)), p))
     partners = pairs.groupBy("a1", "a2").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     none = F.lit(0).cast("long")
     own = partners.select("a1", "a2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("own"), none.alias("b1"), none.alias("b2"))
